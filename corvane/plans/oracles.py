@@ -113,9 +113,9 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "post": (
         ["nrmc"],
-        """SELECT *, coalesce(CASE WHEN upper(norm_country) IN ('INDIA', 'IN') THEN [x FOR x IN b IF regexp_full_match(x, '[1-9]\\d{5}')][-1]
-             WHEN upper(norm_country) IN ('US', 'USA', 'FRANCE', 'FR') THEN [x FOR x IN b IF regexp_full_match(x, '\\d{5}')][-1] END, [x FOR x IN b IF regexp_full_match(x, '\\d{5,6}')][-1], '') AS postal
-           FROM (SELECT *, [trim(x, '#,./ -') FOR x IN string_split(norm_addr, ' ') IF x <> ''] AS b FROM nrmc)""",
+        """SELECT *, coalesce(CASE WHEN upper(norm_country) IN ('INDIA', 'IN') THEN [x FOR x IN bare IF regexp_full_match(x, '[1-9]\\d{5}')][-1]
+             WHEN upper(norm_country) IN ('US', 'USA', 'FRANCE', 'FR') THEN [x FOR x IN bare IF regexp_full_match(x, '\\d{5}')][-1] END, [x FOR x IN bare IF regexp_full_match(x, '\\d{5,6}')][-1], '') AS postal
+           FROM (SELECT *, [trim(x, '#,./ -') FOR x IN string_split(norm_addr, ' ') IF x <> ''] AS bare FROM nrmc)""",
     ),
     # arrays that keys and features read
     "arr": (
@@ -291,7 +291,7 @@ ORACLE_SQL: dict[str, str] = {
     "postal_code": _statement(["post"], "SELECT entity_id, postal AS postal_code FROM post"),
     "numeric_tokens": _statement(["side"], "SELECT entity_id, array_to_string(list_sort(num), ',') AS numbers FROM side"),
     "building_no": _statement(["side"], "SELECT entity_id, building AS building_no FROM side"),
-    "building_no_enhanced": _statement(["post"], "SELECT entity_id, coalesce([x FOR x IN b IF regexp_full_match(x, '\\d{1,6}')][1], '') AS building_no FROM post"),
+    "building_no_enhanced": _statement(["post"], "SELECT entity_id, coalesce([x FOR x IN bare IF regexp_full_match(x, '\\d{1,6}')][1], '') AS building_no FROM post"),
     "locality_tokens": _statement(["side"], "SELECT entity_id, array_to_string(list_sort(loc), ',') AS localities FROM side"),
     "char_ngrams": _statement(["grams"], "SELECT entity_id, array_to_string(list_sort(n3), ',') AS grams_3, array_to_string(list_sort(n4), ',') AS grams_4 FROM grams"),
     "token_idf": _statement(["arr"], "SELECT token, round(ln(((SELECT count(*) FROM arr WHERE source = 1) + 1)::DOUBLE / (count(*) + 1)) + 1, 9) AS idf FROM (SELECT unnest(list_distinct(cw)) AS token FROM arr WHERE source = 1) GROUP BY token"),
@@ -390,6 +390,65 @@ _FEATURES = {
     "blocking_score_ratio": "blocking_score_ratio",
 }
 
+# variant C: its own keys, counted scores and features
+CTES |= {
+    "sigc": (["post"], f"SELECT *, [x FOR x IN {_words('core_name')} IF length(x) >= 3 AND NOT list_contains({_list(vocab.GENERIC_TERMS_ENHANCED)}, x)] AS s, replace(core_name, ' ', '') AS compact, {_words('norm_addr')} AS aw, {_words('core_name')} AS cw FROM post"),
+    "codesc": (
+        ["sigc"],
+        """SELECT entity_id, w, p, regexp_matches(p, '\\d') AND regexp_matches(p, '[a-z]') AND length(p) BETWEEN 3 AND 8 AS is_unit, contains(w, '/') AND regexp_matches(w, '\\d') AND length(w) <= 8 AS is_plot
+           FROM (SELECT entity_id, w, regexp_replace(w, '[-/]', '', 'g') AS p FROM (SELECT entity_id, unnest(aw) AS w FROM sigc)) WHERE NOT regexp_full_match(p, '\\d+(st|nd|rd|th)')""",
+    ),
+    "k0c": (
+        ["sigc", "codesc"],
+        f"""SELECT entity_id, 'NP4' AS type, substr(compact, 1, 4) AS value FROM sigc WHERE length(compact) >= 4
+            UNION SELECT entity_id, 'NP6', substr(compact, 1, 6) FROM sigc WHERE length(compact) >= 6
+            UNION SELECT entity_id, 'NCOMP', compact FROM sigc WHERE length(compact) >= 5
+            UNION SELECT entity_id, 'TOK', x FROM (SELECT entity_id, unnest(s) AS x FROM sigc) WHERE length(x) >= 4
+            UNION SELECT entity_id, 'TOK3', x FROM (SELECT entity_id, unnest(s) AS x FROM sigc) WHERE regexp_full_match(x, '[a-z]{{3}}')
+            UNION SELECT entity_id, 'NSORT', array_to_string(list_sort(s[1:4]), '_') FROM sigc WHERE len(s) >= 2
+            UNION SELECT entity_id, 'NPAIR', least(s[i], s[j]) || '_' || greatest(s[i], s[j]) FROM sigc, (SELECT unnest([1, 1, 1, 2, 2, 3]) AS i, unnest([2, 3, 4, 3, 4, 4]) AS j) WHERE j <= len(s)
+            UNION SELECT entity_id, 'ZIP_TOK', postal || '_' || s[1] FROM sigc WHERE postal <> '' AND len(s) >= 1
+            UNION SELECT entity_id, 'NP4_ZIP', substr(compact, 1, 4) || '_' || postal FROM sigc WHERE postal <> '' AND length(compact) >= 4
+            UNION SELECT entity_id, 'UNIT', p FROM codesc WHERE is_unit
+            UNION SELECT entity_id, 'PLOT', w FROM codesc WHERE NOT is_unit AND is_plot
+            UNION SELECT entity_id, 'ADDR_LOC', l[1] || '_' || l[2] FROM (SELECT entity_id, [x FOR x IN aw IF length(x) >= 4 AND regexp_full_match(x, '[a-z]+') AND NOT list_contains({_list(vocab.LOCALITY_KEY_STOP_ENHANCED)}, x)] AS l FROM sigc) WHERE len(l) >= 2""",
+    ),
+    "keysc": (["k0c", "post"], "SELECT norm_country AS country, type, value, entity_id, source FROM k0c JOIN post USING (entity_id)"),
+    "candc": (
+        ["keysc"],
+        """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source1_id ORDER BY score DESC, candidate_id) AS k FROM (SELECT q.entity_id AS source1_id, t.entity_id AS candidate_id, count(*) AS score FROM keysc q JOIN keysc t USING (country, type, value)
+           JOIN (SELECT country, type, value FROM keysc WHERE source <> 1 GROUP BY ALL HAVING count(*) <= 1000) USING (country, type, value) WHERE q.source = 1 AND t.source <> 1 GROUP BY ALL)) WHERE k <= 20""",
+    ),
+    "pairc": (["candc", "sigc"], "SELECT c.source1_id, c.candidate_id, a, b, list_intersect(list_distinct(a.cw), list_distinct(b.cw)) AS i, list_distinct(list_concat(a.cw, b.cw)) AS u FROM candc c JOIN sigc a ON a.entity_id = c.source1_id JOIN sigc b ON b.entity_id = c.candidate_id"),
+    "idfc": (["sigc"], "SELECT token, ln(((SELECT count(*) FROM sigc WHERE source = 1) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM (SELECT unnest(list_distinct(cw)) AS token FROM sigc WHERE source = 1) GROUP BY token"),
+}
+_PREFIX = "CASE WHEN length(a.compact) >= 4 AND length(b.compact) >= 4 AND substr(a.compact, 1, 4) = substr(b.compact, 1, 4) THEN 1.0 WHEN length(a.compact) >= 3 AND length(b.compact) >= 3 AND substr(a.compact, 1, 3) = substr(b.compact, 1, 3) THEN 0.5 ELSE 0.0 END"
+_IDF_SUM = "(SELECT source1_id, candidate_id, sum(coalesce(idf, 1.0)) AS {as_} FROM (SELECT source1_id, candidate_id, unnest({of}) AS token FROM pairc) LEFT JOIN idfc USING (token) GROUP BY 1, 2)"
+ORACLE_SQL |= {
+    "feat_prefix": _statement(["pairc"], f"SELECT source1_id, candidate_id, {_PREFIX}::DOUBLE AS name_prefix_similarity, len([x FOR x IN i IF length(x) >= 4 AND NOT list_contains({_list(vocab.GENERIC_TERMS_ENHANCED)}, x)])::DOUBLE AS name_rare_token_overlap, CASE WHEN a.postal = '' OR b.postal = '' THEN 0.5 WHEN a.postal = b.postal THEN 1.0 ELSE 0.0 END::DOUBLE AS postal_code_match FROM pairc"),
+    "feat_idf_jaccard": _statement(["pairc", "idfc"], f"SELECT source1_id, candidate_id, {_PREFIX}::DOUBLE AS name_prefix_similarity, round(CASE WHEN len(a.cw) = 0 OR len(b.cw) = 0 THEN 0.0 ELSE coalesce(si, 0) / su END, 9) AS name_idf_weighted_jaccard FROM pairc LEFT JOIN {_IDF_SUM.format(as_='si', of='i')} USING (source1_id, candidate_id) LEFT JOIN {_IDF_SUM.format(as_='su', of='u')} USING (source1_id, candidate_id)"),
+    "error_patterns": _statement(
+        ["lab", "side"],
+        """SELECT kind, pattern, count(*) AS n FROM (SELECT CASE WHEN label = 0 THEN 'fp' ELSE 'fn' END AS kind,
+             CASE WHEN label = 0 THEN CASE WHEN lower(trim(a.business_name)) = lower(trim(b.business_name)) THEN 'identical name, different location' WHEN a.norm_country = b.norm_country AND a.building <> b.building THEN 'similar name, different building' ELSE 'common name collision' END
+             ELSE CASE WHEN b.business_address = '' THEN 'candidate address missing' WHEN a.building <> '' AND b.building <> '' AND a.building <> b.building THEN 'building number discrepancy' ELSE 'spelling or alias variation' END END AS pattern
+           FROM lab JOIN side a ON a.entity_id = source1_id JOIN side b ON b.entity_id = candidate_id WHERE (label = 0 AND probability >= 0.75) OR (label = 1 AND probability < 0.75)) GROUP BY ALL""",
+    ),
+}
+
+
+def _strategy_sql() -> str:
+    from corvane.operators.diagnose import STRATEGY_SETS
+
+    kept = " UNION ALL ".join(
+        f"SELECT '{name}' AS strategy, source1_id, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY source1_id ORDER BY s DESC, candidate_id) AS k FROM (SELECT source1_id, candidate_id, count(*) AS s FROM shared WHERE size <= {cap} AND list_contains({_list(types)}, type) GROUP BY ALL)) WHERE k <= {k}"
+        for name, types, cap, k in STRATEGY_SETS
+    )
+    return _statement(["shared", "truth"], f", kept AS MATERIALIZED ({kept}) SELECT strategy, count(*) AS candidate_pairs, count(t.source1_id) AS found, count(*) FILTER (t.source1_id IS NOT NULL AND f.source1_id IS NULL) AS gained FROM kept LEFT JOIN truth t USING (source1_id, candidate_id) LEFT JOIN (SELECT source1_id, candidate_id FROM kept WHERE strategy = '{STRATEGY_SETS[0][0]}') f USING (source1_id, candidate_id) GROUP BY strategy")
+
+
+ORACLE_SQL["strategy_benchmark"] = _strategy_sql()
+
 
 def _feature_sql() -> dict[str, str]:
     from corvane.plans.queries import FEATURE_QUERIES
