@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from corvane.llm import text as tx
 
 #: Documented bound of the training sample: rows, chosen by hash of doc_id.
-MAX_ROWS = 6_000
+MAX_ROWS = 3_000
 BITS = 17
 DIMENSIONS = 8
 EPOCHS = 4

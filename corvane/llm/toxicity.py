@@ -28,11 +28,12 @@ from corvane.llm import text as tx
 from corvane.llm.quality import labelled
 
 #: Documented bound of the training sample: rows, chosen by hash of doc_id.
-MAX_ROWS = 6_000
-#: Words that a model may use, and documents of the sample that must have one.
-VOCABULARY, LEAST = 400, 8
+MAX_ROWS = 8_000
+#: Words that a model may use, documents of the sample that must have one, and
+#: standard errors by which its share must differ between the classes.
+VOCABULARY, LEAST, STRENGTH = 400, 5, 4.0
 FOLDS = 3
-ROUNDS = 150
+ROUNDS, RATE = 150, 0.2
 CUTOFF = 0.5
 TARGET = "toxic"
 
@@ -55,31 +56,35 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Linear:
-    """Logistic regression on 0/1 word columns plus a few dense ones."""
+    """Logistic regression on words that are there or not (``at`` lists them, row
+    after row between ``bounds``) and a few dense columns."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, strength: float = 5e-5) -> None:
-        n = x.shape[0]
+    def __init__(self, at: np.ndarray, bounds: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, strength: float = 1e-6) -> None:
+        n, times = len(y), np.diff(bounds)
         share = (y.sum() + 1) / (n + 2)
-        x = x.astype(np.float32, copy=False)
-        self.w, self.b = np.zeros(x.shape[1], np.float32), float(np.log(share / (1 - share)))
+        self.w, self.b = np.zeros(width + dense.shape[1]), float(np.log(share / (1 - share)))
         if n == 0 or y.min() == y.max():
             return
-        weight = (np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n).astype(np.float32)
-        y = y.astype(np.float32)
+        weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
         self.b = 0.0
         square_w, square_b = np.zeros_like(self.w), 0.0
         move_w, move_b = np.zeros_like(self.w), 0.0
         for k in range(1, ROUNDS + 1):
-            slope = weight * (_sigmoid(x @ self.w + np.float32(self.b)) - y)
-            dw, db = x.T @ slope + strength * self.w, float(slope.sum())
+            run = np.concatenate([[0.0], np.cumsum(self.w[at])])
+            z = run[bounds[1:]] - run[bounds[:-1]] + dense @ self.w[width:] + self.b
+            slope = weight * (_sigmoid(z) - y)
+            dw = np.concatenate([np.bincount(at, np.repeat(slope, times), minlength=width), dense.T @ slope]) + strength * self.w
+            db = float(slope.sum())
             move_w, move_b = 0.9 * move_w + 0.1 * dw, 0.9 * move_b + 0.1 * db
             square_w, square_b = 0.99 * square_w + 0.01 * dw**2, 0.99 * square_b + 0.01 * db**2
             up, down = 1 - 0.9**k, 1 - 0.99**k
-            self.w -= (0.1 * move_w / up / (np.sqrt(square_w / down) + 1e-8)).astype(np.float32)
-            self.b -= float(0.1 * move_b / up / (np.sqrt(square_b / down) + 1e-8))
+            self.w -= RATE * move_w / up / (np.sqrt(square_w / down) + 1e-8)
+            self.b -= float(RATE * move_b / up / (np.sqrt(square_b / down) + 1e-8))
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(x @ self.w + self.b)
+    def __call__(self, at: np.ndarray, dense: list[float]) -> float:
+        width = len(self.w) - len(dense)
+        z = float(self.w[at].sum()) + sum(p * w for p, w in zip(dense, self.w[width:], strict=True)) + self.b
+        return float(_sigmoid(np.float64(z)))
 
 
 class Chain:
@@ -87,27 +92,31 @@ class Chain:
 
     def __init__(self, texts: list[str], targets: dict[str, list[int]]) -> None:
         self.categories = list(targets)
-        sets = [words(t.encode()) for t in texts]
-        last = np.array(targets[self.categories[-1]], float) if self.categories else np.zeros(0)
-        self.ids = {w: i for i, w in enumerate(self._chosen(sets, last))}
-        x = np.zeros((len(sets), len(self.ids)), np.float32)
-        for row, own in zip(x, sets, strict=True):
-            row[[self.ids[w] for w in own if w in self.ids]] = 1
-        fold = np.arange(len(sets)) % FOLDS
-        earlier = np.zeros((len(sets), 0), np.float32)
+        last = np.array(targets[self.categories[-1]], float)
+        # word sets are made twice and never held together: they would be many times the texts
+        self.ids = {w: i for i, w in enumerate(self._chosen((words(t.encode()) for t in texts), last))}
+        rows = [np.array(sorted(i for w in words(t.encode()) if (i := self.ids.get(w)) is not None), np.int64) for t in texts]
+        fold = np.arange(len(rows)) % FOLDS
+        earlier = np.zeros((len(rows), 0))
         self.models: list[Linear] = []
         for category in self.categories:
             y = np.array(targets[category], float)
-            own = np.concatenate([x, earlier], 1)
-            self.models.append(Linear(own, y))
-            unseen = np.zeros(len(sets), np.float32)
+            self.models.append(self._fit(rows, earlier, y, np.arange(len(rows))))
+            unseen = np.zeros(len(rows))
             for k in range(FOLDS):
-                if (fold == k).any():
-                    unseen[fold == k] = Linear(own[fold != k], y[fold != k])(own[fold == k])
+                own = self._fit(rows, earlier, y, np.flatnonzero(fold != k))
+                for i in np.flatnonzero(fold == k):
+                    unseen[i] = own(rows[i], earlier[i].tolist())
             earlier = np.concatenate([earlier, unseen[:, None]], 1)
 
+    def _fit(self, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, which: np.ndarray) -> Linear:
+        own = [rows[i] for i in which]
+        bounds = np.concatenate([[0], np.cumsum([len(r) for r in own])]).astype(np.int64)
+        at = np.concatenate(own) if own else np.zeros(0, np.int64)
+        return Linear(at, bounds, len(self.ids), dense[which], y[which])
+
     @staticmethod
-    def _chosen(sets: list[set[bytes]], y: np.ndarray) -> list[bytes]:
+    def _chosen(sets: Iterable[set[bytes]], y: np.ndarray) -> list[bytes]:
         """The words whose shares differ most between the classes, by their standard error."""
         ones = max(1.0, y.sum())
         zeros = max(1.0, len(y) - y.sum())
@@ -123,22 +132,24 @@ class Chain:
             p = every[w] / max(1, len(y))
             return abs(a - b) / (p * (1 - p) * (1 / ones + 1 / zeros) + 1e-12) ** 0.5
 
-        kept = [w for w, n in every.items() if n >= LEAST]
+        kept = [w for w, n in every.items() if n >= LEAST and strength(w) >= STRENGTH]
         return sorted(kept, key=lambda w: (-strength(w), w))[:VOCABULARY]
 
     def __call__(self, found: set[bytes]) -> list[float]:
         """The probability of each category for a text with these words."""
-        at = sorted(i for w in found if (i := self.ids.get(w)) is not None)
+        at = np.array(sorted(i for w in found if (i := self.ids.get(w)) is not None), np.int64)
         out: list[float] = []
         for model in self.models:
-            z = float(model.w[at].sum()) + sum(p * w for p, w in zip(out, model.w[len(self.ids) :], strict=True)) + model.b
-            out.append(float(_sigmoid(np.float64(z))))
+            out.append(model(at, out))
         return out
 
 
 def targets(texts: list[str], toxic: list[int]) -> dict[str, list[int]]:
-    found = [words(t.encode()) for t in texts]
-    out = {name: [int(bool(y) and any(w.encode() in own for w in seeds)) for own, y in zip(found, toxic, strict=True)] for name, seeds in SEEDS.items()}
+    out: dict[str, list[int]] = {name: [] for name in SEEDS}
+    for text, label in zip(texts, toxic, strict=True):
+        own = words(text.encode()) if label else set()
+        for name, seeds in SEEDS.items():
+            out[name].append(int(any(w.encode() in own for w in seeds)))
     return out | {TARGET: list(toxic)}
 
 
