@@ -39,7 +39,7 @@ SHARE, STEPS = 0.75, 4
 CELLS = 32
 #: Smallest spread (standard deviation) that is told apart, by statistic.
 STATISTICS = ["x0", "x1", "x2", "x3", "x4"]
-FLOORS = [0.3, 0.1, 0.35, 0.08, 0.35]
+FLOORS = [0.3, 0.1, 0.35, 0.15, 0.35]
 #: Chi-square quantiles for 5 degrees of freedom: 0.75, 0.975 and 1 - 1e-6 (fixed values).
 QUARTILE, INNER, CUTOFF = 6.6257, 12.8325, 35.8882
 
