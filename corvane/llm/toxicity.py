@@ -164,17 +164,17 @@ def _probabilities(own: Chain, texts: pa.Array) -> list[list[float]]:
 
 
 def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, a probability for each category, and whether the document is rejected."""
+    """doc_id, the earlier categories' probabilities, score (of ``toxic``), predicted and toxic: whether it is rejected."""
     model = chain(docs, labels, max_rows)
-    names = [*SEEDS, TARGET]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = _probabilities(model.value, tx.column(batch, "text"))
-            columns = [pa.array([p[k] for p in got], pa.float64()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([tx.column(batch, "doc_id"), *columns, pa.array([p[-1] >= CUTOFF for p in got], pa.bool_())], names=["doc_id", *[f"p_{n}" for n in names], "rejected"])
+            got = np.array(_probabilities(model.value, tx.column(batch, "text"))).reshape(-1, len(SEEDS) + 1)
+            bad = got[:, -1] >= CUTOFF
+            yield pa.RecordBatch.from_arrays([tx.column(batch, "doc_id"), *map(pa.array, got.T), pa.array(bad.astype(np.int32)), pa.array(bad)], names=names)
 
-    schema = ", ".join(["doc_id long", *[f"p_{n} double" for n in names], "rejected boolean"])
+    names = ["doc_id", *[f"p_{n}" for n in SEEDS], "score", "predicted", "toxic"]
+    schema = ", ".join(["doc_id long", *[f"{n} double" for n in names[1:-2]], "predicted int", "toxic boolean"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
