@@ -126,8 +126,11 @@ def learn(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     if not counts:
         return Model([], [])
     share = max(1, max_rows // len(counts))
+    # a hash range of about twice the share first: a common language is never ordered as a whole
+    part = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, 2 * share / n))])
+    near = known.distinct().where(F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30)) < F.element_at(part, F.col("lang")) * (1 << 30))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    wanted = known.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= share).select("doc_id", "lang")
+    wanted = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= share).select("doc_id", "lang")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(wanted), ["doc_id", "lang"]).select("lang", "text", "doc_id").collect()  # max_rows ids
     rows = sorted((r[0], r[2], r[1]) for r in rows if has_letter(r[1]))
     return Model([r[2] for r in rows], [r[0] for r in rows])
