@@ -228,6 +228,20 @@ def _summary(source: str, by: str = "") -> str:
       total_evaluated_s1, true_singletons, correct_singletons, true_singletons - correct_singletons AS false_merges_on_singletons, total_tp_pairs, total_fp_pairs, total_fn_pairs FROM ({mid})"""
 
 
+def _half_up(sql: str) -> str:
+    """Rounds on decimals: DuckDB rounds a binary double just under one half down, Spark its decimal text up."""
+    out, at = [], 0
+    while (begin := sql.find("round(", at)) >= 0:
+        depth, end, comma = 1, begin + 6, 0
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            comma = end if sql[end] == "," and depth == 1 else comma
+            end += 1
+        out.append(f"{sql[at:begin]}round(({_half_up(sql[begin + 6 : comma])})::DECIMAL(30, 14){sql[comma:end]}::DOUBLE")
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def _statement(needs: list[str], body: str) -> str:
     """``body`` after the common table expressions that it needs, in order of need."""
     order: list[str] = []
@@ -240,7 +254,7 @@ def _statement(needs: list[str], body: str) -> str:
 
     for name in needs:
         visit(name)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order) + "\n" + _half_up(body)
 
 
 def _counts_over(grid: str, by: str, condition: str, extra: str = "") -> str:
