@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.runtime import cut
+from corvane.llm.runtime import packed
 
 #: Rounds after which something is wrong: the number needed grows with the logarithm of the input.
 MAX_ROUNDS = 60
@@ -31,13 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has two long columns; self-loops and repeats don't matter.
     """
     a, b = edges.columns
-    edges = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
+    edges = packed(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
     mark = None
     for _ in range(MAX_ROUNDS):
-        edges = cut(_small_star(_large_star(edges)))
+        edges = packed(_small_star(_large_star(edges)))
         # a star forest stays as it is: equal marks mean that nothing moves any more
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("least")).union(edges.select("b", "b").distinct())
+            stars = edges.select(F.col("a").alias("node"), F.col("b").alias("least"))
+            return packed(stars.union(edges.select("b", "b").distinct()))
         mark = now
     raise RuntimeError("components did not settle")

@@ -18,11 +18,15 @@ combinations grow with the prefix and not with its square.
    count in a prefix: a document with more than e of them is settled.
 3. The rest, equal sets as one class, are indexed by their prefixes' singles
    and pairs; lists of one fall away.
-4. Members of a list are verified against its pivots only, in rounds with more
-   pivots each, and only where the two aren't connected yet: large groups of
-   near copies need a few rows a member, and no pair that could connect two
-   components stays unseen.  Every list is worked until its members are one
-   component or all have been pivots.
+4. Long lists are worked in blocks.  Every member has one home block, that of
+   its longest list, in which all pairs are compared; then members outside a
+   list's main component are compared with the home blocks of all its members.
+   A block yields a spanning forest of its links, so what is written grows with
+   members and blocks and not with pairs.
+5. Members of short lists are verified against the list's pivots only, in
+   rounds with more pivots each, and only where the two aren't connected yet.
+   Every list is worked until its members are one component or all have been
+   pivots, so no pair that could connect two components stays unseen.
 
 Tokens are told apart by 63 bits of hash.
 
@@ -40,12 +44,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
 from corvane.llm.components import components
-from corvane.llm.runtime import cut
+from corvane.llm.runtime import cut, packed
 
 WORDS = 4
 #: Similarity in hundredths.
@@ -53,8 +57,12 @@ SIMILARITY = 85
 #: Documents from which on a token counts as frequent, and up to which they are told apart.
 FREQUENT, CAP = 32, 128
 #: Tokens that one blob set holds before it is sent on, and that one range should hold.
-CHUNK_TOKENS = 2_000_000
-RANGE_TOKENS = 3_000_000
+CHUNK_TOKENS = 1_500_000
+RANGE_TOKENS = 2_000_000
+#: Members from which on a list is long, and members and tokens of a block.
+LONG, BLOCK, BLOCK_TOKENS = 64, 1024, 4_000_000
+#: Pairs that are few enough to be sent to every task instead of moving the sets (16 bytes each).
+FEW_PAIRS = 15_000
 #: Pivots of a list in the first round, and how many times as many in each next one.
 PIVOTS, GROWTH = 2, 8
 
@@ -109,6 +117,23 @@ def _runs(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge, np.diff(np.append(edge, len(row)))
 
 
+def _pack(row: np.ndarray) -> bytes:
+    """A sorted array as its first value and six-byte gaps; as it is where a gap is too wide."""
+    gaps = np.diff(row)
+    if len(row) < 2 or gaps.max() >> _U(48):
+        return b"\0" + row.tobytes()
+    return b"\1" + row[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    if data[:1] == b"\0":
+        return np.frombuffer(data, _U, offset=1)
+    gaps = np.zeros(((len(data) - 9) // 6 + 1, 8), np.uint8)
+    gaps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    gaps[1:, :6] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, 6)
+    return np.cumsum(gaps.view(_U).ravel(), dtype=_U)
+
+
 _BLOBS = "bucket long, chunk long, kind int, tokens binary, at binary"
 
 
@@ -139,9 +164,9 @@ def tokens(docs: DataFrame, buckets: int) -> DataFrame:
             for kind, values, places in ((0, every[~hot], at[~hot]), (2, every[edge[times >= CAP]], None)):
                 which = np.searchsorted(values, limits)
                 for b in np.flatnonzero(np.diff(which)):
-                    rows.append((int(b), number, kind, values[which[b] : which[b + 1]].tobytes(), b"" if places is None else places[which[b] : which[b + 1]].tobytes()))
+                    rows.append((int(b), number, kind, _pack(values[which[b] : which[b + 1]]), b"" if places is None else places[which[b] : which[b + 1]].tobytes()))
             if hot.any():
-                rows.append((number % buckets, number, 3, every[hot].tobytes(), at[hot].tobytes()))
+                rows.append((number % buckets, number, 3, _pack(every[hot]), at[hot].tobytes()))
             rows.append((number % buckets, number, 1, np.concatenate(ids).tobytes(), n.astype(np.uint32).tobytes()))
             held, ids, sizes, total = [], [], [], 0
             number += 1
@@ -174,10 +199,10 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     del key
     kinds, chunks, blobs, places = (table.column(n).to_pylist() for n in ("kind", "chunk", "tokens", "at"))
     rows = [(c, 1, t, a, b"") for c, k, t, a in zip(chunks, kinds, blobs, places, strict=True) if k == 1]
-    rows += [(c, 0, t, a, bytes([CAP]) * (len(t) // 8)) for c, k, t, a in zip(chunks, kinds, blobs, places, strict=True) if k == 3]
+    rows += [(c, 0, t, a, bytes([CAP]) * (len(a) // 2)) for c, k, t, a in zip(chunks, kinds, blobs, places, strict=True) if k == 3]
     own = [i for i, k in enumerate(kinds) if k in (0, 2)]
     if own:
-        parts = [np.frombuffer(blobs[i], _U) for i in own]
+        parts = [_unpack(blobs[i]) for i in own]
         every = np.concatenate(parts)
         each = np.concatenate([np.full(len(x), CAP if kinds[i] else 1, np.int64) for i, x in zip(own, parts, strict=True)])
         order = np.argsort(every, kind="stable")
@@ -190,7 +215,7 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
             begin += len(part)
             more = n > 1
             if not kinds[i] and more.any():
-                rows.append((chunks[i], 0, part[more].tobytes(), np.frombuffer(places[i], np.uint16)[more].tobytes(), n[more].tobytes()))
+                rows.append((chunks[i], 0, _pack(part[more]), np.frombuffer(places[i], np.uint16)[more].tobytes(), n[more].tobytes()))
     columns = list(zip(*rows, strict=True)) if rows else [()] * 5
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "kind", "tokens", "at", "count"])
 
@@ -206,18 +231,25 @@ def _sets(key: tuple, table: pa.Table) -> pa.Table:
     head = kinds.index(1)
     ids, sizes = np.frombuffer(blobs[head], np.int64), np.frombuffer(places[head], np.uint32)
     own = [i for i, k in enumerate(kinds) if not k]
-    every = np.concatenate([np.frombuffer(blobs[i], _U) for i in own] or [np.zeros(0, _U)])
+    every = np.concatenate([_unpack(blobs[i]) for i in own] or [np.zeros(0, _U)])
     at = np.concatenate([np.frombuffer(places[i], np.uint16) for i in own] or [np.zeros(0, np.uint16)])
     count = np.concatenate([np.frombuffer(counts[i], np.uint8) for i in own] or [np.zeros(0, np.uint8)])
     order = np.lexsort((every, count, at))
     every, at, count = every[order], at[order], count[order]
     bounds = np.searchsorted(at, np.arange(len(ids) + 1))
     out: list[tuple] = []
-    for i, (doc, n) in enumerate(zip(ids.tolist(), sizes.tolist(), strict=True)):
-        a, b = int(bounds[i]), int(bounds[i + 1])
+    seen: set[str] = set()
+    for i in np.argsort(ids, kind="stable").tolist():
+        doc, n, a, b = int(ids[i]), int(sizes[i]), int(bounds[i]), int(bounds[i + 1])
         alone = n - (b - a)
         if n and alone <= spare(n):
-            mark = hashlib.blake2b(every[a:b].tobytes(), digest_size=16).hexdigest() if not alone else None
+            mark = None
+            if not alone:
+                mark = hashlib.blake2b(every[a:b].tobytes(), digest_size=16).hexdigest()
+                if mark in seen:  # a lesser doc_id of the chunk has the same set
+                    out.append((doc, n, alone, mark, None, None))
+                    continue
+                seen.add(mark)
             out.append((doc, n, alone, mark, every[a:b].tobytes(), count[a:b].tobytes()))
         else:
             out.append((doc, n, alone, None, None, None))
@@ -259,25 +291,28 @@ def signatures(n: int, alone: int, row: np.ndarray, counts: np.ndarray) -> np.nd
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    """(signature, doc): every signature of every set that may link."""
+    """(signature, doc, n, same): every signature of every set that may link; ``same`` tells equal sets' mark, else 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500).to_pylist()
                 found = [signatures(r["n"], r["alone"], np.frombuffer(r["tokens"], _U), np.frombuffer(r["counts"], np.uint8)) for r in part]
-                docs = np.repeat(np.array([r["doc"] for r in part], np.int64), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(docs)], names=["signature", "doc"])
+                docs, n, same = (np.repeat(np.array([r[c] for r in part], np.int64), [len(x) for x in found]) for c in ("doc", "n", "same"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(docs), pa.array(n), pa.array(same)], names=["signature", "doc", "n", "same"])
+
+    return sets.select("doc", "n", "alone", "tokens", "counts", _same().alias("same")).mapInArrow(run, "signature long, doc long, n long, same long")
 
-    return sets.select("doc", "n", "alone", "tokens", "counts").mapInArrow(run, "signature long, doc long")
+
+def _same() -> Column:
+    """A number of the mark that equal sets share; 0 for sets with tokens of their own."""
+    return F.when(F.col("mark").isNotNull(), F.xxhash64("mark")).otherwise(F.lit(0).cast("long"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     left = sets.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     right = sets.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    sized = pairs.join(left.select("a", "n_a"), "a").join(right.select("b", "n_b"), "b")
-    able = sized.where(f"100 * least(n_a, n_b) >= {SIMILARITY} * greatest(n_a, n_b)").select("a", "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,29 +324,121 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good[i] = 100 * both >= SIMILARITY * (int(n_a[i]) + int(n_b[i]) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    return able.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+    if pairs.count() <= FEW_PAIRS:
+        # the few sets that are needed come to the pairs: the others don't move
+        ids = pairs.select("a").union(pairs.select("b")).distinct()
+        own = cut(sets.join(F.broadcast(ids.toDF("doc")), "doc", "left_semi"))
+        left = own.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
+        right = own.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+
+
+_EDGES = "a long, b long"
+
+
+def _links(rows: list[tuple[int, int, int, bytes]], others: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    """Links of (doc, root, n, tokens) in ``others`` with ``rows`` that join what isn't joined yet."""
+    owner = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
+    every = np.frombuffer(b"".join(r[3] for r in rows), _U)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    sizes = np.array([r[2] for r in rows], np.int64)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    edges: list[tuple[int, int]] = []
+    for doc, home, n, blob in others:
+        tokens = np.frombuffer(blob, _U)
+        low, high = np.searchsorted(every, tokens, "left"), np.searchsorted(every, tokens, "right")
+        times = high - low
+        at = np.arange(times.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) if len(times) else times
+        both = np.bincount(owner[at], minlength=len(rows))
+        for i in np.flatnonzero(100 * both >= SIMILARITY * (n + sizes - both)).tolist():
+            x, y = root(home), root(rows[i][1])
+            if x != y and doc != rows[i][0]:
+                parent[max(x, y)] = min(x, y)
+                edges.append((doc, rows[i][0]))
+    return pa.table([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+
+
+def _rows(table: pa.Table) -> list[tuple[int, int, int, bytes]]:
+    return list(zip(*(table.column(c).to_pylist() for c in ("doc", "root", "n", "tokens")), strict=True))
+
+
+def _within(key: tuple, table: pa.Table) -> pa.Table:
+    """All pairs of one block."""
+    del key
+    rows = _rows(table)
+    return _links(rows, rows)
+
+
+def _between(key: tuple, table: pa.Table) -> pa.Table:
+    """Strays against one block."""
+    del key
+    stray = table.column("stray").to_numpy(zero_copy_only=False).astype(bool)
+    return _links(_rows(table.filter(pa.array(~stray))), _rows(table.filter(pa.array(stray))))
+
+
+def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, rows["doc"] == found["node"], "left").withColumn("root", F.coalesce("least", "doc")).drop("node", "least")
+
+
+def _long_lists(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with the links among members of long lists."""
+    if members.isEmpty():
+        return found
+    width = F.greatest(F.lit(16), F.least(F.lit(BLOCK), (F.lit(BLOCK_TOKENS) / F.col("most")).cast("long")))
+    sized = members.withColumn("blocks", F.ceil(F.col("size") / width))
+    longest = sized.groupBy("doc").agg(F.max(F.struct("size", "signature", "blocks")).alias("l"))
+    home = packed(longest.select("doc", F.xxhash64("l.signature", F.pmod(F.xxhash64("doc"), F.col("l.blocks"))).alias("block")))
+    full = home.join(sets.select("doc", "n", "tokens"), "doc")
+    edges = _rooted(full, found).select("block", "doc", "root", "n", "tokens").groupBy("block").applyInArrow(_within, _EDGES)
+    found = components(found.toDF("a", "b").unionByName(edges))
+    # what is left: members outside their list's main component, against the home blocks of the list
+    placed = packed(_rooted(members.select("signature", "doc"), found).select("signature", "doc", "root"))
+    parts = placed.groupBy("signature", "root").agg(F.count("*").alias("of"))
+    main = parts.groupBy("signature").agg(F.max(F.struct("of", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("signature", F.col("m.root").alias("main"))
+    strays = placed.join(main, "signature").where("root <> main").select("signature", "doc")
+    blocks = placed.join(main.select("signature"), "signature", "left_semi").join(home, "doc").select("signature", "block").distinct()
+    wanted = packed(strays.join(blocks, "signature").select("doc", "block").distinct())
+    if wanted.isEmpty():
+        return found
+    shares = wanted.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    near = full.join(shares, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "doc", "n", "tokens", F.lit(False).alias("stray"))
+    far = wanted.join(shares, "block").join(sets.select("doc", "n", "tokens"), "doc").select("block", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), "doc", "n", "tokens", F.lit(True).alias("stray"))
+    both = _rooted(near.unionByName(far), found).select("block", "part", "doc", "root", "n", "tokens", "stray")
+    edges = both.groupBy("block", "part").applyInArrow(_between, _EDGES)
+    return components(found.toDF("a", "b").unionByName(edges))
 
 
 def _linked(index: DataFrame, sets: DataFrame, ties: DataFrame) -> DataFrame:
     """(node, least) of the classes that links or ``ties`` connect."""
-    counts = index.groupBy("signature").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(index.join(counts, "signature").select("signature", "doc", F.struct(F.xxhash64("doc").alias("h"), "doc").alias("key")))
-    found, pivots = components(ties), PIVOTS
+    counts = index.groupBy("signature").agg(F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1")
+    every = packed(index.join(counts, "signature"))
+    sets = cut(sets.select("doc", "n", "tokens").join(every.select("doc").distinct(), "doc", "left_semi"))
+    found = _long_lists(every.where(F.col("size") > LONG), sets, components(ties))
+    members = every.where(F.col("size") <= LONG).select("signature", "doc", "n", F.struct(F.xxhash64("doc").alias("h"), "doc").alias("key"))
+    pivots = PIVOTS
     while True:
-        placed = members.join(found, members["doc"] == found["node"], "left").select("signature", "doc", "key", F.coalesce("least", "doc").alias("root"))
+        placed = _rooted(members, found)
         several = placed.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("signature")
-        placed = cut(placed.join(several, "signature", "left_semi"))
+        placed = packed(placed.join(several, "signature", "left_semi"))
         if placed.isEmpty():
             return found
         order = Window.partitionBy("signature").orderBy("key")
-        first = cut(placed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots))
-        chosen = first.select("signature", F.col("doc").alias("pivot"), F.col("key").alias("from"), F.col("root").alias("base"))
-        pairs = placed.join(chosen, "signature").where("key > from and root <> base").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        edges = cut(found.toDF("a", "b").unionByName(_verified(pairs, sets)))
-        found = components(edges)
+        first = packed(placed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots))
+        chosen = first.select("signature", F.col("doc").alias("pivot"), F.col("n").alias("m"), F.col("key").alias("from"), F.col("root").alias("base"))
+        able = f"key > from and root <> base and 100 * least(n, m) >= {SIMILARITY} * greatest(n, m)"
+        pairs = packed(placed.join(chosen, "signature").where(able).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct())
+        found = components(found.toDF("a", "b").unionByName(_verified(pairs, sets)))
         # a pivot has met all members: what is left are the members behind the last one
         last = first.groupBy("signature").agg(F.max("key").alias("to"))
-        members = placed.join(last, "signature").where("key > to").select("signature", "doc", "key")
+        members = placed.join(last, "signature").where("key > to").select("signature", "doc", "n", "key")
         pivots *= GROWTH
 
 
@@ -337,17 +464,18 @@ def join(docs: DataFrame) -> DataFrame:
     shared = tokens(named, buckets).groupBy("bucket").applyInArrow(_shared, _SHARED)
     every = cut(shared.groupBy("chunk").applyInArrow(_sets, _SETS))
     equal, other = every.where("mark is not null"), every.where("mark is null")
-    marked = equal.groupBy("mark", "n").agg(F.min("doc_id").alias("class_id"))
+    # cut, so that the join with it deals both sides anew and a hot group can be split
+    marked = cut(equal.groupBy("mark", "n").agg(F.min("doc_id").alias("class_id")))
     rows = cut(
-        equal.select("doc_id", "n", "mark").join(marked, ["mark", "n"]).select("doc_id", "n", "class_id").unionByName(other.select("doc_id", "n", F.col("doc_id").alias("class_id")))
+        equal.select("doc_id", "n", "mark").join(marked, ["mark", "n"]).select("doc_id", "n", "class_id", _same().alias("same")).unionByName(other.select("doc_id", "n", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("same")))
     )
-    # one row stands for each class; its equals have the same tokens
-    stands = equal.join(marked, ["mark", "n"]).where("doc_id = class_id").dropDuplicates(["mark", "n"])
-    kept = ["n", "alone", "tokens", "counts"]
-    sets = cut(stands.select(F.col("doc_id").alias("doc"), *kept).unionByName(other.where("tokens is not null").select(F.col("doc_id").alias("doc"), *kept)))
+    # one row stands for each class: its equals' signatures go, their sets never move
+    sets = every.where("tokens is not null").withColumnRenamed("doc_id", "doc")
+    gone = rows.where("doc_id <> class_id").select(F.col("doc_id").alias("doc"), "same").distinct()
+    index = _index(sets).join(gone, ["doc", "same"], "left_anti").drop("same")
     twice = rows.groupBy("doc_id").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least <> most or least <> doc_id and most = doc_id")
     ties = rows.join(twice.select("doc_id", "least"), "doc_id").select("class_id", "least")
-    found = _linked(_index(sets), sets, ties)
+    found = _linked(index, sets, ties)
     out = rows.join(found, rows["class_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("least", "class_id").alias("component_id"))
     return out.unionByName(_counts(docs.where("doc_id is null")))
 
