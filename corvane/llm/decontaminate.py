@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
+from corvane.llm.runtime import bounded
 
 #: Words in a window.
 WINDOW = 10
@@ -232,7 +233,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
                 )
                 at += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, REPORT)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, REPORT)
 
 
 def cleaned(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -272,6 +273,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
                     part = pa.RecordBatch.from_arrays(list(columns.values()), schema=part.schema).filter(pa.array(keep))
                 yield part
 
-    return docs.mapInArrow(run, fields)
+    return bounded(docs).mapInArrow(run, fields)
 
 

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
 from corvane.llm.components import components
-from corvane.llm.runtime import cut, packed
+from corvane.llm.runtime import cut, packed, bounded
 
 WORDS = 4
 #: Similarity in hundredths.
@@ -188,7 +188,7 @@ def tokens(docs: DataFrame, buckets: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.mapInArrow(run, _BLOBS)
+    return bounded(docs).mapInArrow(run, _BLOBS)
 
 
 _SHARED = "chunk long, kind int, tokens binary, at binary, count binary"
@@ -452,7 +452,7 @@ def _counts(docs: DataFrame) -> DataFrame:
                 none = pa.nulls(len(n), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, pa.array(n), none, none], names=["doc_id", "n_shingles", "class_id", "component_id"])
 
-    return docs.select("text").mapInArrow(run, "doc_id long, n_shingles long, class_id long, component_id long")
+    return bounded(docs).select("text").mapInArrow(run, "doc_id long, n_shingles long, class_id long, component_id long")
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
+from corvane.llm.runtime import bounded
 from corvane.llm.quality import held_out
 
 #: Documented bound of the training sample: rows, shared evenly by the languages.
@@ -159,4 +160,4 @@ def predict(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
                 )
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(FOLDS, HELD_OUT).alias("held_out"), "text")
-    return out.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return bounded(out).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")

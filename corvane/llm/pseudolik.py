@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
-from corvane.llm.runtime import cut
+from corvane.llm.runtime import cut, bounded
 
 #: Token numbers; 0 is outside, 1 any other character.  Five of them fit into 30 bits.
 VOCABULARY = 64
@@ -68,7 +68,7 @@ def characters(docs: DataFrame) -> list[int]:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["c", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    counted = bounded(docs).select("text").mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
     return [r[0] for r in counted.orderBy(F.desc("n"), "c").limit(VOCABULARY - 2).collect()]
 
 
@@ -124,7 +124,7 @@ def window_counts(docs: DataFrame, known) -> DataFrame:
             key, n = _merged(keys, counts)
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(n)], names=["window", "n"])
 
-    return docs.select("text").mapInArrow(run, "window int, n long").groupBy("window").agg(F.sum("n").alias("n"))
+    return bounded(docs).select("text").mapInArrow(run, "window int, n long").groupBy("window").agg(F.sum("n").alias("n"))
 
 
 class Network:
@@ -255,4 +255,4 @@ def scores(docs: DataFrame) -> DataFrame:
                 mean = pa.array(np.divide(total, size, out=np.zeros(len(size)), where=size > 0), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(size), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")

@@ -18,6 +18,16 @@ def scratch(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Bytes of texts that a Python worker gets at once.
+BATCH_BYTES = 16 << 20
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, after Arrow batches of this session are bounded by bytes as well as by rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return it with its lineage cut."""
     scratch(df.sparkSession)

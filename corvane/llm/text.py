@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Largest run of text bytes handled at once by the numpy kernels.
-SLICE_BYTES = 2 << 20
+#: Run of text bytes that the numpy kernels handle at once (one longer text alone).
+SLICE_BYTES = (1 << 20) - 64
 
 _U = np.uint64
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
@@ -73,11 +73,11 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(base: int, n: int, key: str) -> np.ndarray:
     have = _POWERS.get(key)
     if have is None or len(have) < n:
-        size = 1 << max(21, int(n - 1).bit_length())
+        size = 1 << max(20, int(n - 1).bit_length())
         steps = np.full(size, base, _U)
         steps[0] = 1
         have = np.cumprod(steps, dtype=_U)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _POWERS[key] = have
     return have[:n]
 
