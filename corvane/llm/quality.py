@@ -20,7 +20,9 @@ learned from.  Repeated rows get equal scores.  Other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
+from corvane.llm.runtime import bounded
 
 #: Documented bound of the training sample: rows, chosen by hash of doc_id.
 MAX_ROWS = 3_000
@@ -137,8 +140,8 @@ def score(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return 1 / (1 + np.exp(-z))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column | None = None, max_rows: int = MAX_ROWS) -> tuple[list[str], list[int]]:
-    """The sample to learn from: at most ``max_rows`` doc_ids in hash order.
+def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, text, label) to learn from: at most ``max_rows`` doc_ids in hash order.
 
     The ids are chosen on the narrow label table; only their texts are read.
     """
@@ -152,14 +155,27 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column | No
     if learn is not None:
         wanted = wanted.where(learn)
     wanted = wanted.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id").collect()  # max_rows ids
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return [r[1] or "" for r in rows], [r[2] for r in rows]
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")  # max_rows ids
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[str], list[int]], Any]) -> Any:
+    """What ``fit`` makes of the bounded sample's texts and labels, in order of doc_id.
+
+    One task does the work, so the driver holds the model and never the texts.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["doc_id"], r["text"] or "", r["label"]) for batch in batches for r in batch.to_pylist())
+        made = pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
+
+    got = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
+    return fit([], []) if got is None else pickle.loads(bytes(got[0]))
 
 
 def classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
     """Weights learned from the rows that are not held out, broadcast (1 MB)."""
-    return docs.sparkSession.sparkContext.broadcast(train(*labelled(docs, labels, "quality", ~held_out(), max_rows)))
+    return docs.sparkSession.sparkContext.broadcast(fitted(labelled(docs, labels, "quality", ~held_out(), max_rows), train))
 
 
 def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -173,7 +189,7 @@ def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Data
                 own = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([tx.column(own, "doc_id"), tx.column(own, "held_out"), pa.array(got), pa.array((got >= CUTOFF).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, max_rows: int = MAX_ROWS, source: DataFrame | None = None) -> DataFrame:
@@ -188,4 +204,4 @@ def accepted(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, max_row
             for first, last, data, offsets in tx.slices(tx.column(batch, "text")):
                 yield batch.slice(first, last - first).filter(pa.array(score(weights.value, data, offsets) >= cutoff))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

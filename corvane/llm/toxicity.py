@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
-from corvane.llm.quality import labelled
+from corvane.llm.runtime import bounded
+from corvane.llm.quality import fitted, labelled
 
 #: Documented bound of the training sample: rows, chosen by hash of doc_id.
 MAX_ROWS = 8_000
@@ -153,10 +154,13 @@ def targets(texts: list[str], toxic: list[int]) -> dict[str, list[int]]:
     return out | {TARGET: list(toxic)}
 
 
+def learn(texts: list[str], toxic: list[int]) -> Chain:
+    return Chain(texts, targets(texts, toxic))
+
+
 def chain(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
     """The chain learned from the labelled sample, broadcast (a vocabulary of bounded size)."""
-    texts, toxic = labelled(docs, labels, TARGET, None, max_rows)
-    return docs.sparkSession.sparkContext.broadcast(Chain(texts, targets(texts, toxic)))
+    return docs.sparkSession.sparkContext.broadcast(fitted(labelled(docs, labels, TARGET, None, max_rows), learn))
 
 
 def _probabilities(own: Chain, texts: pa.Array) -> list[list[float]]:
@@ -175,7 +179,7 @@ def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Data
 
     names = ["doc_id", *[f"p_{n}" for n in SEEDS], "score", "predicted", "toxic"]
     schema = ", ".join(["doc_id long", *[f"{n} double" for n in names[1:-2]], "predicted int", "toxic boolean"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, max_rows: int = MAX_ROWS, source: DataFrame | None = None) -> DataFrame:
@@ -189,4 +193,4 @@ def accepted(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF, max_row
         for batch in batches:
             yield batch.filter(pa.array([p[-1] < cutoff for p in _probabilities(model.value, tx.column(batch, "text"))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
