@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
+from corvane.llm.runtime import bounded
 
 #: The model file's name among the public tokenizers.
 MODEL = "piece_bpe_32k.model"
 #: Largest vocabulary that is broadcast.
 MAX_VOCABULARY = 1_000_000
-#: Segments and pairs that a worker remembers; beyond it starts anew.
-SEGMENTS, PAIRS = 300_000, 400_000
+#: Segments and pairs that a worker remembers.  A full table of segments is set
+#: aside, those that occur again move to the new one, and the rest are forgotten.
+SEGMENTS, PAIRS = 250_000, 400_000
 #: What stands for a space in pieces.
 BLANK = "▁"
 
@@ -70,6 +72,7 @@ class Pieces:
         self.written = [str(i) for i in range(len(self.rows))]
         self._pairs: dict[tuple[str, str], bool] = {}
         self._segments: dict[str, tuple[int, ...]] = {}
+        self._aside: dict[str, tuple[int, ...]] = {}
         #: A cut before a blank that follows another character is safe if no piece holds both.
         self._cuts = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         reached = {p for p in self.ids if self.merged(p) == [p]}
@@ -156,14 +159,15 @@ class Pieces:
         if not text:
             return []
         marked = BLANK + text.replace(" ", BLANK)
-        kept, out = self._segments, []
+        kept, aside, out = self._segments, self._aside, []
         for part in _SEGMENT.findall(marked) if self._cuts else (marked,):
             ids = kept.get(part)
             if ids is None:
-                ids = self.segment(part)
+                ids = aside.get(part) or self.segment(part)
                 if len(part) <= 64:
                     if len(kept) >= SEGMENTS:
-                        kept.clear()
+                        self._aside = aside = kept
+                        self._segments = kept = {}
                     kept[part] = ids
             out += ids
         return out
@@ -220,7 +224,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 coded = [pieces.value.encode(t or "") for t in texts.slice(first, last - first).to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(coded, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -243,4 +247,4 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                     decoded.append(sha(own.decode(tokens)).hexdigest())
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST)
