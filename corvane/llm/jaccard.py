@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
 from corvane.llm.components import components
-from corvane.llm.runtime import cut, packed, bounded
+from corvane.llm.runtime import bounded, cut, packed
 
 WORDS = 4
 #: Similarity in hundredths.
