@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
-from corvane.llm.runtime import cut, bounded
+from corvane.llm.runtime import bounded, cut
 
 #: Token numbers; 0 is outside, 1 any other character.  Five of them fit into 30 bits.
 VOCABULARY = 64
@@ -42,6 +42,8 @@ RATE = 0.03
 #: Windows that one training partition should hold, and that a task holds before it merges them.
 PARTITION_WINDOWS = 400_000
 MERGE_AT = 4_000_000
+#: Run of text bytes that is worked at once: the longer, the fewer contexts are met again.
+SLICE_BYTES = 3 << 20
 
 _FIXED = 1 << 20
 _WIDTH = 6
@@ -62,7 +64,7 @@ def characters(docs: DataFrame) -> list[int]:
         total = np.zeros(0x110000, np.int64)
         for batch in batches:
             texts = tx.column(batch, "text")
-            for first, last, _, _ in tx.slices(texts):
+            for first, last, _, _ in tx.slices(texts, SLICE_BYTES):
                 seen = np.bincount(codepoints(texts.slice(first, last - first))[0])
                 total[: len(seen)] += seen
         found = np.flatnonzero(total)
@@ -109,7 +111,7 @@ def window_counts(docs: DataFrame, known) -> DataFrame:
         counts: list[np.ndarray] = []
         for batch in batches:
             texts = tx.column(batch, "text")
-            for first, last, _, _ in tx.slices(texts):
+            for first, last, _, _ in tx.slices(texts, SLICE_BYTES):
                 context, token = windows(*numbers(texts.slice(first, last - first), known.value))
                 key, n = np.unique(context << _WIDTH | token, return_counts=True)
                 keys.append(key)
@@ -238,7 +240,7 @@ def scores(docs: DataFrame) -> DataFrame:
         own = Network(network.value)
         for batch in batches:
             ids, texts = tx.column(batch, "doc_id"), tx.column(batch, "text")
-            for first, last, _, _ in tx.slices(texts):
+            for first, last, _, _ in tx.slices(texts, SLICE_BYTES):
                 part = texts.slice(first, last - first)
                 row, place = numbers(part, known.value)
                 context, token = windows(row, place)
