@@ -91,8 +91,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, where = tx.words(tx.LOWER[data], offsets)
     h = tx.word_hashes(tx.LOWER[data], starts, ends)
     rolled = np.zeros(len(h), _U)
-    for k in range(WORDS):
-        rolled[: len(h) - k] = rolled[: len(h) - k] * _U(0x9FB21C651E98DF25) + h[k:] if len(h) > k else rolled
+    for k in range(min(WORDS, len(h))):  # a slice may hold fewer words than a shingle
+        rolled[: len(h) - k] = rolled[: len(h) - k] * _U(0x9FB21C651E98DF25) + h[k:]
     rolled = tx.mix(rolled) >> _U(1)
     out, bounds = [], [0]
     for i in range(len(offsets) - 1):

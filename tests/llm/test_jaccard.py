@@ -149,3 +149,13 @@ def test_rows_that_share_an_id_are_one_node(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     docs = spark.createDataFrame([(5, a), (5, b), (2, b), (9, a), (7, "other words here today")], "doc_id long, text string")
     assert {(r["doc_id"], r["component_id"]) for r in op.join(docs).collect()} == {(5, 2), (2, 2), (9, 2), (7, 7)}
+
+
+@pytest.mark.parametrize("text", ["one", "one two", "one two three", "one two three four"])
+def test_a_short_text_alone_in_its_slice(spark, text):
+    long = "many other words stand here " * 50_000
+    assert result(op.join(edge.frame(spark, [text]).coalesce(1))) == {0: (1, 0)}
+    # behind a text of over 1 MB a short one gets a slice of its own
+    assert result(op.join(edge.frame(spark, [long, text, text]).coalesce(1))) == brute([long, text, text])
+    none = spark.createDataFrame([(None, text), (1, long)], "doc_id long, text string").repartition(2, "doc_id")
+    assert {(r["doc_id"], r["n_shingles"]) for r in op.join(none).collect()} == {(None, 1), (1, 5)}
