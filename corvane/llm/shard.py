@@ -5,8 +5,12 @@ are laid over the key space; one pass over a narrow key table counts the exact
 bytes and rows between neighbouring probes, and only intervals that hold a
 splitter's target and are heavier than the tolerance are probed more finely.
 A hash that alone is heavier (many equal texts) is refined by doc_id.  The same
-counts cut the order into small buckets, so that a row's slot is its bucket's
-offset plus its rank there: one exchange, no task holds a shard.
+counts cut the order into buckets that are small in rows and in bytes, so that
+a row's slot is its bucket's offset plus its rank there: whole rows, with all
+their columns, are exchanged once by (shard, bucket), and no task holds a shard.
+
+``rows`` gives the rows with shard and slot, ``write`` writes a folder of files
+for each shard, and ``assign`` derives its digest from the rows in these files.
 
 Law ``bytes``: a shard's bytes differ from the ideal by at most two tolerances
 and one indivisible unit.  Equal texts are neighbours in the order and share a
@@ -16,26 +20,27 @@ doc_id can't be told apart and stay together.
 Cases: a null text has size 1 and the checksum of an empty one; a null doc_id
 sorts first.  Repeated rows each get a slot of their own (which of two equal
 rows gets which is of no consequence).  An empty table gives no rows; columns
-other than doc_id and text are never read.
+other than doc_id and text are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
-from corvane.llm.runtime import cut
+from corvane.llm.runtime import cut, scratch
 
 SHARDS = 16
 #: Part of a shard's ideal bytes by which a splitter may miss.
 TOLERANCE = 0.002
-#: Rows that a bucket of the exchange should hold.
-BUCKET_ROWS = 200_000
+#: Rows and bytes that a bucket of the exchange should hold.
+BUCKET_ROWS, BUCKET_BYTES = 200_000, 16 << 20
 #: Buckets at least, so that small tables spread too.
 LEAST_BUCKETS = 512
 #: Probes laid into each interval that is refined.
@@ -44,15 +49,17 @@ PROBES = 64
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
+def _text(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def _size(text: Column) -> Column:
+    return (F.octet_length(_text(text)) + F.lit(1)).cast("long")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, h): what the order and the counts need."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("h"),
-    )
+    """(doc_id, size, h): what the order and the counts need."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _size(F.col("text")).alias("size"), F.xxhash64(_text(F.col("text"))).alias("h"))
 
 
 class Bounds:
@@ -120,11 +127,11 @@ def _probes(low: tuple[int, int], high: tuple[int, int], n: int) -> list[tuple[i
 
 def plan(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> tuple[Bounds, np.ndarray, np.ndarray]:
     """Boundaries of the buckets, each bucket's shard and its first row's slot."""
-    total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    buckets = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
+    total, count = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    buckets = max(LEAST_BUCKETS, -(-count // BUCKET_ROWS), -(-total // BUCKET_BYTES))
     step = (1 << 64) // buckets
     bounds = Bounds([(_LOW + i * step, None) for i in range(buckets)])
-    ideal, wide = total / shards, max(1, rows // buckets)
+    ideal, wide = total / shards, max(1, count // buckets)
     targets = [ideal * k for k in range(1, shards)]
     while True:
         found = _histogram(keys, bounds)
@@ -134,7 +141,7 @@ def plan(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) ->
             size, n, h0, h1, d0, d1 = (int(x) for x in found[i])
             if n > 1 and (h0, d0) != (h1, d1):
                 split = size > tolerance * ideal and any(below[i] < t < below[i + 1] for t in targets)
-                if split or n > 8 * wide:
+                if split or n > 8 * wide or size > 2 * BUCKET_BYTES:
                     more += _probes((h0, d0), (h1, d1), PROBES)
         grown = Bounds(bounds.keys + more)
         if len(grown.keys) == len(bounds.keys):
@@ -150,20 +157,40 @@ def plan(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) ->
     return bounds, shard, before - first[shard]
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
-    keys = cut(keyed(docs))
-    bounds, shard, offset = plan(keys, shards, tolerance)
-    shared = keys.sparkSession.sparkContext.broadcast((bounds, shard, offset))  # as long as the buckets
+def rows(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """shard, slot and the whole row (a struct ``row`` with all columns of ``docs``), moved once by (shard, bucket)."""
+    bounds, shard, offset = plan(cut(keyed(docs)), shards, tolerance)
+    shared = docs.sparkSession.sparkContext.broadcast((bounds, shard, offset))  # as long as the buckets
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("bucket long, shard int, first long")
+    def place(h: pa.Array, doc_id: pa.Array) -> pa.Array:
         bounds, shard, offset = shared.value
-        for batch in batches:
-            at = bounds.place(*_key_arrays(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(shard[at]), pa.array(offset[at])], names=[*batch.schema.names, "bucket", "shard", "first"])
+        at = bounds.place(h.to_numpy(zero_copy_only=False), doc_id.fill_null(_LOW).to_numpy(zero_copy_only=False))
+        return pa.StructArray.from_arrays([pa.array(at.astype(np.int64)), pa.array(shard[at].astype(np.int32)), pa.array(offset[at])], names=["bucket", "shard", "first"])
+
+    whole = docs.select(F.struct("*").alias("row"))
+    keyed_rows = whole.withColumns({"doc_id": F.col("row.doc_id").cast("long"), "h": F.xxhash64(_text(F.col("row.text")))})
+    placed = keyed_rows.withColumn("place", place("h", "doc_id")).select("row", "doc_id", "h", "place.*")
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "doc_id"))
+    return placed.select("shard", (F.col("first") + rank - 1).cast("long").alias("slot"), "row")
+
 
-    placed = keys.mapInArrow(run, "doc_id long, size long, text_crc32 long, h long, bucket long, shard long, first long")
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "doc_id"))
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("first") + rank - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+def write(docs: DataFrame, folder: str, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows, written to ``folder`` with a subfolder for each shard and read again."""
+    moved = rows(docs, shards, tolerance)
+    moved.write.partitionBy("shard").parquet(folder)
+    return docs.sparkSession.read.schema(moved.schema).parquet(folder)
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row, from the written shards."""
+    text, found = F.col("row.text"), write(docs, f"{scratch(docs.sparkSession)}/shards-{uuid.uuid4().hex}", shards, tolerance)
+    return found.select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        _size(text).alias("size"),
+        F.crc32(_text(text).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -129,3 +129,25 @@ def test_shard_edges(spark):
     whole(rows, shard.SHARDS)
     assert len(rows) == len(edge.rows()) and all(r["size"] == 1 and r["text_crc32"] == 0 for r in rows if r["doc_id"] in (0, 1))
     assert shard.assign(edge.none(spark)).count() == 0
+
+
+def test_whole_rows_reach_the_shards(spark, tmp_path):
+    docs = edge.documents(spark)
+    found = shard.write(docs, str(tmp_path / "shards"), 4)
+    got = found.collect()
+    assert sorted((tuple(r["row"]) for r in got), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+    assert found.select("row.*").columns == docs.columns
+    digest = sorted((r["shard"], r["slot"], r["doc_id"], r["size"], r["text_crc32"]) for r in shard.assign(docs, 4).collect() if r["doc_id"] is not None)
+    assert digest == sorted((r["shard"], r["slot"], r["row"]["doc_id"], len((r["row"]["text"] or "").encode()) + 1, zlib.crc32((r["row"]["text"] or "").encode())) for r in got if r["row"]["doc_id"] is not None)
+    folders = {int(p.name.removeprefix("shard=")) for p in (tmp_path / "shards").iterdir() if p.is_dir()}
+    assert folders == {r["shard"] for r in got}
+
+
+def test_long_texts_make_small_buckets(spark, monkeypatch):
+    monkeypatch.setattr(shard, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(shard, "LEAST_BUCKETS", 2)
+    docs = edge.frame(spark, ["same long text " * 100] * 300 + [f"text {i} " * 300 for i in range(200)])
+    keys = shard.keyed(docs).cache()
+    bounds, _, _ = shard.plan(keys, 2)
+    assert shard._histogram(keys, bounds)[:, 0].max() <= 40_000
+    whole(shards(shard.assign(docs, 2)), 2)
