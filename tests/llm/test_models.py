@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy, decoding against plain formulas, edge cases."""
 
+import textwrap
 import zlib
 
 import edge
@@ -164,6 +165,36 @@ def test_unknown_notices_stay_unknown(spark):
     assert licences.scan(edge.documents(spark)).count() == len(edge.rows()) and licences.scan(edge.none(spark)).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    notices = {
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    }
+    prose = "we tell of the house and the people that lived in it for many years\nand of the city with all its streets and the money of a day\n" * 9
+    texts, want = [], []
+    for family, notice in notices.items():
+        for width in (12, 35, 66, 72, 300):
+            wrapped = textwrap.fill(notice, width)
+            for text in (wrapped, prose + wrapped + "\n" + prose, "# " + wrapped.replace("\n", "\r\n# "), "first\n \n" + wrapped + "\n\nlast"):
+                texts.append(text)
+                want.append(family)
+    rows = edge.by_id(licences.scan(edge.frame(spark, texts)))
+    assert [rows[i]["families"] for i in range(len(texts))] == want
+
+
+def test_no_run_that_a_template_confirms_is_passed_over():
+    rng = np.random.default_rng(4)
+    needed = set(licences.least_words())
+    for text in (t for texts in licences.TEMPLATES.values() for t in texts):
+        words = sorted(set(text.split()))
+        assert len(text.split()) <= licences.REACH
+        for _ in range(200):
+            assert needed & set(rng.choice(words, licences.least(words), replace=False))
+
+
 # --- pseudo-likelihood -----------------------------------------------------
 
 
