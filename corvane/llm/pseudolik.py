@@ -1,10 +1,12 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Tokens are lower-cased characters: the corpus' most frequent ones have numbers
-of their own, the others share one, and one more marks what lies outside a
-text.  A network with one hidden layer sees the two tokens on each side of a
+Texts are lower-cased and written in an alphabet of 64 tokens.  The corpus' most
+frequent characters have tokens of their own.  Every other character, of
+whatever script, is spelled: a lead token, then the digits of its rank among
+the corpus' characters, so that different texts never become the same tokens.
+One more token marks what lies outside a text.  A network with one hidden layer sees the two tokens on each side of a
 masked one and predicts it; a document's score is the sum of the conditional
-log-probabilities of all its tokens.
+log-probabilities of all its tokens, spelled ones included.
 
 Everything is gathered from all documents: characters are counted, then every
 window of five tokens (one pre-aggregated exchange), and the network is trained
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 from corvane.llm import text as tx
 from corvane.llm.runtime import bounded, cut
 
-#: Token numbers; 0 is outside, 1 any other character.  Five of them fit into 30 bits.
+#: Token numbers; 0 is outside, 1 leads a spelled character.  Five of them fit into 30 bits.
 VOCABULARY = 64
+#: Characters with a token of their own, whose tokens are also the digits of spelled ones.
+OWN = VOCABULARY - 2
 SIDE = 2
 HIDDEN = 16
 #: Averaging rounds, and steps of each partition between two of them.
@@ -58,7 +62,7 @@ def codepoints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def characters(docs: DataFrame) -> list[int]:
-    """The corpus' most frequent characters, by count and then by number."""
+    """The corpus' characters, by falling count and then by number (at most as many as Unicode has)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0x110000, np.int64)
@@ -71,24 +75,46 @@ def characters(docs: DataFrame) -> list[int]:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["c", "n"])
 
     counted = bounded(docs).select("text").mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counted.orderBy(F.desc("n"), "c").limit(VOCABULARY - 2).collect()]
+    return [r[0] for r in counted.orderBy(F.desc("n"), "c").collect()]
 
 
-def numbers(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers with SIDE marks before and after each text, and the place of every token."""
+def spelled(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers of all texts and n+1 bounds."""
     chars, bounds = codepoints(texts)
+    code = known[np.minimum(chars, len(known) - 1)]
+    rare = np.flatnonzero(code >= VOCABULARY)
+    if not len(rare):
+        return code, bounds
+    rank, digits, most = code[rare] - VOCABULARY, 1, int(known.max()) - VOCABULARY
+    while OWN**digits <= most:
+        digits += 1
+    begin = np.arange(len(code) + 1)
+    begin[1:] += digits * np.cumsum(code >= VOCABULARY)
+    out = np.zeros(begin[-1], np.int32)
+    out[begin[:-1]] = np.where(code >= VOCABULARY, 1, code)
+    for k in range(digits):
+        out[begin[rare] + 1 + k] = 2 + rank // OWN ** (digits - 1 - k) % OWN
+    return out, begin[bounds]
+
+
+def _padded(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad = np.arange(len(bounds) - 1) * 2 * SIDE + SIDE
-    place = np.arange(len(chars)) + np.repeat(pad, np.diff(bounds))
-    out = np.zeros(len(chars) + 2 * SIDE * (len(bounds) - 1), np.int32)
-    out[place] = known[np.minimum(chars, len(known) - 1)]
+    place = np.arange(len(tokens)) + np.repeat(pad, np.diff(bounds))
+    out = np.zeros(len(tokens) + 2 * SIDE * (len(bounds) - 1), np.int32)
+    out[place] = tokens
     return out, place
 
 
+def numbers(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers with SIDE marks before and after each text, and the place of every token."""
+    return _padded(*spelled(texts, known))
+
+
 def table(chars: list[int]) -> np.ndarray:
-    """Token number by character; the last entry stands for all beyond it."""
+    """By character its token, or VOCABULARY and its rank among those to be spelled."""
     out = np.ones(max(chars, default=0) + 2, np.int32)
     for k, c in enumerate(chars):
-        out[c] = k + 2
+        out[c] = k + 2  # OWN characters have 2 to VOCABULARY - 1
     return out
 
 
@@ -242,7 +268,8 @@ def scores(docs: DataFrame) -> DataFrame:
             ids, texts = tx.column(batch, "doc_id"), tx.column(batch, "text")
             for first, last, _, _ in tx.slices(texts, SLICE_BYTES):
                 part = texts.slice(first, last - first)
-                row, place = numbers(part, known.value)
+                tokens, bounds = spelled(part, known.value)
+                row, place = _padded(tokens, bounds)
                 context, token = windows(row, place)
                 each, at = np.unique(context, return_inverse=True)
                 fixed = np.empty(len(token), np.int64)
@@ -252,7 +279,6 @@ def scores(docs: DataFrame) -> DataFrame:
                     z = np.round(own.forward(each[a : a + 20_000])[2].astype(float) * _FIXED).astype(np.int64)
                     own_rows = order[ends[k] : ends[k + 1]]
                     fixed[own_rows] = z[at[own_rows] - a, token[own_rows]]
-                bounds = np.concatenate([[0], np.cumsum([len((t or "").lower()) for t in part.to_pylist()])]).astype(np.int64)
                 size, total = np.diff(bounds), tx.segment_sums(fixed, bounds) / _FIXED
                 mean = pa.array(np.divide(total, size, out=np.zeros(len(size)), where=size > 0), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(size), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])

@@ -251,3 +251,23 @@ def test_pseudo_likelihood_edges(spark):
     assert pseudolik.scores(edge.documents(spark)).count() == len(edge.rows())
     assert pseudolik.scores(edge.none(spark)).count() == 0
     assert {r["log_prob"] for r in pseudolik.scores(edge.frame(spark, [None, ""])).collect()} == {0.0}
+
+
+def test_minority_scripts_are_scored_as_language(spark):
+    common = "".join(chr(c) for c in range(33, 127)).lower()
+    rng = np.random.default_rng(6)
+    russian = "кошка сидит на окне и смотрит на птиц "
+    texts = [common * 600] * 6 + [russian * 8] * 40 + ["".join(rng.permutation(list(russian * 8))) for _ in range(4)] + ["日本語の文章", "中国語の文書", "हिन्दी में", "العربية لغ"]
+    got = edge.by_id(pseudolik.scores(edge.frame(spark, texts)))
+    assert max(got[k]["mean_log_prob"] for k in range(46, 50)) < got[6]["mean_log_prob"] - 0.1
+    assert len({round(got[k]["log_prob"], 6) for k in range(46, 54)}) == 8
+
+
+def test_spelling_tells_all_texts_apart():
+    known = pseudolik.table([*range(97, 123), *range(0x4E00, 0x4E00 + 9000)])
+    rng = np.random.default_rng(7)
+    texts = ["".join(chr(c) for c in rng.choice([97, 98, 0x4E00, 0x4E30, 0x4E40, 0x6000, 0x7000], 4)) for _ in range(500)]
+    tokens, bounds = pseudolik.spelled(pa.array([*texts, None, ""]), known)
+    assert tokens.min() > 0 and tokens.max() < pseudolik.VOCABULARY and bounds[-1] == bounds[-3] == len(tokens)
+    spelled = {t: tuple(tokens[a:b]) for t, a, b in zip(texts, bounds, bounds[1:], strict=False)}
+    assert len(set(spelled.values())) == len(set(texts))
