@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.text import bind
+
 
 def flag(condition: Column) -> Column:
     return F.when(condition, 1.0).otherwise(0.0)
@@ -21,7 +23,7 @@ def levenshtein(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of distinct arrays; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(bind(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both)))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -57,31 +59,47 @@ def indel(a: str, b: str) -> float:
 
 
 def sorted_ratio(a: str, b: str) -> float:
-    """Indel similarity of the sorted words."""
-    return indel(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) if a and b else 0.0
+    """Indel similarity of two texts of sorted words."""
+    return indel(a, b) if a and b else 0.0
+
+
+def set_ratio(both: str, only_a: str, only_b: str) -> float:
+    """Best indel similarity among the shared words and the shared words with either rest (neither is empty).
+
+    Where words are shared they and a space lead both texts, so only the rests
+    have to be compared.
+    """
+    n = len(both)
+    lead = n + 1 if n else 0
+    a, b = lead + len(only_a), lead + len(only_b)
+    best = 2 * (lead + subsequence(only_a, only_b)) / (a + b)
+    return max(best, 2 * n / (n + a), 2 * n / (n + b)) if n else best
+
+
+def _arrow(measure: Callable[..., float]):
+    @F.arrow_udf(T.DoubleType())
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else measure(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+    @F.arrow_udf(T.DoubleType())
+    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else measure(x, y, z) for x, y, z in zip(a.to_pylist(), b.to_pylist(), c.to_pylist(), strict=True)], pa.float64())
 
+    return two, three
 
-def set_ratio(a: str, b: str) -> float:
-    """Best indel similarity among the shared words and the shared words with either rest; 1 if one set holds the other."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, only_a, only_b = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if both and (not only_a or not only_b):
-        return 1.0
-    with_a, with_b = f"{both} {only_a}".strip(), f"{both} {only_b}".strip()
-    best = indel(with_a, with_b)
-    return max(best, indel(both, with_a), indel(both, with_b)) if both else best
 
+#: Arrow functions, since Spark has no common-subsequence measure; only pairs that expressions can't settle reach them.
+_sorted_ratio, _set_ratio = _arrow(sorted_ratio)[0], _arrow(set_ratio)[1]
 
-def _udf(measure: Callable[[str, str], float]):
-    @F.pandas_udf(T.DoubleType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([measure(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return run
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    """Indel similarity of two texts of sorted words; 0 if either is empty."""
+    settled = F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0)
+    return F.coalesce(settled, _sorted_ratio(F.when(settled.isNull(), a), b))
 
 
-#: Arrow functions: Spark has no common-subsequence measure.
-token_sort_ratio = _udf(sorted_ratio)
-token_set_ratio = _udf(set_ratio)
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Of two sorted arrays of distinct words: 0 if either is empty, 1 if one holds the other, else the best similarity."""
+    both, only_a, only_b = F.array_intersect(a, b), F.array_except(a, b), F.array_except(b, a)
+    settled = F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).when((F.size(only_a) == 0) | (F.size(only_b) == 0), 1.0)
+    return F.coalesce(settled, _set_ratio(F.when(settled.isNull(), F.array_join(both, " ")), F.array_join(only_a, " "), F.array_join(only_b, " ")))

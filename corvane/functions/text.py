@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,15 +69,40 @@ def first(column: Column) -> Column:
     return F.coalesce(F.try_element_at(column, F.lit(1)), F.lit(""))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+
+    def once(x: Column) -> Column:
+        return use(x)
+
+    return F.element_at(F.transform(F.array(value), once), 1)
+
+
+def _grams(column: Column, n: int, kind: str, gram: Callable[[Column, Column], Column], whole: Callable[[Column], Column]) -> Column:
+    def made(plain: Column) -> Column:
+        size = F.char_length(plain)
+        every = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: gram(plain, i))
+        return F.when(size == 0, F.array().cast(kind)).when(size < n, F.array(whole(plain))).otherwise(F.array_distinct(every))
+
+    return bind(F.lower(F.regexp_replace(column, f"{SPACE}+", "")), made)
+
+
 def ngrams(column: Column, n: int) -> Column:
     """Distinct n-grams of a text's lower-cased characters without white space.
 
     A shorter text is its own and only n-gram, an empty one has none.
     """
-    plain = F.lower(F.regexp_replace(column, f"{SPACE}+", ""))
-    size = F.char_length(plain)
-    every = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substr(plain, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(plain)).otherwise(F.array_distinct(every))
+    return _grams(column, n, "array<string>", lambda plain, i: F.substr(plain, i, F.lit(n)), lambda plain: plain)
+
+
+def trigram_codes(column: Column) -> Column:
+    """``ngrams(column, 3)`` as numbers: code points of 21 bits each, so that equal codes are equal 3-grams."""
+
+    def code(plain: Column, i: Column | int) -> Column:
+        points = [F.ascii(F.substr(plain, F.lit(k) + i, F.lit(1))).cast("long") for k in range(3)]
+        return F.shiftleft(points[0], 42) + F.shiftleft(points[1], 21) + points[2]
+
+    return _grams(column, 3, "array<bigint>", code, lambda plain: code(plain, 1))
 
 
 def is_indic(column: Column) -> Column:

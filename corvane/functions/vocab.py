@@ -21,35 +21,36 @@ COUNTRIES = {
 COUNTRIES_ENHANCED = COUNTRIES | {"bharat": "India", "republique francaise": "France"}
 
 # --- business names --------------------------------------------------------
-#: Legal forms: (pattern, replacement), applied in this order.
+#: Legal forms: (text that must occur for the rule to be tried, pattern, replacement), applied in this order.
+#: The first is fixed behaviour too: a dotted form is only tried where its undotted letters occur elsewhere.
 LEGAL_FORMS = [
-    (r"\bprivate\s+limited\b", "pvt ltd"),
-    (r"\bpvt\.?\s*ltd\.?\b", "pvt ltd"),
-    (r"\bpvt\s+limited\b", "pvt ltd"),
-    (r"\bprivate\s+ltd\.?\b", "pvt ltd"),
-    (r"\blimited\s+liability\s+company\b", "llc"),
-    (r"\bl\.l\.c\.?\b", "llc"),
-    (r"\bl\.p\.?\b", "lp"),
-    (r"\bpublic\s+limited\s+(?:company)?\b", "plc"),
-    (r"\bp\.l\.c\.?\b", "plc"),
-    (r"\blimited\b", "ltd"),
-    (r"\bltd\.?\b", "ltd"),
-    (r"\bincorporated\b", "inc"),
-    (r"\binc\.?\b", "inc"),
-    (r"\bcorporation\b", "corp"),
-    (r"\bcorp\.?\b", "corp"),
-    (r"\bcompany\b", "co"),
-    (r"\bco\.?\b", "co"),
-    (r"\bs\.a\.r\.l\.?\b", "sarl"),
-    (r"\bs\.a\.s\.u\.?\b", "sasu"),
-    (r"\bs\.a\.s\.?\b", "sas"),
-    (r"\bs\.a\.?\b", "sa"),
-    (r"\be\.u\.r\.l\.?\b", "eurl"),
-    (r"\bs\.c\.i\.?\b", "sci"),
-    (r"\bs\.n\.c\.?\b", "snc"),
-    (r"\bs\.c\.a\.?\b", "sca"),
-    (r"\bg\.m\.b\.h\.?\b", "gmbh"),
-    (r"\bl\.l\.p\.?\b", "llp"),
+    ("private", r"\bprivate\s+limited\b", "pvt ltd"),
+    ("pvt", r"\bpvt\.?\s*ltd\.?\b", "pvt ltd"),
+    ("pvt", r"\bpvt\s+limited\b", "pvt ltd"),
+    ("private", r"\bprivate\s+ltd\.?\b", "pvt ltd"),
+    ("limited", r"\blimited\s+liability\s+company\b", "llc"),
+    ("llc", r"\bl\.l\.c\.?\b", "llc"),
+    ("lp", r"\bl\.p\.?\b", "lp"),
+    ("public", r"\bpublic\s+limited\s+(?:company)?\b", "plc"),
+    ("plc", r"\bp\.l\.c\.?\b", "plc"),
+    ("limited", r"\blimited\b", "ltd"),
+    ("ltd", r"\bltd\.?\b", "ltd"),
+    ("incorporated", r"\bincorporated\b", "inc"),
+    ("inc", r"\binc\.?\b", "inc"),
+    ("corporation", r"\bcorporation\b", "corp"),
+    ("corp", r"\bcorp\.?\b", "corp"),
+    ("company", r"\bcompany\b", "co"),
+    ("co", r"\bco\.?\b", "co"),
+    ("sarl", r"\bs\.a\.r\.l\.?\b", "sarl"),
+    ("sasu", r"\bs\.a\.s\.u\.?\b", "sasu"),
+    ("sas", r"\bs\.a\.s\.?\b", "sas"),
+    ("sa", r"\bs\.a\.?\b", "sa"),
+    ("eurl", r"\be\.u\.r\.l\.?\b", "eurl"),
+    ("sci", r"\bs\.c\.i\.?\b", "sci"),
+    ("snc", r"\bs\.n\.c\.?\b", "snc"),
+    ("sca", r"\bs\.c\.a\.?\b", "sca"),
+    ("gmbh", r"\bg\.m\.b\.h\.?\b", "gmbh"),
+    ("llp", r"\bl\.l\.p\.?\b", "llp"),
 ]
 #: Single words that end or begin a name without being part of its core.
 LEGAL_WORDS = ["ltd", "inc", "llc", "corp", "co", "plc", "llp", "sarl", "sas", "sasu", "sa", "eurl", "sci", "snc", "sca", "gmbh", "lp", "pvt", "private"]
@@ -86,37 +87,38 @@ GENERIC_TERMS_ENHANCED = [
 ]
 
 # --- addresses -------------------------------------------------------------
-#: Street, then unit, then state rules: (pattern, replacement), applied in this order.
+#: Street, then unit, then state rules: (text that must occur, pattern, replacement), applied in this order.
+#: Some of the texts hold brackets, so that these rules never apply.
 STREETS = [
-    (r"\broad\b", "rd"), (r"\brd\.?\b", "rd"), (r"\bstreet\b", "st"), (r"\bst\.?\b", "st"), (r"\bsaint\b", "st"),
-    (r"\bavenue\b", "ave"), (r"\bave\.?\b", "ave"), (r"\bboulevard\b", "blvd"), (r"\bblvd\.?\b", "blvd"),
-    (r"\bdrive\b", "dr"), (r"\bdr\.?\b", "dr"), (r"\blane\b", "ln"), (r"\bln\.?\b", "ln"),
-    (r"\bhighway\b", "hwy"), (r"\bhwy\.?\b", "hwy"), (r"\bcircle\b", "cir"), (r"\bcir\.?\b", "cir"),
-    (r"\bcourt\b", "ct"), (r"\bct\.?\b", "ct"), (r"\bparkway\b", "pkwy"), (r"\bpkwy\.?\b", "pkwy"),
-    (r"\bterrace\b", "ter"), (r"\bter\.?\b", "ter"), (r"\bexpressway\b", "expy"), (r"\bexpy\.?\b", "expy"),
-    (r"\btrail\b", "trl"), (r"\bplace\b", "pl"), (r"\bsquare\b", "sq"),
-    (r"\brue\b", "st"), (r"\bchemin\b", "ch"), (r"\bimpasse\b", "imp"), (r"\ball[eé]e\b", "all"), (r"\broute\b", "rte"),
-    (r"\bquai\b", "quai"), (r"\bcours\b", "crs"), (r"\bpassage\b", "pass"), (r"\bfaubourg\b", "fbg"),
+    ("road", r"\broad\b", "rd"), ("rd", r"\brd\.?\b", "rd"), ("street", r"\bstreet\b", "st"), ("st", r"\bst\.?\b", "st"), ("saint", r"\bsaint\b", "st"),
+    ("avenue", r"\bavenue\b", "ave"), ("ave", r"\bave\.?\b", "ave"), ("boulevard", r"\bboulevard\b", "blvd"), ("blvd", r"\bblvd\.?\b", "blvd"),
+    ("drive", r"\bdrive\b", "dr"), ("dr", r"\bdr\.?\b", "dr"), ("lane", r"\blane\b", "ln"), ("ln", r"\bln\.?\b", "ln"),
+    ("highway", r"\bhighway\b", "hwy"), ("hwy", r"\bhwy\.?\b", "hwy"), ("circle", r"\bcircle\b", "cir"), ("cir", r"\bcir\.?\b", "cir"),
+    ("court", r"\bcourt\b", "ct"), ("ct", r"\bct\.?\b", "ct"), ("parkway", r"\bparkway\b", "pkwy"), ("pkwy", r"\bpkwy\.?\b", "pkwy"),
+    ("terrace", r"\bterrace\b", "ter"), ("ter", r"\bter\.?\b", "ter"), ("expressway", r"\bexpressway\b", "expy"), ("expy", r"\bexpy\.?\b", "expy"),
+    ("trail", r"\btrail\b", "trl"), ("place", r"\bplace\b", "pl"), ("square", r"\bsquare\b", "sq"),
+    ("rue", r"\brue\b", "st"), ("chemin", r"\bchemin\b", "ch"), ("impasse", r"\bimpasse\b", "imp"), ("all[eé]e", r"\ball[eé]e\b", "all"), ("route", r"\broute\b", "rte"),
+    ("quai", r"\bquai\b", "quai"), ("cours", r"\bcours\b", "crs"), ("passage", r"\bpassage\b", "pass"), ("faubourg", r"\bfaubourg\b", "fbg"),
 ]
 UNITS = [
-    (r"\bapartment\b", "apt"), (r"\bapt\.?\b", "apt"), (r"\bsuite\b", "ste"), (r"\bste\.?\b", "ste"),
-    (r"\bbuilding\b", "bldg"), (r"\bbldg\.?\b", "bldg"), (r"\bfloor\b", "fl"), (r"\bfl\.?\b", "fl"),
-    (r"\bdoor\s+no\.?\b", "door"), (r"\bshop\s+no\.?\b", "shop"), (r"\bplot\s+no\.?\b", "plot"), (r"\bflat\s+no\.?\b", "flat"),
-    (r"\b(?:house\s+no|h\.?\s*no)\.?\b", "hno"), (r"\bkh\s*(?:no\.?|-)\s*", "kh "),
-    (r"\bp\.?\s*o\.?\s*box\b", "pobox"), (r"\bpo\s+box\b", "pobox"),
-    (r"\bb[aâ]timent\b", "bldg"), (r"\bb[aâ]t\.?\b", "bldg"), (r"\b[eé]tage\b", "fl"), (r"\br[eé]sidence\b", "res"),
-    (r"\bporte\b", "door"), (r"\bb\.?\s*p\.?\b", "pobox"), (r"\bcedex\b", "cedex"),
-    (r"\bz\.?\s*i\.?\b", "zi"), (r"\bz\.?\s*a\.?\b", "za"), (r"\bz\.?\s*a\.?\s*c\.?\b", "zac"), (r"\bnull\b", " "),
+    ("apartment", r"\bapartment\b", "apt"), ("apt", r"\bapt\.?\b", "apt"), ("suite", r"\bsuite\b", "ste"), ("ste", r"\bste\.?\b", "ste"),
+    ("building", r"\bbuilding\b", "bldg"), ("bldg", r"\bbldg\.?\b", "bldg"), ("floor", r"\bfloor\b", "fl"), ("fl", r"\bfl\.?\b", "fl"),
+    ("door", r"\bdoor\s+no\.?\b", "door"), ("shop", r"\bshop\s+no\.?\b", "shop"), ("plot", r"\bplot\s+no\.?\b", "plot"), ("flat", r"\bflat\s+no\.?\b", "flat"),
+    ("house", r"\b(?:house\s+no|h\.?\s*no)\.?\b", "hno"), ("kh", r"\bkh\s*(?:no\.?|-)\s*", "kh "),
+    ("p", r"\bp\.?\s*o\.?\s*box\b", "pobox"), ("po", r"\bpo\s+box\b", "pobox"),
+    ("b[aâ]timent", r"\bb[aâ]timent\b", "bldg"), ("b[aâ]t", r"\bb[aâ]t\.?\b", "bldg"), ("[eé]tage", r"\b[eé]tage\b", "fl"), ("r[eé]sidence", r"\br[eé]sidence\b", "res"),
+    ("porte", r"\bporte\b", "door"), ("b", r"\bb\.?\s*p\.?\b", "pobox"), ("cedex", r"\bcedex\b", "cedex"),
+    ("z", r"\bz\.?\s*i\.?\b", "zi"), ("z", r"\bz\.?\s*a\.?\b", "za"), ("z", r"\bz\.?\s*a\.?\s*c\.?\b", "zac"), ("null", r"\bnull\b", " "),
 ]
 STATES = [
-    (r"\bnorth\s+carolina\b", "nc"), (r"\bsouth\s+carolina\b", "sc"), (r"\bnew\s+york\b", "ny"), (r"\bcalifornia\b", "ca"),
-    (r"\btexas\b", "tx"), (r"\bflorida\b", "fl"), (r"\billinois\b", "il"), (r"\bmissouri\b", "mo"), (r"\bmaryland\b", "md"),
-    (r"\bohio\b", "oh"), (r"\bconnecticut\b", "ct"), (r"\boklahoma\b", "ok"), (r"\barizona\b", "az"), (r"\bpennsylvania\b", "pa"),
-    (r"\bmichigan\b", "mi"), (r"\bgeorgia\b", "ga"), (r"\bvirginia\b", "va"), (r"\btennessee\b", "tn"), (r"\bcolorado\b", "co"),
-    (r"\bnew\s+jersey\b", "nj"), (r"\buttarakhand\b", "uk"), (r"\buttarkhand\b", "uk"), (r"\buttar\s+pradesh\b", "up"),
-    (r"\btamil\s+nadu\b", "tn"), (r"\bmadhya\s+pradesh\b", "mp"), (r"\bwest\s+bengal\b", "wb"), (r"\bkarnataka\b", "ka"),
-    (r"\bmaharashtra\b", "mh"), (r"\bdelhi\b", "dl"), (r"\brajasthan\b", "rj"), (r"\bgujarat\b", "gj"), (r"\bharyana\b", "hr"),
-    (r"\bandhra\s+pradesh\b", "ap"), (r"\btelangana\b", "ts"), (r"\bkerala\b", "kl"), (r"\bpunjab\b", "pb"), (r"\bbihar\b", "br"),
+    ("north", r"\bnorth\s+carolina\b", "nc"), ("south", r"\bsouth\s+carolina\b", "sc"), ("new", r"\bnew\s+york\b", "ny"), ("california", r"\bcalifornia\b", "ca"),
+    ("texas", r"\btexas\b", "tx"), ("florida", r"\bflorida\b", "fl"), ("illinois", r"\billinois\b", "il"), ("missouri", r"\bmissouri\b", "mo"), ("maryland", r"\bmaryland\b", "md"),
+    ("ohio", r"\bohio\b", "oh"), ("connecticut", r"\bconnecticut\b", "ct"), ("oklahoma", r"\boklahoma\b", "ok"), ("arizona", r"\barizona\b", "az"), ("pennsylvania", r"\bpennsylvania\b", "pa"),
+    ("michigan", r"\bmichigan\b", "mi"), ("georgia", r"\bgeorgia\b", "ga"), ("virginia", r"\bvirginia\b", "va"), ("tennessee", r"\btennessee\b", "tn"), ("colorado", r"\bcolorado\b", "co"),
+    ("new", r"\bnew\s+jersey\b", "nj"), ("uttarakhand", r"\buttarakhand\b", "uk"), ("uttarkhand", r"\buttarkhand\b", "uk"), ("uttar", r"\buttar\s+pradesh\b", "up"),
+    ("tamil", r"\btamil\s+nadu\b", "tn"), ("madhya", r"\bmadhya\s+pradesh\b", "mp"), ("west", r"\bwest\s+bengal\b", "wb"), ("karnataka", r"\bkarnataka\b", "ka"),
+    ("maharashtra", r"\bmaharashtra\b", "mh"), ("delhi", r"\bdelhi\b", "dl"), ("rajasthan", r"\brajasthan\b", "rj"), ("gujarat", r"\bgujarat\b", "gj"), ("haryana", r"\bharyana\b", "hr"),
+    ("andhra", r"\bandhra\s+pradesh\b", "ap"), ("telangana", r"\btelangana\b", "ts"), ("kerala", r"\bkerala\b", "kl"), ("punjab", r"\bpunjab\b", "pb"), ("bihar", r"\bbihar\b", "br"),
 ]
 ADDRESS_KEY_STOP = [
     "apt", "ste", "unit", "shop", "door", "hno", "block", "floor", "fl", "ground",

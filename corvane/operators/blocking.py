@@ -13,6 +13,7 @@ from corvane.functions import normalize as base
 from corvane.functions import normalize_enhanced as enhanced
 from corvane.functions import vocab
 from corvane.functions.text import among, first, text, tokens
+from corvane.operators import stage
 
 #: Strategy names and the key types that they switch.
 STRATEGIES = {
@@ -76,12 +77,12 @@ def _sorted_key(significant: Column) -> Column:
 
 
 def _plain(t: Column) -> Column:
-    return F.regexp_replace(t, "[-/]", "")
+    return F.translate(t, "-/", "")
 
 
 def _is_unit(t: Column) -> Column:
     plain = _plain(t)
-    return plain.rlike(r"\p{N}") & plain.rlike(r"\p{L}") & F.char_length(plain).between(3, 8)
+    return F.char_length(plain).between(3, 8) & plain.rlike(r"\p{N}") & plain.rlike(r"\p{L}")
 
 
 def _is_plot(t: Column) -> Column:
@@ -98,13 +99,13 @@ def _locality_key(addr: Column, stop: list[str]) -> tuple[Column, Column]:
     return F.array_join(F.slice(words, 1, 2), "_"), F.size(words) >= 2
 
 
-def _chosen(parts: dict[str, Column], strategies: set[str] | None, table: dict[str, list[str]]) -> Column:
-    """The distinct keys of the chosen strategies; none or an empty set means all."""
-    types = {t for s, own in table.items() if not strategies or s in strategies for t in own}
+def _chosen(parts: dict[str, Column], strategies: set[str] | None, table: dict[str, list[str]], wanted: list[str] | None) -> Column:
+    """The distinct keys of the chosen strategies (none or an empty set means all), of the wanted types only."""
+    types = {t for s, own in table.items() if not strategies or s in strategies for t in own if wanted is None or t in wanted}
     return F.array_distinct(F.concat(*[c for t, c in parts.items() if t in types] or [F.array().cast(_NONE)]))
 
 
-def key_array(strategies: set[str] | None = None) -> Column:
+def key_array(strategies: set[str] | None = None, types: list[str] | None = None) -> Column:
     """Distinct (type, value) keys of a normalised row, variant A."""
     core, addr = text("core_name"), text("norm_addr")
     compact, words = _compressed(core), tokens(core)
@@ -129,10 +130,10 @@ def key_array(strategies: set[str] | None = None) -> Column:
         "POSTAL": F.when(size >= 3, F.transform(postal, lambda t: _key("POSTAL", F.concat(t, F.lit("_"), F.substring(compact, 1, 3))))).otherwise(F.array().cast(_NONE)),
         "ADDR_LOC": _one("ADDR_LOC", locality, has_locality),
     }
-    return _chosen(parts, strategies, STRATEGIES)
+    return _chosen(parts, strategies, STRATEGIES, types)
 
 
-def key_array_enhanced(strategies: set[str] | None = None) -> Column:
+def key_array_enhanced(strategies: set[str] | None = None, types: list[str] | None = None) -> Column:
     """Distinct (type, value) keys of a normalised row, variant C."""
     core, addr = text("core_name"), text("norm_addr")
     compact = _compressed(core)
@@ -161,7 +162,7 @@ def key_array_enhanced(strategies: set[str] | None = None) -> Column:
         "PLOT": _each("PLOT", F.filter(coded, lambda t: ~_is_unit(t) & _is_plot(t))),
         "ADDR_LOC": _one("ADDR_LOC", locality, has_locality),
     }
-    return _chosen(parts, strategies, STRATEGIES_ENHANCED)
+    return _chosen(parts, strategies, STRATEGIES_ENHANCED, types)
 
 
 def keys(rows: DataFrame, column: Column | None = None) -> DataFrame:
@@ -194,12 +195,22 @@ def weight(weights: dict[str, float] | None = None) -> Column:
     return F.coalesce(F.try_element_at(known, F.col("type")), F.lit(1.0))
 
 
+def points(query_keys: DataFrame, target_keys: DataFrame, score: str = WEIGHTED, max_block: int = MAX_BLOCK, weights: dict[str, float] | None = None) -> DataFrame:
+    """(source1_id, candidate_id, source, blocking_score) of all pairs that share a kept key."""
+    small = prune(target_keys, max_block).select("country", "type", "value", F.col("entity_id").alias("candidate_id"), "source")
+    pairs = query_keys.select("country", "type", "value", F.col("entity_id").alias("source1_id")).join(small, ["country", "type", "value"])
+    total = F.sum(weight(weights)) if score == WEIGHTED else F.count("*").cast("double")
+    return pairs.groupBy("source1_id", "candidate_id", "source").agg(total.alias("blocking_score"))
+
+
+def named(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with candidate_source, the source's name, in the place of its number."""
+    return pairs.select("source1_id", "candidate_id", F.concat(F.lit("source"), F.col("source")).alias("candidate_source"), *[c for c in pairs.columns if c not in ("source1_id", "candidate_id", "source")])
+
+
 def scored(query_keys: DataFrame, target_keys: DataFrame, score: str = WEIGHTED, max_block: int = MAX_BLOCK, weights: dict[str, float] | None = None) -> DataFrame:
     """(source1_id, candidate_id, candidate_source, blocking_score) of all pairs that share a kept key."""
-    small = prune(target_keys, max_block).select("country", "type", "value", F.col("entity_id").alias("candidate_id"), F.concat(F.lit("source"), F.col("source")).alias("candidate_source"))
-    pairs = query_keys.select("country", "type", "value", F.col("entity_id").alias("source1_id")).join(small, ["country", "type", "value"])
-    points = F.sum(weight(weights)) if score == WEIGHTED else F.count("*").cast("double")
-    return pairs.groupBy("source1_id", "candidate_id", "candidate_source").agg(points.alias("blocking_score"))
+    return named(points(query_keys, target_keys, score, max_block, weights))
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -211,6 +222,10 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(rows: DataFrame, score: str = WEIGHTED, max_block: int = MAX_BLOCK, k: int = TOP_K, column: Column | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """Ranked candidates of every source-1 row among the rows of sources 2 and 3."""
-    found = keys(rows, column)
-    return top_k(scored(found.where("source = 1"), found.where("source <> 1"), score, max_block, weights), k)
+    """Ranked candidates of every source-1 row among the rows of sources 2 and 3.
+
+    The keys are written once: block sizes, targets and queries read them.
+    """
+    found = stage.written(keys(rows, column), "keys")
+    # the number of the source travels through the exchange and the sort, its name is put in afterwards
+    return named(top_k(points(found.where("source = 1"), found.where("source <> 1"), score, max_block, weights), k))

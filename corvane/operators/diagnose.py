@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from corvane.functions import normalize as base
 from corvane.functions import vocab
 from corvane.functions.text import is_indic, text, tokens, words_of
-from corvane.operators import blocking
+from corvane.operators import blocking, stage
 
-#: Key types, block cap and candidates of each configuration that is compared.
+#: Key types, block cap and candidates of each configuration that is compared (fixed values).
 _NAME, _ADDRESS = ["NP4", "NP6", "TOK", "NSORT", "NCOMP"], ["ADDR", "UNIT", "PLOT"]
 STRATEGY_SETS = [
     ("baseline", _NAME + _ADDRESS, 500, 200),
@@ -78,8 +78,8 @@ def miss_reasons(truth: DataFrame, pairs: DataFrame, rows: DataFrame, max_block:
 
     The missed pairs alone are compared; their keys join the block sizes.
     """
-    lost = missed(truth, pairs)
-    found = blocking.keys(rows, column)
+    lost = stage.written(missed(truth, pairs), "missed")
+    found = stage.written(blocking.keys(rows, column), "keys")
     sizes = blocking.block_sizes(found.where("source <> 1"))
     key = ["country", "type", "value"]
     left = lost.join(found.select(F.col("entity_id").alias("source1_id"), *key), "source1_id")
@@ -146,21 +146,31 @@ def difficulty(truth: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def strategies(spark: SparkSession, rows: DataFrame, truth: DataFrame, sets: list[tuple[str, list[str], int, int]] | None = None) -> DataFrame:
-    """(strategy, candidate_pairs, found, gained): each configuration's recall, and the pairs that it adds to the first one's."""
-    found = blocking.keys(rows)
+    """(strategy, candidate_pairs, found, gained): each configuration's recall, and the pairs that it adds to the first one's.
+
+    A configuration without candidates has a row of zeros.
+    """
+    sets = sets or STRATEGY_SETS
+    found = stage.written(blocking.keys(rows), "keys")
     true = truth.select("source1_id", "candidate_id").distinct()
     sizes = blocking.block_sizes(found.where("source <> 1"))
     key = ["country", "type", "value"]
     targets = found.where("source <> 1").select(*key, F.col("entity_id").alias("candidate_id"), F.concat(F.lit("source"), F.col("source")).alias("candidate_source")).join(sizes, key)
     queries = found.where("source = 1").select(*key, F.col("entity_id").alias("source1_id"))
-    shared = queries.join(targets.where(F.col("size") <= max(c for _, _, c, _ in sets or STRATEGY_SETS)), key)
-    kept = []
-    for name, types, cap, k in sets or STRATEGY_SETS:
-        scored = shared.where(F.col("type").isin(types) & (F.col("size") <= cap)).groupBy("source1_id", "candidate_id", "candidate_source").agg(F.count("*").cast("double").alias("blocking_score"))
-        kept.append(blocking.top_k(scored, k).select(F.lit(name).alias("strategy"), "source1_id", "candidate_id"))
-    every = kept[0]
-    for more in kept[1:]:
-        every = every.unionByName(more)
-    first = kept[0].drop("strategy").withColumn("before", F.lit(1))
-    marked = every.join(true.withColumn("hit", F.lit(1)), ["source1_id", "candidate_id"], "left").join(first, ["source1_id", "candidate_id"], "left")
-    return marked.groupBy("strategy").agg(F.count("*").alias("candidate_pairs"), F.count("hit").alias("found"), F.count_if(F.col("hit").isNotNull() & F.col("before").isNull()).alias("gained"))
+    shared = queries.join(targets.where(F.col("size") <= max(c for _, _, c, _ in sets)), key)
+    # one pass counts the keys of all configurations for each pair
+    counts = [F.count_if(F.col("type").isin(types) & (F.col("size") <= cap)).cast("double").alias(f"s{i}") for i, (_, types, cap, _) in enumerate(sets)]
+    scored = stage.written(shared.groupBy("source1_id", "candidate_id", "candidate_source").agg(*counts), "scored")
+    kept = None
+    for i, (name, _, _, k) in enumerate(sets):
+        own = scored.where(F.col(f"s{i}") > 0).select("source1_id", "candidate_id", "candidate_source", F.col(f"s{i}").alias("blocking_score"))
+        best = blocking.top_k(own, k).select(F.lit(name).alias("strategy"), "source1_id", "candidate_id")
+        kept = best if kept is None else kept.unionByName(best)
+    # only true pairs are looked at one by one; the rest is counted
+    hits = kept.join(true, ["source1_id", "candidate_id"], "left_semi")
+    hits = stage.written(hits, "hits")
+    first = hits.where(F.col("strategy") == sets[0][0]).select("source1_id", "candidate_id", F.lit(1).alias("before"))
+    gains = hits.join(first, ["source1_id", "candidate_id"], "left").groupBy("strategy").agg(F.count("*").alias("found"), F.count_if(F.col("before").isNull()).alias("gained"))
+    pairs = kept.groupBy("strategy").agg(F.count("*").alias("candidate_pairs"))
+    every = spark.createDataFrame([(name,) for name, *_ in sets], "strategy string")
+    return every.join(pairs, "strategy", "left").join(gains, "strategy", "left").na.fill(0).select("strategy", "candidate_pairs", "found", "gained")

@@ -19,6 +19,11 @@ def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.when(b == 0, empty).otherwise(a / b)
 
 
+def mean(values: Column) -> Column:
+    """An average that does not depend on the order of rows: sums are made in fixed point."""
+    return F.avg(values.cast("decimal(20,14)")).cast("double")
+
+
 def truth_lists(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("source1_id").agg(F.collect_set("candidate_id").alias("truth"))
 
@@ -55,10 +60,10 @@ def summary(counts: DataFrame, by: list[str] | None = None, beta: float = BETA)
     """Macro and micro metrics, singleton accuracy and counts, one row for each value of ``by``; rounded to 4."""
     single, t, p, hit = F.col("n_true") == 0, F.col("n_true"), F.col("n_pred"), F.col("tp")
     made = entity_prf(counts, beta).groupBy(*(by or [])).agg(
-        F.avg("f").alias("f"),
-        F.avg("precision").alias("p"),
-        F.avg("recall").alias("r"),
-        F.avg(F.when(~single, F.col("f"))).alias("nf"),
+        mean(F.col("f")).alias("f"),
+        mean(F.col("precision")).alias("p"),
+        mean(F.col("recall")).alias("r"),
+        mean(F.when(~single, F.col("f"))).alias("nf"),
         F.count("*").alias("total_evaluated_s1"),
         F.count_if(single).alias("true_singletons"),
         F.count_if(single & (p == 0)).alias("correct_singletons"),

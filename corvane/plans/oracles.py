@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 
 from corvane.functions import vocab
-from corvane.functions.normalize import guard
 from corvane.plans.views import ENTITY_SQL, TRUTH_SQL
 
 
@@ -42,8 +41,8 @@ def _re(pattern: str, into: str, column: str = "t") -> str:
     return f"regexp_replace({column}, {_q(pattern)}, {_q(into)}, 'g')"
 
 
-def _rules(pairs: list[tuple[str, str]]) -> list[str]:
-    return [f"CASE WHEN contains(t, {_q(guard(p))}) THEN {_re(p, f' {r} ')} ELSE t END" for p, r in pairs]
+def _rules(listed: list[tuple[str, str, str]]) -> list[str]:
+    return [f"CASE WHEN contains(t, {_q(k)}) THEN {_re(p, f' {r} ')} ELSE t END" for k, p, r in listed]
 
 
 def _words(column: str) -> str:
@@ -89,6 +88,49 @@ def _core_steps() -> list[str]:
     return [f"CASE {cases} ELSE t END", f"trim({_re(f'( (?:{legal}))+$', '', chr(39) + ' ' + chr(39) + ' || t')})", f"trim({_re(f'^(?:(?:{legal}) )+', '', 't || ' + chr(39) + ' ' + chr(39))})"]
 
 
+def _side(source: str, stop: list[str], building: str, more: str = "") -> str:
+    """Comparison fields of normalised rows."""
+    bare = "trim(x, '#,./ -')"
+    return f"""SELECT entity_id, source, business_name, business_address, norm_name, core_name, norm_addr, norm_country, nw, cw, aw, list_distinct(cw) AS cs, list_distinct(aw) AS as_, {building} AS building,
+      list_distinct([x FOR x IN aw IF length(x) >= 4 AND regexp_full_match(x, '[a-z]+') AND NOT list_contains({_list(stop)}, x)]) AS loc,
+      list_distinct([CASE WHEN regexp_full_match({bare}, '\\d+') THEN {bare} ELSE regexp_replace({bare}, '[-/]', '', 'g') END FOR x IN aw IF regexp_full_match({bare}, '\\d+') OR (regexp_matches(x, '[-/]') AND regexp_matches(x, '\\d'))]) AS num,
+      replace(norm_name, ' ', '') AS pn, replace(norm_addr, ' ', '') AS pa{more} FROM {source}"""
+
+
+def _grams(source: str) -> str:
+    def of(text: str, n: int) -> str:
+        return f"CASE WHEN {text} = '' THEN [] WHEN length({text}) < {n} THEN [{text}] ELSE list_distinct([substr({text}, i, {n}) FOR i IN range(1, length({text}) - {n - 2})]) END"
+
+    return f"SELECT *, {of('pn', 3)} AS n3, {of('pn', 4)} AS n4, {of('pa', 3)} AS a3 FROM {source}"
+
+
+def _common(x: str, y: str) -> str:
+    """Length of the longest common subsequence: one bit of a wide integer for each character of ``x``."""
+    whole = f"((1::HUGEINT << length({x})) - 1)"
+    places = f"list_sum(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN substr({x}, i, 1) = c THEN 1::HUGEINT << (i - 1) ELSE 0::HUGEINT END))::HUGEINT"
+    return f"(CASE WHEN {x} = '' OR {y} = '' THEN 0 ELSE length({x}) - bit_count(list_reduce(list_prepend({whole}, list_transform(string_split({y}, ''), lambda c: {places})), lambda s, m: ((s + (s & m)) | (s - (s & m))) & {whole})) END)"
+
+
+def _words_cte(pairs: str) -> str:
+    """Sorted words, and the shared and own ones of both sides, as texts."""
+    text = lambda words: f"array_to_string(list_sort({words}), ' ')"
+    own = lambda x, y: text(f"[w FOR w IN list_distinct({x}) IF NOT list_contains({y}, w)]")
+    sets = ", ".join(f"{text(f'list_intersect(list_distinct(a.{c}), list_distinct(b.{c}))')} AS {c}_both, {own(f'a.{c}', f'b.{c}')} AS {c}_a, {own(f'b.{c}', f'a.{c}')} AS {c}_b" for c in ("nw", "aw"))
+    return f"SELECT source1_id, candidate_id, {text('a.nw')} AS sa, {text('b.nw')} AS sb, {sets} FROM {pairs}"
+
+
+def _ratio_cte(words: str) -> str:
+    def of_sets(c: str) -> str:
+        both, x, y = f"{c}_both", f"{c}_a", f"{c}_b"
+        lead = f"CASE WHEN {both} = '' THEN 0 ELSE length({both}) + 1 END"
+        shared = lambda z: f"CASE WHEN {both} = '' THEN 0.0 ELSE 2.0::DOUBLE * length({both}) / (2 * length({both}) + 1 + length({z})) END"
+        whole = f"2.0::DOUBLE * ({lead} + {_common(x, y)}) / (2 * ({lead}) + length({x}) + length({y}))"
+        return f"CASE WHEN {both} || {x} = '' OR {both} || {y} = '' THEN 0.0 WHEN {x} = '' OR {y} = '' THEN 1.0 ELSE greatest({whole}, {shared(x)}, {shared(y)}) END::DOUBLE"
+
+    sort = f"CASE WHEN sa = '' OR sb = '' THEN 0.0 ELSE 2.0::DOUBLE * {_common('sa', 'sb')} / (length(sa) + length(sb)) END::DOUBLE"
+    return f"SELECT source1_id, candidate_id, {sort} AS name_token_sort_ratio, {of_sets('nw')} AS name_token_set_ratio, {of_sets('aw')} AS address_token_set_ratio FROM {words}"
+
+
 _COUNTRY = f"CASE WHEN {_NULL.format('country')} THEN 'UNKNOWN' ELSE coalesce({_map(vocab.COUNTRIES)}[lower(trim(country))], trim(country)) END"
 
 _ENHANCED_NULL = "lower(trim({0})) IN ('nan', 'none', 'null', '', '<na>')"
@@ -159,19 +201,11 @@ CTES: dict[str, tuple[list[str], str]] = {
     "cand": (["wall"], "SELECT * FROM wall WHERE blocking_rank <= 20"),
     "req": (["ent"], "SELECT entity_id AS source1_id FROM ent WHERE source = 1"),
     # comparison fields
-    "side": (
-        ["arr"],
-        f"""SELECT entity_id, source, business_name, business_address, norm_name, core_name, norm_addr, norm_country, nw, cw, aw, list_distinct(cw) AS cs, list_distinct(aw) AS as_,
-              coalesce([x FOR x IN [regexp_replace(trim(y, '#,./ -'), '[-/]', '', 'g') FOR y IN aw] IF regexp_full_match(x, '\\d{{1,6}}')][1], '') AS building,
-              list_distinct([x FOR x IN aw IF length(x) >= 4 AND regexp_full_match(x, '[a-z]+') AND NOT list_contains({_list(vocab.LOCALITY_STOP)}, x)]) AS loc,
-              list_distinct([CASE WHEN regexp_full_match(trim(x, '#,./ -'), '\\d+') THEN trim(x, '#,./ -') ELSE regexp_replace(trim(x, '#,./ -'), '[-/]', '', 'g') END FOR x IN aw IF regexp_full_match(trim(x, '#,./ -'), '\\d+') OR (regexp_matches(x, '[-/]') AND regexp_matches(x, '\\d'))]) AS num,
-              replace(norm_name, ' ', '') AS pn, replace(norm_addr, ' ', '') AS pa
-            FROM arr""",
-    ),
-    "grams": (["side"], """SELECT *, CASE WHEN pn = '' THEN [] WHEN length(pn) < 3 THEN [pn] ELSE list_distinct([substr(pn, i, 3) FOR i IN range(1, length(pn) - 1)]) END AS n3,
-         CASE WHEN pn = '' THEN [] WHEN length(pn) < 4 THEN [pn] ELSE list_distinct([substr(pn, i, 4) FOR i IN range(1, length(pn) - 2)]) END AS n4,
-         CASE WHEN pa = '' THEN [] WHEN length(pa) < 3 THEN [pa] ELSE list_distinct([substr(pa, i, 3) FOR i IN range(1, length(pa) - 1)]) END AS a3 FROM side"""),
+    "side": (["arr"], _side("arr", vocab.LOCALITY_STOP, "coalesce([x FOR x IN [regexp_replace(trim(y, '#,./ -'), '[-/]', '', 'g') FOR y IN aw] IF regexp_full_match(x, '\\d{1,6}')][1], '')")),
+    "grams": (["side"], _grams("side")),
     "pair": (["cand", "grams"], "SELECT c.*, a, b FROM cand c JOIN grams a ON a.entity_id = c.source1_id JOIN grams b ON b.entity_id = c.candidate_id"),
+    "texts": (["pair"], _words_cte("pair")),
+    "ratio": (["texts"], _ratio_cte("texts")),
 }
 
 
@@ -220,7 +254,8 @@ def _prf(source: str) -> str:
 def _summary(source: str, by: str = "") -> str:
     group = f"GROUP BY {by}" if by else ""
     lead = f"{by}, " if by else ""
-    inner = f"""SELECT {lead}avg(f) AS f, avg(p) AS p, avg(r) AS r, avg(f) FILTER (n_true > 0) AS nf, count(*) AS total_evaluated_s1, count(*) FILTER (n_true = 0) AS true_singletons, count(*) FILTER (n_true = 0 AND n_pred = 0) AS correct_singletons,
+    mean = lambda c: f"sum(({c})::DECIMAL(20, 14))::DOUBLE / count({c})"
+    inner = f"""SELECT {lead}{mean("f")} AS f, {mean("p")} AS p, {mean("r")} AS r, {mean("CASE WHEN n_true > 0 THEN f END")} AS nf, count(*) AS total_evaluated_s1, count(*) FILTER (n_true = 0) AS true_singletons, count(*) FILTER (n_true = 0 AND n_pred = 0) AS correct_singletons,
       sum(tp)::BIGINT AS total_tp_pairs, sum(n_pred - tp)::BIGINT AS total_fp_pairs, sum(n_true - tp)::BIGINT AS total_fn_pairs FROM ({_prf(source)}) {group}"""
     mid = f"SELECT *, CASE WHEN total_tp_pairs + total_fp_pairs = 0 THEN 0 ELSE total_tp_pairs::DOUBLE / (total_tp_pairs + total_fp_pairs) END AS mp, CASE WHEN total_tp_pairs + total_fn_pairs = 0 THEN 0 ELSE total_tp_pairs::DOUBLE / (total_tp_pairs + total_fn_pairs) END AS mr FROM ({inner})"
     return f"""SELECT {lead}round(f, 4) AS macro_f05, round(p, 4) AS macro_precision, round(r, 4) AS macro_recall, CASE WHEN true_singletons = 0 THEN 1.0 ELSE round(correct_singletons::DOUBLE / true_singletons, 4) END AS singleton_accuracy,
@@ -430,17 +465,28 @@ CTES |= {
     "keysc": (["k0c", "post"], "SELECT norm_country AS country, type, value, entity_id, source FROM k0c JOIN post USING (entity_id)"),
     "candc": (
         ["keysc"],
-        """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source1_id ORDER BY score DESC, candidate_id) AS k FROM (SELECT q.entity_id AS source1_id, t.entity_id AS candidate_id, count(*) AS score FROM keysc q JOIN keysc t USING (country, type, value)
+        """SELECT *, score::DOUBLE AS blocking_score, k::DOUBLE AS blocking_rank, score::DOUBLE / most AS blocking_score_ratio FROM (SELECT *, row_number() OVER (PARTITION BY source1_id ORDER BY score DESC, candidate_id) AS k, max(score) OVER (PARTITION BY source1_id) AS most FROM (SELECT q.entity_id AS source1_id, t.entity_id AS candidate_id, 'source' || t.source AS candidate_source, count(*) AS score FROM keysc q JOIN keysc t USING (country, type, value)
            JOIN (SELECT country, type, value FROM keysc WHERE source <> 1 GROUP BY ALL HAVING count(*) <= 1000) USING (country, type, value) WHERE q.source = 1 AND t.source <> 1 GROUP BY ALL)) WHERE k <= 20""",
     ),
     "pairc": (["candc", "sigc"], "SELECT c.source1_id, c.candidate_id, a, b, list_intersect(list_distinct(a.cw), list_distinct(b.cw)) AS i, list_distinct(list_concat(a.cw, b.cw)) AS u FROM candc c JOIN sigc a ON a.entity_id = c.source1_id JOIN sigc b ON b.entity_id = c.candidate_id"),
     "idfc": (["sigc"], "SELECT token, ln(((SELECT count(*) FROM sigc WHERE source = 1) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM (SELECT unnest(list_distinct(cw)) AS token FROM sigc WHERE source = 1) GROUP BY token"),
+    "wordc": (["sigc", "idfc"], "SELECT entity_id, token, coalesce(idf, 1.0) AS w FROM (SELECT entity_id, unnest(list_distinct(cw)) AS token FROM sigc) LEFT JOIN idfc USING (token)"),
+    "totalc": (["wordc"], "SELECT entity_id, sum(w) AS w FROM wordc GROUP BY entity_id"),
+    "sharedc": (["candc", "wordc"], "SELECT source1_id, candidate_id, sum(x.w) AS w FROM candc JOIN wordc x ON x.entity_id = source1_id JOIN wordc y ON y.entity_id = candidate_id AND y.token = x.token GROUP BY ALL"),
+    "weighedc": (
+        ["candc", "totalc", "sharedc"],
+        "SELECT c.source1_id, c.candidate_id, CASE WHEN x.w IS NULL OR y.w IS NULL THEN 0.0 ELSE coalesce(s.w, 0.0) / (x.w + y.w - coalesce(s.w, 0.0)) END AS name_idf_weighted_jaccard FROM candc c LEFT JOIN totalc x ON x.entity_id = c.source1_id LEFT JOIN totalc y ON y.entity_id = c.candidate_id LEFT JOIN sharedc s ON s.source1_id = c.source1_id AND s.candidate_id = c.candidate_id",
+    ),
+    "sidec": (["sigc"], _side(f"(SELECT *, {_words('norm_name')} AS nw FROM sigc)", vocab.LOCALITY_STOP_ENHANCED, "coalesce([x FOR x IN bare IF regexp_full_match(x, '\\d{1,6}')][1], '')", ", postal, compact")),
+    "gramsc": (["sidec"], _grams("sidec")),
+    "fullc": (["candc", "gramsc"], "SELECT c.*, a, b, list_intersect(a.cs, b.cs) AS i FROM candc c JOIN gramsc a ON a.entity_id = c.source1_id JOIN gramsc b ON b.entity_id = c.candidate_id"),
+    "textsc": (["fullc"], _words_cte("fullc")),
+    "ratioc": (["textsc"], _ratio_cte("textsc")),
 }
 _PREFIX = "CASE WHEN length(a.compact) >= 4 AND length(b.compact) >= 4 AND substr(a.compact, 1, 4) = substr(b.compact, 1, 4) THEN 1.0 WHEN length(a.compact) >= 3 AND length(b.compact) >= 3 AND substr(a.compact, 1, 3) = substr(b.compact, 1, 3) THEN 0.5 ELSE 0.0 END"
-_IDF_SUM = "(SELECT source1_id, candidate_id, sum(coalesce(idf, 1.0)) AS {as_} FROM (SELECT source1_id, candidate_id, unnest({of}) AS token FROM pairc) LEFT JOIN idfc USING (token) GROUP BY 1, 2)"
 ORACLE_SQL |= {
     "feat_prefix": _statement(["pairc"], f"SELECT source1_id, candidate_id, {_PREFIX}::DOUBLE AS name_prefix_similarity, len([x FOR x IN i IF length(x) >= 4 AND NOT list_contains({_list(vocab.GENERIC_TERMS_ENHANCED)}, x)])::DOUBLE AS name_rare_token_overlap, CASE WHEN a.postal = '' OR b.postal = '' THEN 0.5 WHEN a.postal = b.postal THEN 1.0 ELSE 0.0 END::DOUBLE AS postal_code_match FROM pairc"),
-    "feat_idf_jaccard": _statement(["pairc", "idfc"], f"SELECT source1_id, candidate_id, {_PREFIX}::DOUBLE AS name_prefix_similarity, round(CASE WHEN len(a.cw) = 0 OR len(b.cw) = 0 THEN 0.0 ELSE coalesce(si, 0) / su END, 9) AS name_idf_weighted_jaccard FROM pairc LEFT JOIN {_IDF_SUM.format(as_='si', of='i')} USING (source1_id, candidate_id) LEFT JOIN {_IDF_SUM.format(as_='su', of='u')} USING (source1_id, candidate_id)"),
+    "feat_idf_jaccard": _statement(["pairc", "weighedc"], f"SELECT source1_id, candidate_id, {_PREFIX}::DOUBLE AS name_prefix_similarity, round(name_idf_weighted_jaccard, 9) AS name_idf_weighted_jaccard FROM pairc JOIN weighedc USING (source1_id, candidate_id)"),
     "error_patterns": _statement(
         ["lab", "side"],
         """SELECT kind, pattern, count(*) AS n FROM (SELECT CASE WHEN label = 0 THEN 'fp' ELSE 'fn' END AS kind,
@@ -458,19 +504,38 @@ def _strategy_sql() -> str:
         f"SELECT '{name}' AS strategy, source1_id, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY source1_id ORDER BY s DESC, candidate_id) AS k FROM (SELECT source1_id, candidate_id, count(*) AS s FROM shared WHERE size <= {cap} AND list_contains({_list(types)}, type) GROUP BY ALL)) WHERE k <= {k}"
         for name, types, cap, k in STRATEGY_SETS
     )
-    return _statement(["shared", "truth"], f", kept AS MATERIALIZED ({kept}) SELECT strategy, count(*) AS candidate_pairs, count(t.source1_id) AS found, count(*) FILTER (t.source1_id IS NOT NULL AND f.source1_id IS NULL) AS gained FROM kept LEFT JOIN truth t USING (source1_id, candidate_id) LEFT JOIN (SELECT source1_id, candidate_id FROM kept WHERE strategy = '{STRATEGY_SETS[0][0]}') f USING (source1_id, candidate_id) GROUP BY strategy")
+    return _statement(["shared", "truth"], f", kept AS MATERIALIZED ({kept}) SELECT strategy, count(kept.source1_id) AS candidate_pairs, count(t.source1_id) AS found, count(*) FILTER (t.source1_id IS NOT NULL AND f.source1_id IS NULL) AS gained FROM (SELECT unnest({_list([n for n, *_ in STRATEGY_SETS])}) AS strategy) LEFT JOIN kept USING (strategy) LEFT JOIN truth t USING (source1_id, candidate_id) LEFT JOIN (SELECT source1_id, candidate_id FROM kept WHERE strategy = '{STRATEGY_SETS[0][0]}') f USING (source1_id, candidate_id) GROUP BY strategy")
 
 
 ORACLE_SQL["strategy_benchmark"] = _strategy_sql()
 
 
+_RATIOS = {"name_token_sort_ratio", "name_token_set_ratio", "address_token_set_ratio"}
+_ENHANCED = _FEATURES | {
+    "name_first_token_match": _flag("a.cw[1] = b.cw[1]"),
+    "name_prefix_similarity": f"{_PREFIX}::DOUBLE",
+    "name_rare_token_overlap": f"len([x FOR x IN i IF length(x) >= 4 AND NOT list_contains({_list(vocab.GENERIC_TERMS_ENHANCED)}, x)])::DOUBLE",
+    "postal_code_match": "CASE WHEN a.postal = '' OR b.postal = '' THEN 0.5 WHEN a.postal = b.postal THEN 1.0 ELSE 0.0 END::DOUBLE",
+}
+
+
 def _feature_sql() -> dict[str, str]:
     from corvane.plans.queries import FEATURE_QUERIES
 
     out = {}
     for name, (wanted, variant) in FEATURE_QUERIES.items():
-        if variant == "base" and all(n in _FEATURES for n in wanted):
-            out[name] = _statement(["pair"], "SELECT source1_id, candidate_id, " + ", ".join(f"round(({_FEATURES[n]})::DOUBLE, 9) AS {n}" for n in wanted) + " FROM pair")
+        if name in ORACLE_SQL:
+            continue
+        source, own = ("pair", _FEATURES) if variant == "base" else ("fullc", _ENHANCED)
+        needs, joins = [source], ""
+        if _RATIOS & set(wanted):
+            needs.append("ratio" if variant == "base" else "ratioc")
+            joins += f" JOIN {needs[-1]} USING (source1_id, candidate_id)"
+        if "name_idf_weighted_jaccard" in wanted:
+            needs.append("weighedc")
+            joins += " JOIN weighedc USING (source1_id, candidate_id)"
+        columns = ", ".join(f"round(({own.get(n, n)})::DOUBLE, 9) AS {n}" for n in wanted)
+        out[name] = _statement(needs, f"SELECT source1_id, candidate_id, {columns} FROM {source}{joins}")
     return out
 
 

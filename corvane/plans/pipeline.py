@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import normalize as base
 from corvane.functions import vocab
-from corvane.operators import blocking, decide, features, metrics, model, validate
+from corvane.operators import blocking, decide, features, metrics, model, stage, validate
 from corvane.sources import readers, writers
 
 
@@ -47,7 +47,7 @@ VARIANTS = {
 
 def candidates(entities: DataFrame, variant: Variant) -> tuple[DataFrame, DataFrame]:
     """Normalised rows and ranked candidate pairs of ``entities`` (with a source column)."""
-    rows = variant.normalize(entities)
+    rows = stage.written(variant.normalize(entities), "rows")
     return rows, blocking.candidates(rows, variant.score, variant.max_block, variant.k, variant.keys(), variant.weights)
 
 
@@ -55,7 +55,7 @@ def feature_rows(entities: DataFrame, variant: Variant) -> tuple[DataFrame, Data
     """Normalised rows and candidate pairs with features and blocking columns."""
     rows, pairs = candidates(entities, variant)
     idf = features.token_idf(rows.where("source = 1")) if variant.idf else None
-    made = features.matrix(pairs, features.lookup(rows, variant.lookup), variant.features, idf)
+    made = features.matrix(pairs, features.lookup(rows, variant.lookup, variant.features), variant.features, idf)
     return rows, made
 
 

@@ -17,7 +17,7 @@ from corvane.functions import normalize_enhanced as enhanced
 from corvane.functions import similarity as sim
 from corvane.functions import vocab
 from corvane.functions.text import ngrams
-from corvane.operators import blocking, decide, diagnose, features, metrics, model, validate
+from corvane.operators import blocking, decide, diagnose, features, metrics, model, stage, validate
 from corvane.plans import views
 from corvane.sources import readers
 
@@ -34,6 +34,11 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.normalized(views.entities(spark, sf_dir))
 
 
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalised rows, written once for queries that read them more than once."""
+    return stage.written(_rows(spark, sf_dir), "rows")
+
+
 def _rows_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.normalized_enhanced(views.entities(spark, sf_dir))
 
@@ -50,9 +55,9 @@ def _joined(column: str | Column) -> Column:
     return F.array_join(F.array_sort(column), ",")
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Ranked candidates with the deterministic probability and both sides' fields."""
-    rows = _rows(spark, sf_dir)
+    rows = _staged(spark, sf_dir) if rows is None else rows
     pairs = blocking.candidates(rows)
     fields = rows.select("entity_id", F.struct("business_name", "norm_name", "core_name", "norm_addr", "norm_country", base.building_no(F.col("norm_addr")).alias("building")).alias("e"))
     out = features.attach(pairs, fields)
@@ -181,10 +186,8 @@ def token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _keys_of(kind: str, variant: str = "base") -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if variant == "base":
-            found = blocking.keys(_rows(spark, sf_dir))
-        else:
-            found = blocking.keys(_rows_c(spark, sf_dir), blocking.key_array_enhanced())
-        return found.where(F.col("type") == kind)
+            return blocking.keys(_rows(spark, sf_dir), blocking.key_array(types=[kind]))
+        return blocking.keys(_rows_c(spark, sf_dir), blocking.key_array_enhanced(types=[kind]))
 
     return run
 
@@ -209,7 +212,8 @@ def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pruned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows left of each key type when blocks over 100 rows go."""
-    kept = blocking.prune(blocking.keys(_rows(spark, sf_dir)).where("source <> 1"), 100)
+    targets = stage.written(blocking.keys(_rows(spark, sf_dir).where("source <> 1")), "keys")
+    kept = blocking.prune(targets, 100)
     return kept.groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -250,14 +254,14 @@ def search_space_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _features(names: list[str], variant: str = "base") -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if variant == "base":
-            rows = _rows(spark, sf_dir)
+            rows = _staged(spark, sf_dir)
             pairs = blocking.candidates(rows)
             idf = None
         else:
-            rows = _rows_c(spark, sf_dir)
+            rows = stage.written(_rows_c(spark, sf_dir), "rows")
             pairs = blocking.candidates(rows, blocking.COUNTED, k=blocking.TOP_K, column=blocking.key_array_enhanced())
             idf = features.token_idf(rows.where("source = 1")) if "name_idf_weighted_jaccard" in names else None
-        made = features.matrix(pairs, features.lookup(rows, variant), names, idf)
+        made = features.matrix(pairs, features.lookup(rows, variant, names), names, idf)
         return made.select("source1_id", "candidate_id", *[F.round(n, 9).alias(n) for n in names])
 
     return run
@@ -347,8 +351,10 @@ def match_lists_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_superset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate lists (of five) with matches that aren't among them appended."""
     required = views.entities(spark, sf_dir).where("source = 1")
-    narrow = blocking.candidates(_rows(spark, sf_dir), k=5)
-    made = decide.submission(_lists(spark, sf_dir), decide.candidate_lists(narrow, required))
+    scored = stage.written(_scored(spark, sf_dir).select("source1_id", "candidate_id", "candidate_source", "blocking_rank", "probability"), "pairs")
+    # five places, so that some matches lie outside the list and have to be appended
+    narrow = scored.where("blocking_rank <= 5")
+    made = decide.submission(decide.match_lists(decide.threshold(scored, 0.6), required), decide.candidate_lists(narrow, required))
     return made.select("source1_id", F.array_join("matches", ",").alias("matches"), F.array_join("candidates", ",").alias("candidates"))
 
 
@@ -395,8 +401,8 @@ def metrics_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.summary(_counts(spark, sf_dir).join(land, "source1_id"), ["norm_country"]).select("norm_country", "macro_f05", "micro_f05", "total_evaluated_s1")
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.labelled(_scored(spark, sf_dir), _truth(spark, sf_dir))
+def _labelled(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return features.labelled(_scored(spark, sf_dir, rows), _truth(spark, sf_dir))
 
 
 @query
@@ -451,7 +457,7 @@ def recall_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates under a tight block cap and few places, so that some true pairs are missed."""
+    """Candidates under a tight block cap and few places: with the production ones no true pair of these tables is missed."""
     return blocking.candidates(_rows(spark, sf_dir), max_block=3, k=2)
 
 
@@ -462,23 +468,27 @@ def missed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def miss_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnose.miss_reasons(_truth(spark, sf_dir), _narrow(spark, sf_dir), _rows(spark, sf_dir), 3).groupBy("category").agg(F.count("*").alias("n"))
+    rows = _staged(spark, sf_dir)
+    return diagnose.miss_reasons(_truth(spark, sf_dir), blocking.candidates(rows, max_block=3, k=2), rows, 3).groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query
 def error_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = diagnose.errors(_labelled(spark, sf_dir), _rows(spark, sf_dir), T, None)
+    rows = _staged(spark, sf_dir)
+    made = diagnose.errors(stage.written(_labelled(spark, sf_dir, rows).select("source1_id", "candidate_id", "probability", "label"), "pairs"), rows, T, None)
     return made.groupBy("kind", "pattern").agg(F.count("*").alias("n"))
 
 
 @query
 def error_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnose.error_buckets(_scored(spark, sf_dir), _truth(spark, sf_dir), _rows(spark, sf_dir), 0.7, 0.5)
+    rows = _staged(spark, sf_dir)
+    pairs = stage.written(_scored(spark, sf_dir, rows).select("source1_id", "candidate_id", "probability"), "pairs")
+    return diagnose.error_buckets(pairs, _truth(spark, sf_dir), rows, 0.7, 0.5)
 
 
 @query
 def difficulty_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnose.difficulty(_truth(spark, sf_dir), _rows(spark, sf_dir)).groupBy("difficulty").agg(F.count("*").alias("n"))
+    return diagnose.difficulty(_truth(spark, sf_dir), _staged(spark, sf_dir)).groupBy("difficulty").agg(F.count("*").alias("n"))
 
 
 @query
@@ -506,14 +516,24 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.group_split(_required(spark, sf_dir), 0.2)
 
 
+def _labelled_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with the combined features and labels, written once: every fit reads them many times."""
+    rows, names = _staged(spark, sf_dir), features.COMBINED_FEATURES
+    made = features.matrix(blocking.candidates(rows), features.lookup(rows, names=names), names)
+    return stage.written(features.labelled(made, _truth(spark, sf_dir)), "matrix")
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    made = _labelled_matrix(spark, sf_dir)
+    split = made.join(metrics.group_split(made, 0.2), "source1_id")
+    return split.where("not held_out").drop("held_out"), split.where("held_out").drop("held_out")
+
+
 def _model(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _rows(spark, sf_dir)
-        truth, names = _truth(spark, sf_dir), features.COMBINED_FEATURES
-        made = features.labelled(features.matrix(blocking.candidates(rows), features.lookup(rows), names), truth)
-        split = made.join(metrics.group_split(made, 0.2), "source1_id").persist()
-        fitted = model.fit(split.where("not held_out"), names, kind, small=True)
-        return model.score(fitted, split.where("held_out"), 0.5, 6).select("source1_id", "candidate_id", "label", "match_probability", "predicted_match")
+        train, held = _split(spark, sf_dir)
+        fitted = model.fit(train, features.COMBINED_FEATURES, kind)
+        return model.score(fitted, held, 0.5, 6).select("source1_id", "candidate_id", "label", "match_probability", "predicted_match")
 
     return run
 
@@ -523,7 +543,5 @@ QUERIES |= {"logreg_scores": _model(model.LOGISTIC), "forest_scores": _model(mod
 
 @query
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
-    names = features.COMBINED_FEATURES
-    made = features.labelled(features.matrix(blocking.candidates(rows), features.lookup(rows), names), _truth(spark, sf_dir)).persist()
-    return model.importances(spark, model.fit(made, names, model.BOOSTED_COMBINED, small=True), names)
+    made, names = _labelled_matrix(spark, sf_dir), features.COMBINED_FEATURES
+    return model.importances(spark, model.fit(made, names, model.BOOSTED_COMBINED), names)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.operators import stage
+
 ENTITY_SQL = """
 WITH p AS (
   SELECT p_partkey AS k, p_name AS n, translate(CAST(p_partkey AS STRING), '0123456789', 'aeioubdmnt') AS c,
@@ -47,7 +49,7 @@ FROM part
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return spark.sql(sql.replace("FROM part", "FROM {part}"), part=stage.spread(spark.read.parquet(f"{sf_dir}/part.parquet")))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
