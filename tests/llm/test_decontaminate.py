@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import edge
 from hypothesis import given, settings
@@ -62,6 +63,48 @@ def test_several_automata_equal_one(spark, sf_dir, monkeypatch):
     split = op.automata
     monkeypatch.setattr(op, "automata", lambda b, w: split(b, w, 100))
     assert edge.collected(op.report(docs, bench)) == whole
+    cleaned = edge.collected(op.remove(docs, bench))
+    monkeypatch.undo()
+    assert edge.collected(op.remove(docs, bench)) == cleaned
+
+
+def test_repetitive_items_take_linear_time():
+    took = []
+    for n in (25_000, 100_000):
+        began = time.perf_counter()
+        automaton = op.Automaton([("1", b"a " * n), ("2", b"a a a")])
+        spans, found = automaton.match([b"a"] * n)
+        took.append(time.perf_counter() - began)
+        assert spans == [(0, n)] and len(found) == 2
+    assert took[1] < 10 * took[0]
+
+
+def test_halves_that_a_cut_joins_are_cut_too(spark):
+    item = [f"i{k}" for k in range(10)]
+    clean = [f"c{k}" for k in range(60)]
+    nested = " ".join([*clean, *item[:5], *item[:3], *item, *item[3:], *item[5:], *clean])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    left = op.remove(edge.frame(spark, [nested]), bench)
+    assert left.first()["text"].split() == clean * 2
+    assert not op.report(left, bench).first()["contaminated"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab ", max_size=16), min_size=1, max_size=4), st.text("ab ", max_size=80))
+def test_nothing_is_left_to_cut(items, text):
+    automaton = op.Automaton([(str(i), t.encode()) for i, t in enumerate(items)], 3)
+    data = text.encode()
+    while spans := automaton.match(op.words(data))[0]:
+        less = op.cleaned(data, spans)
+        assert len(op.words(less)) == len(op.words(data)) - sum(b - a for a, b in spans)
+        data = less
+    assert brute(data.decode(), [(str(i), t) for i, t in enumerate(items)], 3)[1] == 0
+
+
+def test_several_texts_of_one_item_count_once(spark):
+    bench = spark.createDataFrame([(1, "red green"), (1, "blue white"), (2, "blue white")], "item_id long, text string")
+    got = op.report(edge.frame(spark, ["red green blue white", "blue red"]), bench).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["n_items"], r["item_ids"]) for r in got] == [(4, 2, ["1", "2"]), (0, 0, [])]
 
 
 def test_spans_are_cut_and_mostly_hit_documents_go(spark):
