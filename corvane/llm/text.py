@@ -15,10 +15,6 @@ import pyarrow.compute as pc
 SLICE_BYTES = (1 << 20) - 64
 
 _U = np.uint64
-#: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-
 #: Bytes that end a word: space, tab, newline, vertical tab, form feed, return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -67,21 +63,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(base: int, n: int, key: str) -> np.ndarray:
-    have = _POWERS.get(key)
-    if have is None or len(have) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        steps = np.full(size, base, _U)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=_U)
-        if size <= 1 << 20:
-            _POWERS[key] = have
-    return have[:n]
-
-
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the white-space separated words, and where each text's words begin (n+1)."""
     gap = SPACE[data]
@@ -99,10 +80,27 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: A random number for each byte at each of the first places of a word.
+PLACES = 64
+_TABLE = np.random.default_rng(20).integers(0, 1 << 64, (PLACES, 256), _U, endpoint=False).ravel()
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from differences of one running polynomial."""
+    """A 64-bit hash of each word: the sum of random numbers, one for each byte and its place, well mixed.
+
+    Places beyond ``PLACES`` use the same numbers times an odd one of their own
+    for each further run of so many bytes, so no pattern of bytes cancels out.
+    """
+    if not len(starts):
+        return np.zeros(0, _U)
+    place = np.zeros(len(data), np.int32)
+    place[starts] = starts
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(data), dtype=np.int32), place, out=place)
+    values = _TABLE[(place & (PLACES - 1)) << 8 | data]
+    if (ends - starts).max() > PLACES:
+        far = np.flatnonzero(place >= PLACES)
+        values[far] *= mix((place[far] // PLACES).astype(_U)) | _U(1)
     running = np.zeros(len(data) + 1, _U)
-    if len(data):
-        np.cumsum((data.astype(_U) + _U(1)) * _powers(BASE, len(data), "up"), out=running[1:])
-    out = (running[ends] - running[starts]) * _powers(BASE_INVERSE, len(data) + 1, "down")[starts]
-    return mix(out + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
+    np.cumsum(values, out=running[1:])
+    return mix(running[ends] - running[starts] + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))

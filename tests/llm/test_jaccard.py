@@ -4,11 +4,13 @@ from collections import defaultdict
 
 import edge
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corvane.llm import jaccard as op
+from corvane.llm import text as tx
 from corvane.llm.components import components
 
 
@@ -159,3 +161,14 @@ def test_a_short_text_alone_in_its_slice(spark, text):
     assert result(op.join(edge.frame(spark, [long, text, text]).coalesce(1))) == brute([long, text, text])
     none = spark.createDataFrame([(None, text), (1, long)], "doc_id long, text string").repartition(2, "doc_id")
     assert {(r["doc_id"], r["n_shingles"]) for r in op.join(none).collect()} == {(None, 1), (1, 5)}
+
+
+def test_words_that_cancel_in_a_polynomial_are_told_apart(spark):
+    signs = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = ("".join("ab"[s ^ flip] for s in signs) for flip in (0, 1))
+    texts = [f"{one} x y z", f"{two} x y z", f"{one} {two}", f"{two} {one}", f"{one} x y z"]
+    got = edge.by_id(op.join(edge.frame(spark, texts)))
+    assert [got[k]["component_id"] for k in range(5)] == [0, 1, 2, 3, 0]
+    data, offsets = tx.raw(pa.array([f"{one} {two}", "ab ba aab aba baa " + "a" * 64 + " " + "a" * 65 + " " + "a" * 128]))
+    starts, ends, _ = tx.words(data, offsets)
+    assert len(set(tx.word_hashes(data, starts, ends).tolist())) == len(starts) == 11
