@@ -1,25 +1,28 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Texts are lower-cased and written in an alphabet of 64 tokens.  The corpus' most
-frequent characters have tokens of their own.  Every other character, of
-whatever script, is spelled: a lead token, then the digits of its rank among
-the corpus' characters, so that different texts never become the same tokens.
-One more token marks what lies outside a text.  A network with one hidden layer sees the two tokens on each side of a
-masked one and predicts it; a document's score is the sum of the conditional
-log-probabilities of all its tokens, spelled ones included.
-
-Everything is gathered from all documents: characters are counted, then every
-window of five tokens (one pre-aggregated exchange), and the network is trained
-on these counts.  Each partition of the count table takes full-batch steps in
-numpy from shared parameters, and the partitions' parameters are averaged by
-their counts (a fixed number of numbers, whatever the input); that repeats.
-Log-probabilities are summed in fixed point, so a score does not depend on how
-rows are batched.
-
-Cases: a null or empty text has no tokens and log_prob 0 with a null mean.
-Repeated rows count as often as they occur and get equal scores.  With no
-token in the corpus there is nothing to train and every score is 0.  Other
-columns are never read.
+Texts (A-Z lower-cased) become tokens: runs of letters and digits, each mark by
+itself, and each character of scripts written without spaces by itself.  The
+``WORDS`` commonest tokens that occur twice or more have numbers of their own;
+all others, in whatever script, are spelled: a lead token, then their bytes two
+by two, so that different texts never become the same tokens.  A network with
+one hidden layer sees the three tokens on each side of a masked one and
+predicts it along its path in a Huffman tree over all token numbers, whose
+branches start from the corpus' counts.  A document's score is the sum of the
+conditional log-probabilities of all its tokens.
+
+Everything is gathered from all documents.  Tokens are counted in one
+pre-aggregated exchange.  Then each part of the table makes one pass of numpy
+stochastic gradient descent (Adagrad) over all its windows, from shared
+parameters, and hands on the rows of the parameters that it has touched; these
+are averaged row by row, weighed by how often each part has met them, so what
+only one part has seen isn't thinned by the others.  What is moved grows with
+the input; the averaged network has a fixed size.
+
+Cases: a null or empty text, or one of white space, has no tokens and log_prob
+0 with a null mean.  Repeated rows count as often as they occur and get equal
+scores.  With no token in the corpus there is nothing to train and every score
+is 0.  Tokens of equal count are ordered by hash.  Long texts are worked in
+pieces that see each other's edges.  Other columns are never read.
 """
 
 from __future__ import annotations
@@ -34,251 +37,408 @@ from pyspark.sql import functions as F
 from corvane.llm import text as tx
 from corvane.llm.runtime import bounded, cut
 
-#: Token numbers; 0 is outside, 1 leads a spelled character.  Five of them fit into 30 bits.
-VOCABULARY = 64
-#: Characters with a token of their own, whose tokens are also the digits of spelled ones.
-OWN = VOCABULARY - 2
-SIDE = 2
-HIDDEN = 16
-#: Averaging rounds, and steps of each partition between two of them.
-ROUNDS, STEPS = 3, 25
-RATE = 0.03
-#: Windows that one training partition should hold, and that a task holds before it merges them.
-PARTITION_WINDOWS = 400_000
-MERGE_AT = 4_000_000
-#: Run of text bytes that is worked at once: the longer, the fewer contexts are met again.
-SLICE_BYTES = 3 << 20
-
+#: Tokens with numbers of their own, and how often one must occur.
+WORDS, LEAST = 1 << 15, 2
+#: Tokens on each side of the masked one, and units of the hidden layer.
+SIDE, HIDDEN = 3, 24
+#: Tokens of one step, rate of the steps, and tokens that one part should have.
+STEP_TOKENS, RATE, PART_TOKENS = 15_000, 0.3, 3_000_000
+#: Longest run of bytes in one token.
+LONGEST = 64
+#: Counts that a task holds before it sends them on, blocks of parameter rows, and messages that are merged at once.
+HELD, BLOCKS, FAN_IN = 1_000_000, 16, 1_000
+
+_U = np.uint64
 _FIXED = 1 << 20
-_WIDTH = 6
-_MASK = VOCABULARY - 1
-
-
-def codepoints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased characters of all texts and n+1 bounds."""
-    low = [(t or "").lower() for t in texts.to_pylist()]
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in low])]).astype(np.int64)
-    return np.frombuffer("".join(low).encode("utf-32-le"), np.uint32), bounds
-
-
-def characters(docs: DataFrame) -> list[int]:
-    """The corpus' characters, by falling count and then by number (at most as many as Unicode has)."""
+#: Token numbers: 0 lies outside a text, 1 leads a spelled token, then single bytes, byte pairs, and words.
+_LEAD, _BYTE, _PAIR = 1, 2, 258
+_WORD = _PAIR + 65_536
+_PLACES = [o for o in range(-SIDE, SIDE + 1) if o]
+
+#: Kinds of bytes: 0 separates, 1 runs on, 2 and 3 are a token each (3 leads further bytes), 4 goes on.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[:0x21] = 0
+_KIND[0x7F] = 0
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x5F]] = 1
+_KIND[0x80:0xC0] = 4
+_KIND[0xC0:0xE3] = 1
+_KIND[0xE3:] = 3
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))
+
+
+def tokens(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens of lower-cased texts, and where each text's tokens begin (n+1)."""
+    kind = _KIND[low]
+    going = np.flatnonzero(kind == 4)
+    if len(going):  # what goes on is of the kind of its lead
+        at = np.arange(len(kind))
+        at[going] = 0
+        lead = kind[np.maximum.accumulate(at)]
+        lead[lead == 4] = 1
+    else:
+        lead = kind
+    before = np.zeros(len(low), np.uint8)
+    before[1:] = lead[:-1]
+    inner = offsets[:-1][offsets[:-1] < len(low)]
+    before[inner] = 0
+    first = ((kind == 2) | (kind == 3)) | ((lead == 1) & (before != 1))
+    first[inner] |= lead[inner] != 0
+    starts = np.flatnonzero(first)
+    edges = np.append(np.flatnonzero(first | (lead == 0)), len(low))
+    ends = edges[np.searchsorted(edges, starts, "right")]
+    pieces = -(-(ends - starts) // LONGEST)
+    if len(pieces) and pieces.max() > 1:  # cut what runs too long
+        whole = np.repeat(ends, pieces)
+        starts = np.repeat(starts, pieces) + LONGEST * (np.arange(len(whole)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        ends = np.minimum(starts + LONGEST, whole)
+    # a text's end ends its last token: the next text begins with an edge or a token
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def _prepared(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data, offsets = tx.raw(texts)
+    low = tx.LOWER[data]
+    starts, ends, where = tokens(low, offsets)
+    return low, starts, ends, where, tx.word_hashes(low, starts, ends)
+
+
+def token_counts(docs: DataFrame) -> DataFrame:
+    """(h, n): how often the token of each hash occurs in the corpus."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
-        for batch in batches:
-            texts = tx.column(batch, "text")
-            for first, last, _, _ in tx.slices(texts, SLICE_BYTES):
-                seen = np.bincount(codepoints(texts.slice(first, last - first))[0])
-                total[: len(seen)] += seen
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["c", "n"])
-
-    counted = bounded(docs).select("text").mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counted.orderBy(F.desc("n"), "c").collect()]
-
-
-def spelled(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of all texts and n+1 bounds."""
-    chars, bounds = codepoints(texts)
-    code = known[np.minimum(chars, len(known) - 1)]
-    rare = np.flatnonzero(code >= VOCABULARY)
-    if not len(rare):
-        return code, bounds
-    rank, digits, most = code[rare] - VOCABULARY, 1, int(known.max()) - VOCABULARY
-    while OWN**digits <= most:
-        digits += 1
-    begin = np.arange(len(code) + 1)
-    begin[1:] += digits * np.cumsum(code >= VOCABULARY)
-    out = np.zeros(begin[-1], np.int32)
-    out[begin[:-1]] = np.where(code >= VOCABULARY, 1, code)
-    for k in range(digits):
-        out[begin[rare] + 1 + k] = 2 + rank // OWN ** (digits - 1 - k) % OWN
-    return out, begin[bounds]
-
-
-def _padded(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pad = np.arange(len(bounds) - 1) * 2 * SIDE + SIDE
-    place = np.arange(len(tokens)) + np.repeat(pad, np.diff(bounds))
-    out = np.zeros(len(tokens) + 2 * SIDE * (len(bounds) - 1), np.int32)
-    out[place] = tokens
-    return out, place
-
-
-def numbers(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers with SIDE marks before and after each text, and the place of every token."""
-    return _padded(*spelled(texts, known))
-
-
-def table(chars: list[int]) -> np.ndarray:
-    """By character its token, or VOCABULARY and its rank among those to be spelled."""
-    out = np.ones(max(chars, default=0) + 2, np.int32)
-    for k, c in enumerate(chars):
-        out[c] = k + 2  # OWN characters have 2 to VOCABULARY - 1
-    return out
-
-
-def windows(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The context (24 bits) and the token of each place."""
-    context = row[place - 2] << 18 | row[place - 1] << 12 | row[place + 1] << 6 | row[place + 2]
-    return context, row[place]
-
-
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, np.concatenate(counts)).astype(np.int64)
-
+        hashes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
 
-def window_counts(docs: DataFrame, known) -> DataFrame:
-    """(window, n): how often each window of five tokens occurs in the corpus."""
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate(hashes)
+            order = np.argsort(every, kind="stable")
+            edge = _runs(every[order])
+            return every[order][edge], np.add.reduceat(np.concatenate(counts)[order], edge) if len(edge) else np.zeros(0, np.int64)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
         for batch in batches:
             texts = tx.column(batch, "text")
-            for first, last, _, _ in tx.slices(texts, SLICE_BYTES):
-                context, token = windows(*numbers(texts.slice(first, last - first), known.value))
-                key, n = np.unique(context << _WIDTH | token, return_counts=True)
-                keys.append(key)
+            for first, last, _, _ in tx.slices(texts):
+                h, n = np.unique(_prepared(texts.slice(first, last - first))[4], return_counts=True)
+                hashes.append(h)
                 counts.append(n)
-                if sum(map(len, keys)) > MERGE_AT:
-                    merged = _merged(keys, counts)
-                    keys, counts = [merged[0]], [merged[1]]
-                    if len(merged[0]) > MERGE_AT // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(merged[0].astype(np.int32)), pa.array(merged[1])], names=["window", "n"])
-                        keys, counts = [], []
-        if keys:
-            key, n = _merged(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(n)], names=["window", "n"])
-
-    return bounded(docs).select("text").mapInArrow(run, "window int, n long").groupBy("window").agg(F.sum("n").alias("n"))
+            if sum(map(len, hashes)) > HELD:
+                h, n = merged()
+                hashes, counts = [h], [n]
+                if len(h) > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+                    hashes, counts = [], []
+        if hashes:
+            h, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    return bounded(docs).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+class Codes:
+    """Token numbers and their paths in the Huffman tree.
+
+    ``paths[k]`` has, by token number, twice the node at depth k plus the branch
+    taken; ``leaf`` orders tokens so that equal nodes are neighbours at every
+    depth; ``lean`` is each node's log-odds of branch 0.
+    """
+
+    def __init__(self, words: list[tuple[int, int]], total: int) -> None:
+        hashes = np.array([h for h, _ in words], np.int64).view(_U)
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], (order + _WORD).astype(np.int32)
+        self.size = _WORD + len(words)
+        weight = np.zeros(self.size)
+        weight[_WORD:] = [n for _, n in words]
+        rest = max(total - weight.sum(), 1.0)
+        weight[_LEAD], weight[_BYTE:_PAIR] = rest, rest / 512
+        weight[_PAIR:_WORD] = rest / 65_536
+        plain = np.r_[0x30:0x3A, 0x61:0x7B]
+        weight[_PAIR + ((plain[:, None] << 8) | plain).ravel()] += 3 * rest / len(plain) ** 2
+        self._tree(weight)
+
+    def _tree(self, weight: np.ndarray) -> None:
+        live = np.flatnonzero(weight > 0)
+        live = live[np.lexsort((live, weight[live]))]
+        m = len(live)
+        value, up = [*weight[live].tolist(), *[0.0] * (m - 1)], [0] * (2 * m - 1)
+        i, j, lean = 0, m, []
+        for k in range(m, 2 * m - 1):  # the two lightest of what is left become one, from two sorted queues
+            pair = []
+            for branch in (0, 1):
+                if i < m and (j >= k or value[i] <= value[j]):
+                    x, i = i, i + 1
+                else:
+                    x, j = j, j + 1
+                up[x] = 2 * k + branch
+                pair.append(value[x])
+            value[k] = pair[0] + pair[1]
+            lean.append(np.log(pair[0] / pair[1]))
+        root = 2 * m - 2
+        depth = [0] * (2 * m - 1)
+        for x in range(root - 1, -1, -1):
+            depth[x] = depth[up[x] >> 1] + 1
+        self.nodes = m - 1
+        self.lean = np.array(lean[::-1], np.float32)  # node 0 is the root
+        self.length = np.zeros(self.size, np.int8)
+        self.length[live] = depth[:m]
+        self.paths = np.zeros((max(depth[:m]), self.size), np.int32)
+        level, at, parent = np.array(depth[:m]), np.arange(m), np.array(up)
+        for _ in range(len(self.paths)):
+            more = np.flatnonzero(level > 0)
+            step = parent[at[more]]
+            level[more] -= 1
+            self.paths[level[more], live[more]] = 2 * (root - (step >> 1)) + (step & 1)
+            at[more] = step >> 1
+        code = np.zeros(self.size)
+        for k, taken in enumerate(self.paths & 1):
+            code += taken * 2.0 ** -(k + 1)
+        self.leaf = np.empty(self.size, np.int32)
+        self.leaf[np.lexsort((np.arange(self.size), self.length, code))] = np.arange(self.size)
+
+    def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers of all texts, and n+1 bounds."""
+        low, starts, ends, where, h = _prepared(texts)
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+        size = ends - starts
+        begin = np.concatenate([[0], np.cumsum(np.where(known, 1, 1 + (size + 1) // 2))])
+        out = np.full(begin[-1], _LEAD, np.int32)
+        out[begin[:-1][known]] = self.numbers[at[known]]
+        rare = np.flatnonzero(~known)
+        half = (size[rare] + 1) // 2
+        k = np.arange(half.sum()) - np.repeat(np.cumsum(half) - half, half)
+        source = np.repeat(starts[rare], half) + 2 * k
+        one = low[source].astype(np.int32)
+        two = low[np.minimum(source + 1, len(low) - 1)]
+        out[np.repeat(begin[rare] + 1, half) + k] = np.where(source + 1 < np.repeat(ends[rare], half), _PAIR + (one << 8 | two), _BYTE + one)
+        return out, begin[where]
+
+
+def padded(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers with SIDE marks around each text, and the place of every token."""
+    place = np.arange(len(numbers)) + np.repeat(np.arange(1, len(bounds)) * SIDE, np.diff(bounds))
+    row = np.zeros(len(numbers) + SIDE * len(bounds), np.int32)
+    row[place] = numbers
+    return row, place
+
+
+def parts(row: np.ndarray, place: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of at most ``size`` tokens with what they see: (first, last, row, place)."""
+    for a in range(0, len(place), size):
+        b = min(len(place), a + size)
+        begin = place[a] - SIDE
+        yield a, b, row[begin : place[b - 1] + SIDE + 1], place[a:b] - begin
 
 
 class Network:
-    """Parameters in one flat array: input vectors by side place, hidden bias, output, output bias."""
-
-    SHAPES = ((2 * SIDE, VOCABULARY, HIDDEN), (HIDDEN,), (HIDDEN, VOCABULARY), (VOCABULARY,))
-
-    def __init__(self, flat: np.ndarray) -> None:
-        self.flat = flat.astype(np.float32)
-        self.parts, at = [], 0
-        for shape in self.SHAPES:
-            size = int(np.prod(shape))
-            self.parts.append(self.flat[at : at + size].reshape(shape))
-            at += size
-
-    @classmethod
-    def first(cls) -> Network:
-        size = sum(int(np.prod(s)) for s in cls.SHAPES)
-        return cls(np.random.default_rng(3).normal(0, 0.15, size))
-
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The four side tokens, the hidden layer and the log-probabilities of each context."""
-        vectors, bias, output, floor = self.parts
-        sides = np.stack([context >> s & _MASK for s in (18, 12, 6, 0)])
-        hidden = np.tanh(vectors[0][sides[0]] + vectors[1][sides[1]] + vectors[2][sides[2]] + vectors[3][sides[3]] + bias)
-        z = hidden @ output + floor
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return sides, hidden, z
-
-    def slope(self, context: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """Gradient of the mean loss; ``share`` has a row of token weights for each context."""
-        vectors, bias, output, floor = self.parts
-        sides, hidden, z = self.forward(context)
-        error = np.exp(z) * share.sum(1, keepdims=True) - share
-        back = (error @ output.T) * (1 - hidden**2)
-        inner = np.zeros_like(vectors)
-        for s in range(2 * SIDE):
-            for d in range(HIDDEN):
-                inner[s, :, d] = np.bincount(sides[s], back[:, d], minlength=VOCABULARY)
-        return np.concatenate([inner.ravel(), back.sum(0), (hidden.T @ error).ravel(), error.sum(0)])
-
-
-def _steps(flat: np.ndarray, window: np.ndarray, n: np.ndarray, done: int) -> np.ndarray:
-    """Adam steps on the mean loss over the windows, in blocks of contexts."""
-    order = np.argsort(window)
-    window, n = window[order].astype(np.int64), n[order]
-    context, at = np.unique(window >> _WIDTH, return_inverse=True)
-    network, total = Network(flat), n.sum()
-    move, square = np.zeros_like(network.flat), np.zeros_like(network.flat)
-    for k in range(1, STEPS + 1):
-        slope = np.zeros_like(network.flat)
-        for a in range(0, len(context), 50_000):
-            b = min(len(context), a + 50_000)
-            lo, hi = np.searchsorted(at, [a, b])
-            share = np.zeros((b - a, VOCABULARY), np.float32)
-            share[at[lo:hi] - a, window[lo:hi] & _MASK] = n[lo:hi] / total
-            slope += network.slope(context[a:b], share)
-        move += 0.1 * (slope - move)
-        square += 0.02 * (slope**2 - square)
-        rate = RATE / (1 + done)
-        network.flat -= (rate * move / (1 - 0.9**k) / (np.sqrt(square / (1 - 0.98**k)) + 1e-7)).astype(np.float32)
-    return network.flat
-
-
-def train(counts: DataFrame) -> Network:
-    """The network after ROUNDS of steps in every partition and averaging."""
-    network = Network.first()
-    if counts.isEmpty():
+    """``inputs`` by token, ``scales`` by side place, ``bias``; ``outputs`` and ``lean`` by node of the tree."""
+
+    NAMES = ("inputs", "outputs", "lean", "scales", "bias")
+
+    def __init__(self, codes: Codes) -> None:
+        self.inputs = np.random.default_rng(3).normal(0, 0.1, (codes.size, HIDDEN)).astype(np.float32)
+        near = np.array([1 / abs(o) for o in _PLACES], np.float32)
+        self.scales = np.repeat(near[:, None], HIDDEN, 1)
+        self.bias = np.zeros((1, HIDDEN), np.float32)
+        self.outputs = np.zeros((codes.nodes, HIDDEN), np.float32)
+        self.lean = codes.lean[:, None].copy()
+
+    def hidden(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seen = self.inputs[row]
+        out = np.zeros_like(seen) + self.bias
+        for scale, o in zip(self.scales, _PLACES, strict=True):
+            if o < 0:
+                out[-o:] += scale * seen[:o]
+            else:
+                out[:-o] += scale * seen[o:]
+        return seen, np.tanh(out)
+
+    def log_probabilities(self, codes: Codes, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of the token at each place, given the tokens beside it."""
+        number = row[place]
+        order = np.argsort(-codes.length[number], kind="stable")  # what is active at a depth comes first
+        number, hidden = number[order], self.hidden(row)[1][place[order]]
+        length = codes.length[number]
+        inverse = np.ones(len(number))  # of the probability: one factor for each step of the path
+        for k in range(int(length[0]) if len(length) else 0):
+            m = len(length) - int(np.searchsorted(length[::-1], k, "right"))
+            step = codes.paths[k][number[:m]]
+            z = np.einsum("nh,nh->n", self.outputs[step >> 1], hidden[:m])
+            z += self.lean[step >> 1, 0]
+            z *= (2 * (step & 1) - 1).astype(np.float32)
+            inverse[:m] *= 1 + np.exp(np.clip(z, -20, 20)).astype(np.float64)
+        out = np.empty(len(number))
+        out[order] = -np.log(inverse)
+        return out
+
+    def slopes(self, codes: Codes, row: np.ndarray, place: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By parameter: rows, the gradient of the summed loss there, and how many tokens met each row."""
+        number = row[place]
+        order = np.argsort(codes.leaf[number], kind="stable")  # equal nodes are neighbours at every depth
+        number, at = number[order], place[order]
+        seen, every = self.hidden(row)
+        hidden, length = every[at], codes.length[number]
+        back = np.zeros_like(hidden)
+        active, own, mine, k = None, number, hidden, 0
+        nodes, outputs, leans, times = [], [], [], []
+        while True:
+            if k >= length.min():
+                active = np.flatnonzero(length > k) if active is None else active[length[active] > k]
+                if not len(active):
+                    break
+                own, mine = number[active], hidden[active]
+            step = codes.paths[k][own]
+            node = step >> 1
+            edge = _runs(node)
+            weights = self.outputs[node]
+            sign = (1 - 2 * (step & 1)).astype(np.float32)
+            z = np.einsum("nh,nh->n", weights, mine)
+            z += self.lean[node, 0]
+            error = -sign / (1 + np.exp(np.clip(sign * z, -20, 20)))
+            weights *= error[:, None]
+            if active is None:
+                back += weights
+            else:
+                back[active] += weights
+            np.multiply(mine, error[:, None], out=weights)
+            nodes.append(node[edge])
+            outputs.append(np.add.reduceat(weights, edge, axis=0))
+            leans.append(np.add.reduceat(error, edge))
+            times.append(np.diff(np.append(edge, len(node))))
+            k += 1
+        inner = np.zeros_like(every)
+        inner[at] = back * (1 - hidden * hidden)
+        beside, scales = np.zeros_like(seen), np.empty_like(self.scales)
+        for i, (scale, o) in enumerate(zip(self.scales, _PLACES, strict=True)):
+            if o < 0:
+                beside[:o] += scale * inner[-o:]
+                scales[i] = np.einsum("nh,nh->h", seen[:o], inner[-o:])
+            else:
+                beside[o:] += scale * inner[:-o]
+                scales[i] = np.einsum("nh,nh->h", seen[o:], inner[:-o])
+        order = np.argsort(row, kind="stable")
+        edge = _runs(row[order])
+        node, n = np.concatenate(nodes), np.concatenate(times)
+        whole = np.full(len(_PLACES), len(place))
+        return {
+            "inputs": (row[order[edge]], np.add.reduceat(beside[order], edge, axis=0), np.diff(np.append(edge, len(row)))),
+            "outputs": (node, np.concatenate(outputs), n),
+            "lean": (node, np.concatenate(leans)[:, None], n),
+            "scales": (np.arange(len(_PLACES)), scales, whole),
+            "bias": (np.zeros(1, int), inner.sum(0, keepdims=True), whole[:1]),
+        }
+
+
+class Learner:
+    """A network that learns, and how often each row of its parameters was met."""
+
+    def __init__(self, codes: Codes) -> None:
+        self.codes, self.network = codes, Network(codes)
+        self.squares = {k: np.zeros_like(getattr(self.network, k)) for k in Network.NAMES}
+        self.met = {k: np.zeros(len(v), np.int64) for k, v in self.squares.items()}
+
+    def learn(self, row: np.ndarray, place: np.ndarray) -> None:
+        for name, (at, slope, n) in self.network.slopes(self.codes, row, place).items():
+            square = self.squares[name]
+            square[at] += slope * slope
+            getattr(self.network, name)[at] -= RATE * slope / np.sqrt(square[at] + 1e-8)
+            self.met[name][at] += n
+
+
+_MESSAGE = "name string, block int, part long, rows binary, met binary, sums binary"
+
+
+def _message(name: str, block: int, part: int, rows: np.ndarray, met: np.ndarray, sums: np.ndarray) -> tuple:
+    return name, block, part, rows.astype(np.int32).tobytes(), met.astype(np.int64).tobytes(), sums.astype(np.float32).tobytes()
+
+
+def _batch(messages: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*messages, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _MESSAGE.split(", ")])
+
+
+def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages of equal name, block and part as one; what is held is bounded by the network's size."""
+    held: dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            key = (r["name"], r["block"], r["part"])
+            rows, met = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["met"], np.int64)
+            own = (rows, met, np.frombuffer(r["sums"], np.float32).reshape(len(rows), -1).astype(np.float64))
+            if key in held:
+                rows, at = np.unique(np.concatenate([held[key][0], own[0]]), return_inverse=True)
+                met, sums = np.zeros(len(rows), np.int64), np.zeros((len(rows), own[2].shape[1]))
+                for part, m, s in ((at[: len(held[key][0])], *held[key][1:]), (at[len(held[key][0]) :], *own[1:])):
+                    met[part] += m
+                    sums[part] += s
+                own = (rows, met, sums)
+            held[key] = own
+    for key in sorted(held):
+        yield _batch([_message(*key, *held[key])])
+
+
+def train(docs: DataFrame, codes, total: int) -> Network:
+    """The average of what all parts of the table have learned (``codes`` is broadcast)."""
+    network = Network(codes.value)
+    if not total:
         return network
-    for k in range(ROUNDS):
-        flat = counts.sparkSession.sparkContext.broadcast(network.flat.copy())
-
-        def run(batches: Iterable[pa.RecordBatch], flat=flat, k=k) -> Iterator[pa.RecordBatch]:
-            window: list[np.ndarray] = []
-            n: list[np.ndarray] = []
-
-            def own() -> pa.RecordBatch:
-                at, size = np.concatenate(window), np.concatenate(n)
-                got = _steps(flat.value, at, size, k).astype(float) * size.sum()
-                index = np.arange(len(got) + 1)
-                return pa.RecordBatch.from_arrays([pa.array(index), pa.array(np.append(got, float(size.sum())))], names=["i", "v"])
-
-            for batch in batches:
-                if batch.num_rows:
-                    window.append(tx.column(batch, "window").to_numpy())
-                    n.append(tx.column(batch, "n").to_numpy())
-                if sum(map(len, window)) > 2 * PARTITION_WINDOWS:
-                    yield own()
-                    window, n = [], []
-            if window:
-                yield own()
-
-        rows = counts.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # one for each parameter
-        got = np.array([r[1] for r in rows])
-        # rounding hides the order in which partitions were added
-        network = Network(np.round(got[:-1] / got[-1], 5))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, learner = TaskContext.get().partitionId(), Learner(codes.value)
+        for batch in batches:
+            texts = tx.column(batch, "text")
+            for first, last, _, _ in tx.slices(texts):
+                for *_, row, place in parts(*padded(*learner.codes.numbered(texts.slice(first, last - first))), STEP_TOKENS):
+                    learner.learn(row, place)
+        for name, met in learner.met.items():
+            touched = np.flatnonzero(met)
+            for block in range(BLOCKS):
+                at = touched[touched % BLOCKS == block]
+                if len(at):
+                    yield _batch([_message(name, block, part, at, met[at], getattr(learner.network, name)[at] * met[at, None])])
+
+    # parts of a like size whatever the files are like; coalesce never adds parts
+    number = -(-total // PART_TOKENS)
+    messages = bounded(docs).select("text").coalesce(number).mapInArrow(run, _MESSAGE)
+    while True:
+        groups = -(-number // FAN_IN)
+        messages = messages.withColumn("part", F.pmod("part", F.lit(groups))).repartition(BLOCKS if groups == 1 else BLOCKS * groups, "name", "block", "part").mapInArrow(_added, _MESSAGE)
+        if groups == 1:
+            break
+        number = groups
+    for r in messages.toLocalIterator():  # as many rows as the network has
+        rows, met = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["met"], np.int64)
+        # rounding hides the order in which parts were added
+        getattr(network, r["name"])[rows] = np.round(np.frombuffer(r["sums"], np.float32).reshape(len(rows), -1) / met[:, None], 5)
     return network
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_prob and mean_log_prob of every row."""
     sc = docs.sparkSession.sparkContext
-    known = sc.broadcast(table(characters(docs)))
-    counts = window_counts(docs, known)
-    n = (counts := cut(counts)).count()
-    counts = cut(counts.repartition(max(1, n // PARTITION_WINDOWS), F.hash("window"))) if n > PARTITION_WINDOWS else counts.coalesce(1)
-    network = sc.broadcast(train(counts).flat)
+    counts = cut(token_counts(docs))
+    total = int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    common = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "h").limit(WORDS).collect()
+    codes = sc.broadcast(Codes([(r["h"], r["n"]) for r in common], total))
+    shared = sc.broadcast(train(docs, codes, total))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(network.value)
+        network = shared.value
         for batch in batches:
             ids, texts = tx.column(batch, "doc_id"), tx.column(batch, "text")
-            for first, last, _, _ in tx.slices(texts, SLICE_BYTES):
-                part = texts.slice(first, last - first)
-                tokens, bounds = spelled(part, known.value)
-                row, place = _padded(tokens, bounds)
-                context, token = windows(row, place)
-                each, at = np.unique(context, return_inverse=True)
-                fixed = np.empty(len(token), np.int64)
-                order = np.argsort(at, kind="stable")
-                ends = np.searchsorted(at[order], np.arange(0, len(each) + 20_000, 20_000))
-                for k, a in enumerate(range(0, len(each), 20_000)):
-                    z = np.round(own.forward(each[a : a + 20_000])[2].astype(float) * _FIXED).astype(np.int64)
-                    own_rows = order[ends[k] : ends[k + 1]]
-                    fixed[own_rows] = z[at[own_rows] - a, token[own_rows]]
+            for first, last, _, _ in tx.slices(texts):
+                numbers, bounds = codes.value.numbered(texts.slice(first, last - first))
+                fixed = np.empty(len(numbers), np.int64)
+                for a, b, row, place in parts(*padded(numbers, bounds), 2 * STEP_TOKENS):
+                    # fixed point: a sum can't depend on how rows are batched
+                    fixed[a:b] = np.round(network.log_probabilities(codes.value, row, place) * _FIXED)
                 size, total = np.diff(bounds), tx.segment_sums(fixed, bounds) / _FIXED
                 mean = pa.array(np.divide(total, size, out=np.zeros(len(size)), where=size > 0), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(size), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])

@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy, decoding against plain formulas, edge cases."""
 
+import re
 import textwrap
 import zlib
 
@@ -198,46 +199,80 @@ def test_no_run_that_a_template_confirms_is_passed_over():
 # --- pseudo-likelihood -----------------------------------------------------
 
 
-def test_scores_are_the_sum_over_all_tokens(spark):
-    texts = ["abab abab", "ba", "", None, "zzzz", "abab abab"] * 3
-    docs = edge.frame(spark, texts)
-    got = edge.by_id(pseudolik.scores(docs))
-    known = pseudolik.table(pseudolik.characters(docs))
-    from corvane.llm.runtime import cut
-
-    counts = cut(pseudolik.window_counts(docs, spark.sparkContext.broadcast(known)))
-    total = {}
-    for t in texts:
-        row = [0, 0, *(int(known[ord(c)]) for c in (t or "").lower()), 0, 0]
-        for i in range(2, len(row) - 2):
-            key = 0
-            for part in (row[i - 2], row[i - 1], row[i + 1], row[i + 2], row[i]):
-                key = key << 6 | part
-            total[key] = total.get(key, 0) + 1
-    assert {r["window"]: r["n"] for r in counts.collect()} == total
-    network = pseudolik.train(counts.coalesce(1))
-    for k, t in enumerate(texts):
-        context, token = pseudolik.windows(*pseudolik.numbers(pa.array([t]), known))
-        want = sum(float(network.forward(context[i : i + 1])[2][0, token[i]]) for i in range(len(token)))
-        assert got[k]["n_tokens"] == len(t or "") and abs(got[k]["log_prob"] - want) < 1e-3
-    assert got[0]["log_prob"] == got[5]["log_prob"] and got[2]["mean_log_prob"] is None
+def plain_log_probability(codes, network, numbers, i):
+    """The masked token's, from the definition: a hidden layer, and one factor for each branch of the path."""
+    side = pseudolik.SIDE
+    around = [0] * side + list(numbers) + [0] * side
+    hidden = network.bias[0].astype(float)
+    for scale, o in zip(network.scales, [*range(-side, 0), *range(1, side + 1)], strict=True):
+        hidden = hidden + scale.astype(float) * network.inputs[around[i + side + o]]
+    hidden, out = np.tanh(hidden), 0.0
+    for k in range(codes.length[numbers[i]]):
+        node, branch = divmod(int(codes.paths[k][numbers[i]]), 2)
+        z = float(network.outputs[node] @ hidden + network.lean[node, 0])
+        out -= np.log1p(np.exp(z if branch else -z))
+    return out
+
 
+def small_codes(seed=0, words=40):
+    rng = np.random.default_rng(seed)
+    return pseudolik.Codes([(int(h), int(n)) for h, n in zip(rng.integers(-(1 << 62), 1 << 62, words), rng.integers(2, 99, words), strict=True)], 3000)
 
-def test_gradient_is_the_slope_of_the_loss():
-    network = pseudolik.Network.first()
-    rng = np.random.default_rng(0)
-    context, token = rng.integers(0, 1 << 24, 50), rng.integers(0, 64, 50)
-    share = np.zeros((50, 64), np.float32)
-    share[np.arange(50), token] = 1 / 50
 
-    def loss(flat):
-        return -(pseudolik.Network(flat).forward(context)[2] * share).sum()
+def small_network(codes, seed=0):
+    rng, network = np.random.default_rng(seed), pseudolik.Network(codes)
+    network.outputs += rng.normal(0, 0.3, network.outputs.shape).astype(np.float32)
+    network.bias += rng.normal(0, 0.3, network.bias.shape).astype(np.float32)
+    return network
 
-    slope = network.slope(context, share)
-    for i in [*rng.integers(0, len(slope), 12), len(slope) - 5, 4 * 64 * 16 + 3]:
-        step = np.zeros_like(network.flat)
-        step[i] = 1e-2
-        assert abs((loss(network.flat + step) - loss(network.flat - step)) / 2e-2 - slope[i]) < 2e-3
+
+def test_scores_are_the_sum_over_all_tokens(spark):
+    texts = ["abab, abab!", "ba", "", None, "zzzz zz", "abab, abab!", "Ünï 日本 x" + "y" * 200] * 3
+    docs = edge.frame(spark, texts).coalesce(1)
+    got = edge.by_id(pseudolik.scores(docs))
+    counts = {r["h"]: r["n"] for r in pseudolik.token_counts(docs).collect()}
+    total = sum(counts.values())
+    codes = pseudolik.Codes(sorted(counts.items(), key=lambda x: (-x[1], x[0])), total)
+    network = pseudolik.train(docs, spark.sparkContext.broadcast(codes), total)
+    for k, t in enumerate(texts):
+        numbers, _ = codes.numbered(pa.array([t]))
+        want = sum(plain_log_probability(codes, network, numbers, i) for i in range(len(numbers)))
+        assert got[k]["n_tokens"] == len(numbers) and abs(got[k]["log_prob"] - want) < 1e-3 * max(1, len(numbers))
+    assert got[0]["n_tokens"] == 4 and got[0]["log_prob"] == got[5]["log_prob"] and got[2]["mean_log_prob"] is None
+
+
+def test_token_probabilities_sum_to_one():
+    codes = small_codes()
+    network = small_network(codes)
+    live = np.flatnonzero(codes.length)
+    row = np.concatenate([[[5, 300, 60_000, n, 2, 0, 0]] for n in live]).ravel().astype(np.int32)
+    whole = np.exp(network.log_probabilities(codes, row, np.arange(len(live)) * 7 + 3))
+    assert len(live) == codes.nodes + 1 and abs(whole.sum() - 1) < 1e-4
+
+
+def test_learned_gradient_is_the_slope_of_the_loss():
+    codes = small_codes()
+    network, rng = small_network(codes), np.random.default_rng(1)
+    row, place = pseudolik.padded(rng.choice(np.flatnonzero(codes.length), 60).astype(np.int32), np.array([0, 25, 60]))
+    for name, (at, slope, n) in network.slopes(codes, row, place).items():
+        summed = np.zeros_like(getattr(network, name))
+        np.add.at(summed, at, slope)
+        for r in rng.choice(np.unique(at), 3):
+            values, c = getattr(network, name), int(rng.integers(summed.shape[1]))
+            was, loss = values[r, c], []
+            for step in (0.02, -0.02):
+                values[r, c] = was + step
+                loss.append(-network.log_probabilities(codes, row, place).sum())
+            values[r, c] = was
+            assert abs((loss[0] - loss[1]) / 0.04 - summed[r, c]) < 1e-2 + 1e-2 * abs(summed[r, c]), name
+        assert n.min() > 0
+
+
+def test_parts_are_averaged_by_how_often_they_met_a_row():
+    messages = [pseudolik._message("bias", 0, 1, np.array([3, 7]), np.array([1, 2]), np.array([[1.0], [2.0]])), pseudolik._message("bias", 0, 1, np.array([7, 9]), np.array([6, 1]), np.array([[12.0], [5.0]]))]
+    got = pa.Table.from_batches(list(pseudolik._added([pseudolik._batch([m]) for m in messages]))).to_pylist()
+    assert len(got) == 1 and np.frombuffer(got[0]["rows"], np.int32).tolist() == [3, 7, 9]
+    assert np.frombuffer(got[0]["met"], np.int64).tolist() == [1, 8, 1] and np.frombuffer(got[0]["sums"], np.float32).tolist() == [1, 14, 5]
 
 
 def test_odd_text_scores_lower(spark):
@@ -264,10 +299,19 @@ def test_minority_scripts_are_scored_as_language(spark):
 
 
 def test_spelling_tells_all_texts_apart():
-    known = pseudolik.table([*range(97, 123), *range(0x4E00, 0x4E00 + 9000)])
+    codes = pseudolik.Codes([], 10)
     rng = np.random.default_rng(7)
-    texts = ["".join(chr(c) for c in rng.choice([97, 98, 0x4E00, 0x4E30, 0x4E40, 0x6000, 0x7000], 4)) for _ in range(500)]
-    tokens, bounds = pseudolik.spelled(pa.array([*texts, None, ""]), known)
-    assert tokens.min() > 0 and tokens.max() < pseudolik.VOCABULARY and bounds[-1] == bounds[-3] == len(tokens)
-    spelled = {t: tuple(tokens[a:b]) for t, a, b in zip(texts, bounds, bounds[1:], strict=False)}
-    assert len(set(spelled.values())) == len(set(texts))
+    texts = [" ".join("".join(chr(c) for c in rng.choice([97, 98, 0xE9, 0x44F, 0x4E00, 0x4E30, 33], int(rng.integers(1, 4)))) for _ in range(3)) for _ in range(500)]
+    numbers, bounds = codes.numbered(pa.array([*texts, None, "", " \n"]))
+    assert numbers.min() > 0 and bounds[-1] == bounds[-4] == len(numbers)
+    spelled = {t: tuple(numbers[a:b]) for t, a, b in zip(texts, bounds, bounds[1:], strict=False)}
+    kinds = r"[^\W\u3000-\u9fff]+|[\u3000-\u9fff]|[^\w\s]"
+    assert len(set(spelled.values())) == len({tuple(re.findall(kinds, t)) for t in texts})
+
+
+def test_tokens_are_runs_marks_and_characters():
+    texts = ["Hello, wörld_1!", "日本 語a", "x" * 150, "", "привет мир"]
+    data, offsets = tx.raw(pa.array(texts))
+    starts, ends, where = pseudolik.tokens(tx.LOWER[data], offsets)
+    got = [[bytes(data[a:b]).decode() for a, b in zip(starts[i:j], ends[i:j], strict=True)] for i, j in zip(where, where[1:], strict=False)]
+    assert got == [["Hello", ",", "wörld_1", "!"], ["日", "本", "語", "a"], ["x" * 64, "x" * 64, "x" * 22], [], ["привет", "мир"]]
