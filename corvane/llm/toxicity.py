@@ -1,17 +1,21 @@
 """Toxicity by classifier chains.
 
 Categories are predicted one after the other by linear (logistic) models over
-the words that a text has.  A later model also gets the probabilities of the
-earlier categories; while learning, these come from models that have not seen
-the row (out of fold), so a chain does not learn to trust fitted values.  The
-last category is ``toxic`` as labelled; the earlier ones are weak categories,
-toxic rows with a word of a seed list.
+the words, and beginnings of words, that a text has.  A later model also gets
+the probabilities of the earlier categories; while learning, these come from
+models that have not seen the row (out of fold), so a chain does not learn to
+trust fitted values.  The last category is ``toxic`` as labelled.  The earlier
+ones are kinds of toxic rows, learned from the rows themselves in whatever
+language: the labelled toxic rows are split along their main direction in the
+space of telling words, the larger part again, until there are CATEGORIES.
 
 Cases: a null text, or one without words, has no features and gets the
 intercepts' probabilities, which are below one half unless most labelled rows
 are toxic.  Null or other labels and doc_ids with contrary labels are not
 learned from; a category without both classes in the sample is its smoothed
-share.  Repeated rows get equal results; other columns are never read.
+share, and without any label nothing is rejected.  Words of equal strength are taken in byte order, kinds of equal size in
+order of their first row.  Repeated rows get equal results; an empty table
+gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -30,26 +34,27 @@ from corvane.llm.quality import fitted, labelled
 
 #: Documented bound of the training sample: rows, chosen by hash of doc_id.
 MAX_ROWS = 8_000
-#: Words that a model may use, documents of the sample that must have one, and
-#: standard errors by which its share must differ between the classes.
-VOCABULARY, LEAST, STRENGTH = 400, 5, 4.0
+#: Words and beginnings that a model may use (of the bounded sample), documents of the
+#: sample that must have one, and standard errors by which its share must differ between the classes.
+VOCABULARY, LEAST, STRENGTH = 4_000, 5, 4.0
+#: Bytes of a word's beginning that count as a feature of their own.
+BEGINNING = 5
+#: Kinds of toxic rows that are told apart.
+CATEGORIES = 3
 FOLDS = 3
 ROUNDS, RATE = 150, 0.2
-CUTOFF = 0.5
+#: Score from which on a text is rejected.
+CUTOFF = 0.4
 TARGET = "toxic"
 
-#: Seed words of the weak categories, in the order of the chain (fixed values).
-SEEDS = {
-    "insult": ["clown", "idiot", "loser", "moron", "stupid"],
-    "contempt": ["disgusting", "pathetic", "scum", "trash", "worthless"],
-}
-
 #: Letters stay (A-Z lower-cased, all non-ASCII bytes as they are), the rest separates.
 _NORMAL = bytes(c + 0x20 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
 def words(data: bytes | None) -> set[bytes]:
-    return set((data or b"").translate(_NORMAL).split())
+    """The words of a text and, after a mark, the beginnings of longer ones."""
+    own = set((data or b"").translate(_NORMAL).split())
+    return own | {b"^" + w[:BEGINNING] for w in own if len(w) > BEGINNING}
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -64,7 +69,10 @@ class Linear:
         n, times = len(y), np.diff(bounds)
         share = (y.sum() + 1) / (n + 2)
         self.w, self.b = np.zeros(width + dense.shape[1]), float(np.log(share / (1 - share)))
-        if n == 0 or y.min() == y.max():
+        if n == 0:
+            self.b = -35.0  # nothing is known, nothing is rejected
+            return
+        if y.min() == y.max():
             return
         weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
         self.b = 0.0
@@ -88,27 +96,65 @@ class Linear:
         return float(_sigmoid(np.float64(z)))
 
 
+def _main_direction(x: np.ndarray) -> np.ndarray:
+    """Each row's place on the first principal axis (power iteration from the widest row)."""
+    x = x - x.mean(0)
+    axis = x[np.argmax((x * x).sum(1))].copy()
+    for _ in range(60):
+        axis = x.T @ (x @ axis)
+        axis /= max(float(np.linalg.norm(axis)), 1e-12)
+    return x @ axis
+
+
+def kinds(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """For each row (of feature numbers) its kind, from 0 to CATEGORIES - 1, larger kinds first."""
+    x = np.zeros((len(rows), width), np.float32)
+    for own, at in zip(x, rows, strict=True):
+        own[at] = 1 / max(1, len(at)) ** 0.5
+    parts = [np.arange(len(rows))]
+    while len(parts) < CATEGORIES:
+        parts.sort(key=lambda p: (-len(p), *p[:1]))
+        whole = parts[0]
+        if len(whole) < 2 * LEAST:
+            break
+        side = _main_direction(x[whole]) > 0
+        if side.all() or not side.any():
+            break
+        parts[:1] = [whole[~side], whole[side]]
+    out = np.zeros(len(rows), int)
+    for k, part in enumerate(sorted(parts, key=lambda p: (-len(p), *p[:1]))):
+        out[part] = k
+    return out
+
+
 class Chain:
-    """Linear models of ``categories`` in order, over presence of chosen words."""
+    """Linear models of CATEGORIES kinds and of toxic, in this order, over presence of chosen words."""
 
-    def __init__(self, texts: list[str], targets: dict[str, list[int]]) -> None:
-        self.categories = list(targets)
-        last = np.array(targets[self.categories[-1]], float)
+    def __init__(self, texts: list[str], toxic: list[int]) -> None:
+        last = np.array(toxic, float)
         # word sets are made twice and never held together: they would be many times the texts
         self.ids = {w: i for i, w in enumerate(self._chosen((words(t.encode()) for t in texts), last))}
         rows = [np.array(sorted(i for w in words(t.encode()) if (i := self.ids.get(w)) is not None), np.int64) for t in texts]
+        bad = np.flatnonzero(last)
+        kind = np.full(len(rows), -1)
+        kind[bad] = kinds([rows[i] for i in bad], len(self.ids))
         fold = np.arange(len(rows)) % FOLDS
         earlier = np.zeros((len(rows), 0))
         self.models: list[Linear] = []
-        for category in self.categories:
-            y = np.array(targets[category], float)
+        for k in range(CATEGORIES + 1):
+            y = (kind == k).astype(float) if k < CATEGORIES else last
             self.models.append(self._fit(rows, earlier, y, np.arange(len(rows))))
-            unseen = np.zeros(len(rows))
-            for k in range(FOLDS):
-                own = self._fit(rows, earlier, y, np.flatnonzero(fold != k))
-                for i in np.flatnonzero(fold == k):
-                    unseen[i] = own(rows[i], earlier[i].tolist())
-            earlier = np.concatenate([earlier, unseen[:, None]], 1)
+            if k < CATEGORIES:
+                earlier = np.concatenate([earlier, self._unseen(rows, earlier, y, fold)[:, None]], 1)
+
+    def _unseen(self, rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        """Each row's probability from a model of the other folds."""
+        out = np.zeros(len(rows))
+        for f in range(FOLDS):
+            own = self._fit(rows, earlier, y, np.flatnonzero(fold != f))
+            for i in np.flatnonzero(fold == f):
+                out[i] = own(rows[i], earlier[i].tolist())
+        return out
 
     def _fit(self, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, which: np.ndarray) -> Linear:
         own = [rows[i] for i in which]
@@ -145,17 +191,8 @@ class Chain:
         return out
 
 
-def targets(texts: list[str], toxic: list[int]) -> dict[str, list[int]]:
-    out: dict[str, list[int]] = {name: [] for name in SEEDS}
-    for text, label in zip(texts, toxic, strict=True):
-        own = words(text.encode()) if label else set()
-        for name, seeds in SEEDS.items():
-            out[name].append(int(any(w.encode() in own for w in seeds)))
-    return out | {TARGET: list(toxic)}
-
-
 def learn(texts: list[str], toxic: list[int]) -> Chain:
-    return Chain(texts, targets(texts, toxic))
+    return Chain(texts, toxic)
 
 
 def chain(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
@@ -168,16 +205,16 @@ def _probabilities(own: Chain, texts: pa.Array) -> list[list[float]]:
 
 
 def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, the earlier categories' probabilities, score (of ``toxic``), predicted and toxic: whether it is rejected."""
+    """doc_id, the kinds' probabilities, score (of ``toxic``), predicted and toxic: whether it is rejected."""
     model = chain(docs, labels, max_rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array(_probabilities(model.value, tx.column(batch, "text"))).reshape(-1, len(SEEDS) + 1)
+            got = np.array(_probabilities(model.value, tx.column(batch, "text"))).reshape(-1, CATEGORIES + 1)
             bad = got[:, -1] >= CUTOFF
             yield pa.RecordBatch.from_arrays([tx.column(batch, "doc_id"), *map(pa.array, got.T), pa.array(bad.astype(np.int32)), pa.array(bad)], names=names)
 
-    names = ["doc_id", *[f"p_{n}" for n in SEEDS], "score", "predicted", "toxic"]
+    names = ["doc_id", *[f"p_kind_{k + 1}" for k in range(CATEGORIES)], "score", "predicted", "toxic"]
     schema = ", ".join(["doc_id long", *[f"{n} double" for n in names[1:-2]], "predicted int", "toxic boolean"])
     return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 

@@ -85,20 +85,82 @@ def test_toxicity_on_unseen_rows(spark):
     assert np.mean([bool(p) for p, y in got if y]) > 0.9 and np.mean([bool(p) for p, y in got if not y]) < 0.01
 
 
-def test_chain_feeds_earlier_probabilities_on():
-    texts = ["idiot " * 2 + f"w{i}" for i in range(30)] + [f"plain words v{i}" for i in range(60)]
-    toxic = [1] * 30 + [0] * 60
-    chain = toxicity.Chain(texts, toxicity.targets(texts, toxic))
-    assert [len(m.w) for m in chain.models] == [len(chain.ids) + k for k in range(3)]
-    p = chain(toxicity.words(b"you IDIOT"))
-    assert p[0] > 0.5 and p[2] > 0.5 and chain(toxicity.words(b"plain words"))[2] < 0.5
+def toxic_sample(seed=4):
+    """Two kinds of toxic texts in two languages, told by their own words, among clean ones."""
+    rng = np.random.default_rng(seed)
+    plain = [f"wort{i}" for i in range(60)]
+    own = [["vilest", "grubby", "moldy"], ["schuftig", "widerlich", "fies"]]
+    texts, toxic = [], []
+    for k in range(240):
+        kind = [0, 1, None, None][k % 4]
+        picked = list(rng.choice(plain, 12)) + ([] if kind is None else list(rng.choice(own[kind], 2)))
+        texts.append(" ".join(rng.permutation(picked)))
+        toxic.append(int(kind is not None))
+    return texts, toxic
+
+
+def test_kinds_are_learned_from_the_rows():
+    texts, toxic = toxic_sample()
+    chain = toxicity.Chain(texts, toxic)
+    a, b, c = (chain(toxicity.words(t)) for t in (b"a moldy grubby thing", b"ein fies widerlich ding", b"wort1 wort2 wort3"))
+    assert a[-1] > 0.9 and b[-1] > 0.9 and c[-1] < 0.1
+    assert np.argmax(a[:-1]) != np.argmax(b[:-1]) and max(c[:-1]) < 0.3
+
+
+def plain_chain(chain, texts, toxic):
+    """The chain in dense numpy: presence of the chosen words, full-batch Adam, earlier columns from models of the other folds."""
+    x = np.array([[w in toxicity.words(t.encode()) for w in chain.ids] for t in texts], float)
+    y = np.array(toxic, float)
+    kind = np.full(len(y), -1)
+    kind[y > 0] = toxicity.kinds([np.flatnonzero(r) for r in x[y > 0]], x.shape[1])
+
+    def fit(a, t):
+        share = (t.sum() + 1) / (len(t) + 2)
+        w, b = np.zeros(a.shape[1]), float(np.log(share / (1 - share)))
+        if t.min() == t.max():
+            return w, b
+        weight, b = np.where(t > 0, 0.5 / t.mean(), 0.5 / (1 - t.mean())) / len(t), 0.0
+        m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+        for k in range(1, toxicity.ROUNDS + 1):
+            slope = weight * (1 / (1 + np.exp(-np.clip(a @ w + b, -35, 35))) - t)
+            g = np.append(a.T @ slope + 1e-6 * w, slope.sum())
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            step = toxicity.RATE * m / (1 - 0.9**k) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+            w, b = w - step[:-1], b - step[-1]
+        return w, b
+
+    fold, models = np.arange(len(y)) % toxicity.FOLDS, []
+    for k in range(toxicity.CATEGORIES + 1):
+        t = (kind == k).astype(float) if k < toxicity.CATEGORIES else y
+        models.append(fit(x, t))
+        unseen = np.zeros(len(y))
+        for f in range(toxicity.FOLDS):
+            w, b = fit(x[fold != f], t[fold != f])
+            unseen[fold == f] = 1 / (1 + np.exp(-(x[fold == f] @ w + b)))
+        x = np.column_stack([x, unseen])
+    return models
+
+
+def test_chain_equals_a_plain_one():
+    texts, toxic = toxic_sample(5)
+    chain = toxicity.Chain(texts, toxic)
+    for own, (w, b) in zip(chain.models, plain_chain(chain, texts, toxic), strict=True):
+        assert np.allclose(own.w, w, atol=1e-5) and abs(own.b - b) < 1e-5
+    found, p = toxicity.words(b"grubby schuftig wort3"), []
+    at = [i for w, i in chain.ids.items() if w in found]
+    for own in chain.models:
+        p.append(1 / (1 + np.exp(-(own.w[at].sum() + np.dot(own.w[len(chain.ids) :], p) + own.b))))
+    assert np.allclose(chain(found), p)
 
 
 def test_toxicity_edges(spark):
     docs, labels = edge.documents(spark), edge.labels(spark)
-    assert toxicity.scores(docs, labels).count() == len(edge.rows())
+    rows = toxicity.scores(docs, labels).collect()
+    assert len(rows) == len(edge.rows()) and all(0 <= r["score"] <= 1 and r["toxic"] == (r["score"] >= 0.4) == bool(r["predicted"]) for r in rows)
+    assert len({tuple(r)[1:] for r in rows if r["doc_id"] in (0, 1, 2)}) == 1  # without words
+    assert {(r["score"] < 1e-9, r["toxic"]) for r in toxicity.scores(docs, labels.limit(0)).collect()} == {(True, False)}
     assert toxicity.scores(edge.none(spark), labels).count() == 0
-    kept = toxicity.accepted(docs, labels.limit(0), cutoff=0.51)
+    kept = toxicity.accepted(docs, labels.limit(0))
     assert kept.columns == docs.columns and kept.count() == len(edge.rows())
 
 
