@@ -2,13 +2,15 @@
 
 Texts (A-Z lower-cased) become tokens: runs of letters and digits, each mark by
 itself, and each character of scripts written without spaces by itself.  The
-``WORDS`` commonest tokens that occur twice or more have numbers of their own;
-all others, in whatever script, are spelled: a lead token, then their bytes two
-by two, so that different texts never become the same tokens.  A network with
-one hidden layer sees the three tokens on each side of a masked one and
-predicts it along its path in a Huffman tree over all token numbers, whose
-branches start from the corpus' counts.  A document's score is the sum of the
-conditional log-probabilities of all its tokens.
+``WORDS`` commonest tokens that occur twice or more have numbers of their own.
+A network with one hidden layer sees the three tokens on each side of a masked
+one and predicts its number along the path in a Huffman tree, whose branches
+start from the corpus' counts.  All other tokens, in whatever script, share the
+number ``_RARE`` when they are predicted (beside others they are seen by one of
+``BUCKETS`` hashed vectors) and are then spelled: their bytes two by two, each
+with its share among all rare tokens of the corpus, so that different tokens
+never become the same.  A document's score is the sum of the conditional
+log-probabilities of all its tokens.
 
 Everything is gathered from all documents.  Tokens are counted in one
 pre-aggregated exchange.  Then each part of the table makes one pass of numpy
@@ -28,6 +30,7 @@ pieces that see each other's edges.  Other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ from corvane.llm.runtime import bounded, cut
 
 #: Tokens with numbers of their own, and how often one must occur.
 WORDS, LEAST = 1 << 15, 2
+#: Vectors by which rare tokens are seen.
+BUCKETS = 1 << 14
 #: Tokens on each side of the masked one, and units of the hidden layer.
 SIDE, HIDDEN = 3, 24
 #: Tokens of one step, rate of the steps, and tokens that one part should have.
@@ -50,9 +55,11 @@ HELD, BLOCKS, FAN_IN = 1_000_000, 16, 1_000
 
 _U = np.uint64
 _FIXED = 1 << 20
-#: Token numbers: 0 lies outside a text, 1 leads a spelled token, then single bytes, byte pairs, and words.
-_LEAD, _BYTE, _PAIR = 1, 2, 258
-_WORD = _PAIR + 65_536
+#: Token numbers: 0 lies outside a text, 1 is any rare token, then the words.
+_RARE, _WORD = 1, 2
+#: Symbols of spelling: byte pairs, then single last bytes, then the end of a token of even length.
+_SINGLE, _END = 1 << 16, (1 << 16) + 256
+_SYMBOLS = _END + 1
 _PLACES = [o for o in range(-SIDE, SIDE + 1) if o]
 
 #: Kinds of bytes: 0 separates, 1 runs on, 2 and 3 are a token each (3 leads further bytes), 4 goes on.
@@ -138,12 +145,22 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return bounded(docs).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+class Numbered(NamedTuple):
+    """Tokens of several texts: numbers as predicted and as seen, n+1 bounds of the texts, and the symbols that spell rare ones."""
+
+    number: np.ndarray
+    seen: np.ndarray
+    bounds: np.ndarray
+    owner: np.ndarray
+    symbol: np.ndarray
+
+
 class Codes:
     """Token numbers and their paths in the Huffman tree.
 
     ``paths[k]`` has, by token number, twice the node at depth k plus the branch
-    taken; ``leaf`` orders tokens so that equal nodes are neighbours at every
-    depth; ``lean`` is each node's log-odds of branch 0.
+    taken; ``leaf`` orders tokens by depth and so that equal nodes are neighbours
+    at every depth; ``lean`` is each node's log-odds of branch 0.
     """
 
     def __init__(self, words: list[tuple[int, int]], total: int) -> None:
@@ -153,95 +170,86 @@ class Codes:
         self.size = _WORD + len(words)
         weight = np.zeros(self.size)
         weight[_WORD:] = [n for _, n in words]
-        rest = max(total - weight.sum(), 1.0)
-        weight[_LEAD], weight[_BYTE:_PAIR] = rest, rest / 512
-        weight[_PAIR:_WORD] = rest / 65_536
-        plain = np.r_[0x30:0x3A, 0x61:0x7B]
-        weight[_PAIR + ((plain[:, None] << 8) | plain).ravel()] += 3 * rest / len(plain) ** 2
+        weight[_RARE] = max(total - weight.sum(), 1.0)
         self._tree(weight)
 
     def _tree(self, weight: np.ndarray) -> None:
+        """Canonical Huffman codes: short ones first, so that the leaves stand in order of their depth."""
         live = np.flatnonzero(weight > 0)
         live = live[np.lexsort((live, weight[live]))]
         m = len(live)
-        value, up = [*weight[live].tolist(), *[0.0] * (m - 1)], [0] * (2 * m - 1)
-        i, j, lean = 0, m, []
+        value, up, i, j = [*weight[live].tolist(), *[0.0] * (m - 1)], [0] * (2 * m - 1), 0, m
         for k in range(m, 2 * m - 1):  # the two lightest of what is left become one, from two sorted queues
-            pair = []
-            for branch in (0, 1):
+            for _ in range(2):
                 if i < m and (j >= k or value[i] <= value[j]):
                     x, i = i, i + 1
                 else:
                     x, j = j, j + 1
-                up[x] = 2 * k + branch
-                pair.append(value[x])
-            value[k] = pair[0] + pair[1]
-            lean.append(np.log(pair[0] / pair[1]))
-        root = 2 * m - 2
+                up[x] = k
+                value[k] += value[x]
         depth = [0] * (2 * m - 1)
-        for x in range(root - 1, -1, -1):
-            depth[x] = depth[up[x] >> 1] + 1
-        self.nodes = m - 1
-        self.lean = np.array(lean[::-1], np.float32)  # node 0 is the root
+        for x in range(2 * m - 3, -1, -1):
+            depth[x] = depth[up[x]] + 1
+        order = live[np.lexsort((live, depth[:m]))]
         self.length = np.zeros(self.size, np.int8)
         self.length[live] = depth[:m]
-        self.paths = np.zeros((max(depth[:m]), self.size), np.int32)
-        level, at, parent = np.array(depth[:m]), np.arange(m), np.array(up)
-        for _ in range(len(self.paths)):
-            more = np.flatnonzero(level > 0)
-            step = parent[at[more]]
-            level[more] -= 1
-            self.paths[level[more], live[more]] = 2 * (root - (step >> 1)) + (step & 1)
-            at[more] = step >> 1
-        code = np.zeros(self.size)
-        for k, taken in enumerate(self.paths & 1):
-            code += taken * 2.0 ** -(k + 1)
-        self.leaf = np.empty(self.size, np.int32)
-        self.leaf[np.lexsort((np.arange(self.size), self.length, code))] = np.arange(self.size)
-
-    def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Token numbers of all texts, and n+1 bounds."""
+        self.leaf = np.zeros(self.size, np.int32)
+        self.leaf[order] = np.arange(m)
+        length = self.length[order].astype(np.int64)
+        codes, code = [], 0
+        for k, n in enumerate(length.tolist()):
+            code = (code + 1) << (n - int(length[k - 1])) if k else 0
+            codes.append(code)
+        codes, weights = np.array(codes, np.int64), weight[order]
+        self.paths = np.zeros((int(length.max(initial=0)), self.size), np.int32)
+        lean, self.nodes = [], 0
+        for k, row in enumerate(self.paths):
+            first = int(np.searchsorted(length, k, "right"))
+            prefix, bit = codes[first:] >> (length[first:] - k), codes[first:] >> (length[first:] - k - 1) & 1
+            edge = _runs(prefix)
+            node = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(prefix))))
+            row[order[first:]] = 2 * (self.nodes + node) + bit
+            side = [np.bincount(node, weights[first:] * (bit == b), len(edge)) for b in (0, 1)]
+            lean.append(np.log(side[0] / side[1]))
+            self.nodes += len(edge)
+        self.lean = np.concatenate([*lean, np.zeros(0)]).astype(np.float32)
+
+    def numbered(self, texts: pa.Array) -> Numbered:
         low, starts, ends, where, h = _prepared(texts)
         at = np.searchsorted(self.hashes, h)
         at[at == len(self.hashes)] = 0
         known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        size = ends - starts
-        begin = np.concatenate([[0], np.cumsum(np.where(known, 1, 1 + (size + 1) // 2))])
-        out = np.full(begin[-1], _LEAD, np.int32)
-        out[begin[:-1][known]] = self.numbers[at[known]]
+        number = np.full(len(h), _RARE, np.int32)
+        number[known] = self.numbers[at[known]]
         rare = np.flatnonzero(~known)
-        half = (size[rare] + 1) // 2
-        k = np.arange(half.sum()) - np.repeat(np.cumsum(half) - half, half)
-        source = np.repeat(starts[rare], half) + 2 * k
-        one = low[source].astype(np.int32)
-        two = low[np.minimum(source + 1, len(low) - 1)]
-        out[np.repeat(begin[rare] + 1, half) + k] = np.where(source + 1 < np.repeat(ends[rare], half), _PAIR + (one << 8 | two), _BYTE + one)
-        return out, begin[where]
-
-
-def padded(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers with SIDE marks around each text, and the place of every token."""
-    place = np.arange(len(numbers)) + np.repeat(np.arange(1, len(bounds)) * SIDE, np.diff(bounds))
-    row = np.zeros(len(numbers) + SIDE * len(bounds), np.int32)
-    row[place] = numbers
-    return row, place
-
-
-def parts(row: np.ndarray, place: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of at most ``size`` tokens with what they see: (first, last, row, place)."""
+        seen = number.copy()
+        seen[rare] = self.size + (h[rare] % _U(BUCKETS)).astype(np.int32)
+        symbols = (ends - starts)[rare] // 2 + 1
+        owner = np.repeat(rare, symbols)
+        source = starts[owner] + 2 * (np.arange(len(owner)) - np.repeat(np.cumsum(symbols) - symbols, symbols))
+        left = ends[owner] - source
+        one, two = (low[np.minimum(source + k, len(low) - 1)].astype(np.int32) for k in (0, 1)) if len(low) else (source, source)
+        return Numbered(number, seen, where, owner, np.where(left > 1, one << 8 | two, np.where(left == 1, _SINGLE + one, _END)))
+
+
+def parts(tokens: Numbered, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of at most ``size`` tokens: (first, last, their numbers, what is seen around and among them, their places in it)."""
+    place = np.arange(len(tokens.number)) + np.repeat(np.arange(1, len(tokens.bounds)) * SIDE, np.diff(tokens.bounds))
+    row = np.zeros(len(tokens.seen) + SIDE * len(tokens.bounds), np.int32)
+    row[place] = tokens.seen
     for a in range(0, len(place), size):
         b = min(len(place), a + size)
         begin = place[a] - SIDE
-        yield a, b, row[begin : place[b - 1] + SIDE + 1], place[a:b] - begin
+        yield a, b, tokens.number[a:b], row[begin : place[b - 1] + SIDE + 1], place[a:b] - begin
 
 
 class Network:
-    """``inputs`` by token, ``scales`` by side place, ``bias``; ``outputs`` and ``lean`` by node of the tree."""
+    """``inputs`` by token as seen, ``scales`` by side place, ``bias``; ``outputs`` and ``lean`` by node of the tree."""
 
     NAMES = ("inputs", "outputs", "lean", "scales", "bias")
 
     def __init__(self, codes: Codes) -> None:
-        self.inputs = np.random.default_rng(3).normal(0, 0.1, (codes.size, HIDDEN)).astype(np.float32)
+        self.inputs = np.random.default_rng(3).normal(0, 0.1, (codes.size + BUCKETS, HIDDEN)).astype(np.float32)
         near = np.array([1 / abs(o) for o in _PLACES], np.float32)
         self.scales = np.repeat(near[:, None], HIDDEN, 1)
         self.bias = np.zeros((1, HIDDEN), np.float32)
@@ -258,41 +266,34 @@ class Network:
                 out[:-o] += scale * seen[o:]
         return seen, np.tanh(out)
 
-    def log_probabilities(self, codes: Codes, row: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Of the token at each place, given the tokens beside it."""
-        number = row[place]
-        order = np.argsort(-codes.length[number], kind="stable")  # what is active at a depth comes first
+    def log_probabilities(self, codes: Codes, number: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of each number at its place, given the tokens beside it."""
+        order = np.argsort(codes.leaf[number], kind="stable")
         number, hidden = number[order], self.hidden(row)[1][place[order]]
         length = codes.length[number]
         inverse = np.ones(len(number))  # of the probability: one factor for each step of the path
-        for k in range(int(length[0]) if len(length) else 0):
-            m = len(length) - int(np.searchsorted(length[::-1], k, "right"))
-            step = codes.paths[k][number[:m]]
-            z = np.einsum("nh,nh->n", self.outputs[step >> 1], hidden[:m])
+        for k in range(int(length.max(initial=0))):
+            first = int(np.searchsorted(length, k, "right"))  # leaves stand in order of their depth
+            step = codes.paths[k][number[first:]]
+            z = np.einsum("nh,nh->n", self.outputs[step >> 1], hidden[first:])
             z += self.lean[step >> 1, 0]
             z *= (2 * (step & 1) - 1).astype(np.float32)
-            inverse[:m] *= 1 + np.exp(np.clip(z, -20, 20)).astype(np.float64)
+            inverse[first:] *= 1 + np.exp(np.clip(z, -20, 20)).astype(np.float64)
         out = np.empty(len(number))
         out[order] = -np.log(inverse)
         return out
 
-    def slopes(self, codes: Codes, row: np.ndarray, place: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def slopes(self, codes: Codes, number: np.ndarray, row: np.ndarray, place: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By parameter: rows, the gradient of the summed loss there, and how many tokens met each row."""
-        number = row[place]
         order = np.argsort(codes.leaf[number], kind="stable")  # equal nodes are neighbours at every depth
         number, at = number[order], place[order]
         seen, every = self.hidden(row)
         hidden, length = every[at], codes.length[number]
         back = np.zeros_like(hidden)
-        active, own, mine, k = None, number, hidden, 0
         nodes, outputs, leans, times = [], [], [], []
-        while True:
-            if k >= length.min():
-                active = np.flatnonzero(length > k) if active is None else active[length[active] > k]
-                if not len(active):
-                    break
-                own, mine = number[active], hidden[active]
-            step = codes.paths[k][own]
+        for k in range(int(length.max(initial=0))):
+            first = int(np.searchsorted(length, k, "right"))
+            step, mine = codes.paths[k][number[first:]], hidden[first:]
             node = step >> 1
             edge = _runs(node)
             weights = self.outputs[node]
@@ -301,16 +302,12 @@ class Network:
             z += self.lean[node, 0]
             error = -sign / (1 + np.exp(np.clip(sign * z, -20, 20)))
             weights *= error[:, None]
-            if active is None:
-                back += weights
-            else:
-                back[active] += weights
+            back[first:] += weights
             np.multiply(mine, error[:, None], out=weights)
             nodes.append(node[edge])
             outputs.append(np.add.reduceat(weights, edge, axis=0))
             leans.append(np.add.reduceat(error, edge))
             times.append(np.diff(np.append(edge, len(node))))
-            k += 1
         inner = np.zeros_like(every)
         inner[at] = back * (1 - hidden * hidden)
         beside, scales = np.zeros_like(seen), np.empty_like(self.scales)
@@ -335,15 +332,22 @@ class Network:
 
 
 class Learner:
-    """A network that learns, and how often each row of its parameters was met."""
+    """A network that learns, how often each row of its parameters was met, and how rare tokens are spelled."""
 
     def __init__(self, codes: Codes) -> None:
         self.codes, self.network = codes, Network(codes)
         self.squares = {k: np.zeros_like(getattr(self.network, k)) for k in Network.NAMES}
         self.met = {k: np.zeros(len(v), np.int64) for k, v in self.squares.items()}
+        self.spelled = np.zeros(_SYMBOLS, np.int64)
+
+    def learn(self, texts: pa.Array) -> None:
+        tokens = self.codes.numbered(texts)
+        self.spelled += np.bincount(tokens.symbol, minlength=_SYMBOLS)
+        for *_, number, row, place in parts(tokens, STEP_TOKENS):
+            self.step(number, row, place)
 
-    def learn(self, row: np.ndarray, place: np.ndarray) -> None:
-        for name, (at, slope, n) in self.network.slopes(self.codes, row, place).items():
+    def step(self, number: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
+        for name, (at, slope, n) in self.network.slopes(self.codes, number, row, place).items():
             square = self.squares[name]
             square[at] += slope * slope
             getattr(self.network, name)[at] -= RATE * slope / np.sqrt(square[at] + 1e-8)
@@ -382,11 +386,11 @@ def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([_message(*key, *held[key])])
 
 
-def train(docs: DataFrame, codes, total: int) -> Network:
-    """The average of what all parts of the table have learned (``codes`` is broadcast)."""
-    network = Network(codes.value)
+def train(docs: DataFrame, codes, total: int) -> tuple[Network, np.ndarray]:
+    """The average of what all parts of the table have learned (``codes`` is broadcast), and each symbol's log-probability."""
+    network, spelled = Network(codes.value), np.zeros(_SYMBOLS)
     if not total:
-        return network
+        return network, spelled
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -395,14 +399,14 @@ def train(docs: DataFrame, codes, total: int) -> Network:
         for batch in batches:
             texts = tx.column(batch, "text")
             for first, last, _, _ in tx.slices(texts):
-                for *_, row, place in parts(*padded(*learner.codes.numbered(texts.slice(first, last - first))), STEP_TOKENS):
-                    learner.learn(row, place)
-        for name, met in learner.met.items():
+                learner.learn(texts.slice(first, last - first))
+        for name, met in [*learner.met.items(), ("spelled", learner.spelled)]:
             touched = np.flatnonzero(met)
             for block in range(BLOCKS):
                 at = touched[touched % BLOCKS == block]
                 if len(at):
-                    yield _batch([_message(name, block, part, at, met[at], getattr(learner.network, name)[at] * met[at, None])])
+                    values = np.zeros((len(at), 1)) if name == "spelled" else getattr(learner.network, name)[at]
+                    yield _batch([_message(name, block, part, at, met[at], values * met[at, None])])
 
     # parts of a like size whatever the files are like; coalesce never adds parts
     number = -(-total // PART_TOKENS)
@@ -415,9 +419,11 @@ def train(docs: DataFrame, codes, total: int) -> Network:
         number = groups
     for r in messages.toLocalIterator():  # as many rows as the network has
         rows, met = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["met"], np.int64)
-        # rounding hides the order in which parts were added
-        getattr(network, r["name"])[rows] = np.round(np.frombuffer(r["sums"], np.float32).reshape(len(rows), -1) / met[:, None], 5)
-    return network
+        if r["name"] == "spelled":
+            spelled[rows] = met
+        else:  # rounding hides the order in which parts were added
+            getattr(network, r["name"])[rows] = np.round(np.frombuffer(r["sums"], np.float32).reshape(len(rows), -1) / met[:, None], 5)
+    return network, np.log((spelled + 1) / (spelled.sum() + _SYMBOLS))
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -430,16 +436,16 @@ def scores(docs: DataFrame) -> DataFrame:
     shared = sc.broadcast(train(docs, codes, total))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = shared.value
+        network, spelled = shared.value
         for batch in batches:
             ids, texts = tx.column(batch, "doc_id"), tx.column(batch, "text")
             for first, last, _, _ in tx.slices(texts):
-                numbers, bounds = codes.value.numbered(texts.slice(first, last - first))
-                fixed = np.empty(len(numbers), np.int64)
-                for a, b, row, place in parts(*padded(numbers, bounds), 2 * STEP_TOKENS):
-                    # fixed point: a sum can't depend on how rows are batched
-                    fixed[a:b] = np.round(network.log_probabilities(codes.value, row, place) * _FIXED)
-                size, total = np.diff(bounds), tx.segment_sums(fixed, bounds) / _FIXED
+                tokens = codes.value.numbered(texts.slice(first, last - first))
+                own = np.bincount(tokens.owner, spelled[tokens.symbol], len(tokens.number)).astype(float)
+                for a, b, number, row, place in parts(tokens, 2 * STEP_TOKENS):
+                    own[a:b] += network.log_probabilities(codes.value, number, row, place)
+                # fixed point: a sum can't depend on how rows are batched
+                size, total = np.diff(tokens.bounds), tx.segment_sums(np.round(own * _FIXED).astype(np.int64), tokens.bounds) / _FIXED
                 mean = pa.array(np.divide(total, size, out=np.zeros(len(size)), where=size > 0), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(size), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 

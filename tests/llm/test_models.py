@@ -261,16 +261,16 @@ def test_no_run_that_a_template_confirms_is_passed_over():
 # --- pseudo-likelihood -----------------------------------------------------
 
 
-def plain_log_probability(codes, network, numbers, i):
+def plain_log_probability(codes, network, tokens, i):
     """The masked token's, from the definition: a hidden layer, and one factor for each branch of the path."""
     side = pseudolik.SIDE
-    around = [0] * side + list(numbers) + [0] * side
+    around = [0] * side + list(tokens.seen) + [0] * side
     hidden = network.bias[0].astype(float)
     for scale, o in zip(network.scales, [*range(-side, 0), *range(1, side + 1)], strict=True):
         hidden = hidden + scale.astype(float) * network.inputs[around[i + side + o]]
     hidden, out = np.tanh(hidden), 0.0
-    for k in range(codes.length[numbers[i]]):
-        node, branch = divmod(int(codes.paths[k][numbers[i]]), 2)
+    for k in range(codes.length[tokens.number[i]]):
+        node, branch = divmod(int(codes.paths[k][tokens.number[i]]), 2)
         z = float(network.outputs[node] @ hidden + network.lean[node, 0])
         out -= np.log1p(np.exp(z if branch else -z))
     return out
@@ -289,34 +289,40 @@ def small_network(codes, seed=0):
 
 
 def test_scores_are_the_sum_over_all_tokens(spark):
-    texts = ["abab, abab!", "ba", "", None, "zzzz zz", "abab, abab!", "Ünï 日本 x" + "y" * 200] * 3
+    texts = ["abab, abab!", "ba", "", None, "zzzz zz", "abab, abab!", "Ünï 日本 x" + "y" * 200] * 3 + ["once", "twofold"]
     docs = edge.frame(spark, texts).coalesce(1)
     got = edge.by_id(pseudolik.scores(docs))
     counts = {r["h"]: r["n"] for r in pseudolik.token_counts(docs).collect()}
     total = sum(counts.values())
-    codes = pseudolik.Codes(sorted(counts.items(), key=lambda x: (-x[1], x[0])), total)
-    network = pseudolik.train(docs, spark.sparkContext.broadcast(codes), total)
+    codes = pseudolik.Codes(sorted(((h, n) for h, n in counts.items() if n > 1), key=lambda x: (-x[1], x[0])), total)
+    network, spelled = pseudolik.train(docs, spark.sparkContext.broadcast(codes), total)
     for k, t in enumerate(texts):
-        numbers, _ = codes.numbered(pa.array([t]))
-        want = sum(plain_log_probability(codes, network, numbers, i) for i in range(len(numbers)))
-        assert got[k]["n_tokens"] == len(numbers) and abs(got[k]["log_prob"] - want) < 1e-3 * max(1, len(numbers))
+        tokens = codes.numbered(pa.array([t]))
+        want = sum(plain_log_probability(codes, network, tokens, i) for i in range(len(tokens.number))) + spelled[tokens.symbol].sum()
+        assert got[k]["n_tokens"] == len(tokens.number) and abs(got[k]["log_prob"] - want) < 1e-3 * max(1, len(tokens.number))
     assert got[0]["n_tokens"] == 4 and got[0]["log_prob"] == got[5]["log_prob"] and got[2]["mean_log_prob"] is None
+    symbols = [ord("o") << 8 | ord("n"), ord("c") << 8 | ord("e"), pseudolik._END, ord("t") << 8 | ord("w"), ord("o") << 8 | ord("f"), ord("o") << 8 | ord("l"), pseudolik._SINGLE + ord("d")]
+    assert codes.numbered(pa.array(["once twofold"])).symbol.tolist() == symbols
+    seen = {x: symbols.count(x) for x in symbols}
+    assert np.allclose(spelled[symbols], [np.log((seen[x] + 1) / (len(symbols) + len(spelled))) for x in symbols]) and abs(np.exp(spelled).sum() - 1) < 1e-9
 
 
 def test_token_probabilities_sum_to_one():
     codes = small_codes()
     network = small_network(codes)
     live = np.flatnonzero(codes.length)
-    row = np.concatenate([[[5, 300, 60_000, n, 2, 0, 0]] for n in live]).ravel().astype(np.int32)
-    whole = np.exp(network.log_probabilities(codes, row, np.arange(len(live)) * 7 + 3))
-    assert len(live) == codes.nodes + 1 and abs(whole.sum() - 1) < 1e-4
+    row = np.tile([5, 30, 900, 0, 2, 0, 0], len(live)).astype(np.int32)
+    whole = np.exp(network.log_probabilities(codes, live, row, np.arange(len(live)) * 7 + 3))
+    assert len(live) == codes.nodes + 1 == 41 and abs(whole.sum() - 1) < 1e-4
 
 
 def test_learned_gradient_is_the_slope_of_the_loss():
     codes = small_codes()
     network, rng = small_network(codes), np.random.default_rng(1)
-    row, place = pseudolik.padded(rng.choice(np.flatnonzero(codes.length), 60).astype(np.int32), np.array([0, 25, 60]))
-    for name, (at, slope, n) in network.slopes(codes, row, place).items():
+    number = rng.choice(np.flatnonzero(codes.length), 60).astype(np.int32)
+    tokens = pseudolik.Numbered(number, np.where(number == 1, codes.size + 7, number).astype(np.int32), np.array([0, 25, 60]), number[:0], number[:0])
+    ((_, _, number, row, place),) = pseudolik.parts(tokens, 100)
+    for name, (at, slope, n) in network.slopes(codes, number, row, place).items():
         summed = np.zeros_like(getattr(network, name))
         np.add.at(summed, at, slope)
         for r in rng.choice(np.unique(at), 3):
@@ -324,12 +330,22 @@ def test_learned_gradient_is_the_slope_of_the_loss():
             was, loss = values[r, c], []
             for step in (0.02, -0.02):
                 values[r, c] = was + step
-                loss.append(-network.log_probabilities(codes, row, place).sum())
+                loss.append(-network.log_probabilities(codes, number, row, place).sum())
             values[r, c] = was
             assert abs((loss[0] - loss[1]) / 0.04 - summed[r, c]) < 1e-2 + 1e-2 * abs(summed[r, c]), name
         assert n.min() > 0
 
 
+def test_long_texts_are_worked_in_pieces_that_see_each_other():
+    codes = small_codes()
+    network = small_network(codes)
+    number = np.random.default_rng(3).choice(np.flatnonzero(codes.length), 500).astype(np.int32)
+    tokens = pseudolik.Numbered(number, number, np.array([0, 0, 300, 500]), number[:0], number[:0])
+    whole = [network.log_probabilities(codes, *x[2:]) for x in pseudolik.parts(tokens, 1000)]
+    pieces = [network.log_probabilities(codes, *x[2:]) for x in pseudolik.parts(tokens, 7)]
+    assert np.allclose(np.concatenate(whole), np.concatenate(pieces), atol=1e-6)
+
+
 def test_parts_are_averaged_by_how_often_they_met_a_row():
     messages = [pseudolik._message("bias", 0, 1, np.array([3, 7]), np.array([1, 2]), np.array([[1.0], [2.0]])), pseudolik._message("bias", 0, 1, np.array([7, 9]), np.array([6, 1]), np.array([[12.0], [5.0]]))]
     got = pa.Table.from_batches(list(pseudolik._added([pseudolik._batch([m]) for m in messages]))).to_pylist()
@@ -360,15 +376,14 @@ def test_minority_scripts_are_scored_as_language(spark):
     assert len({round(got[k]["log_prob"], 6) for k in range(46, 54)}) == 8
 
 
-def test_spelling_tells_all_texts_apart():
+def test_spelling_tells_all_tokens_apart():
     codes = pseudolik.Codes([], 10)
     rng = np.random.default_rng(7)
-    texts = [" ".join("".join(chr(c) for c in rng.choice([97, 98, 0xE9, 0x44F, 0x4E00, 0x4E30, 33], int(rng.integers(1, 4)))) for _ in range(3)) for _ in range(500)]
-    numbers, bounds = codes.numbered(pa.array([*texts, None, "", " \n"]))
-    assert numbers.min() > 0 and bounds[-1] == bounds[-4] == len(numbers)
-    spelled = {t: tuple(numbers[a:b]) for t, a, b in zip(texts, bounds, bounds[1:], strict=False)}
-    kinds = r"[^\W\u3000-\u9fff]+|[\u3000-\u9fff]|[^\w\s]"
-    assert len(set(spelled.values())) == len({tuple(re.findall(kinds, t)) for t in texts})
+    texts = ["".join(chr(c) for c in rng.choice([97, 98, 0xE9, 0x44F, 0x628], int(rng.integers(1, 6)))) for _ in range(500)]
+    tokens = codes.numbered(pa.array([*texts, None, "", " \n", "日", "語", "!"]))
+    assert len(tokens.number) == 503 and tokens.bounds[-4] == 500 and set(tokens.number) == {1}
+    spelled = [tuple(tokens.symbol[tokens.owner == k]) for k in range(503)]
+    assert len(set(spelled)) == len(set(texts)) + 3
 
 
 def test_tokens_are_runs_marks_and_characters():
