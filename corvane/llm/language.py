@@ -9,7 +9,10 @@ the runner-up marks the text as ambiguous.
 Cases: a null text, or one without a letter, is ``und`` with score 0.  Rows
 with a null lang or doc_id are not learned from.  With no learnable row every
 text is ``und``; with one language every text with a letter is that language.
-Repeated rows get equal results; other columns are never read.
+Languages of equal loss go by name.  Of rows that share doc_id and lang the one
+of least text is learned from, and none of more than ``quality.MAX_TEXT`` bytes.
+Repeated rows get equal results; an empty table gives no rows; other columns
+are never read.
 """
 
 from __future__ import annotations
@@ -24,12 +27,11 @@ from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
 from corvane.llm.runtime import bounded
-from corvane.llm.quality import held_out
+from corvane.llm.quality import fitted, held_out, texts_of
 
 #: Documented bound of the training sample: rows, shared evenly by the languages.
+#: A language needs a row, so as many languages at most (the commonest) are learned.
 MAX_ROWS = 3_000
-#: Languages that a model may have.
-MAX_LANGUAGES = 500
 BUCKETS = 4096
 ROUNDS = 120
 FOLDS, HELD_OUT = 3, 1
@@ -98,6 +100,12 @@ class Model:
         self.trust = trust / np.maximum(trust.sum(1, keepdims=True), 1e-9)
         self.w, self.b = w, b
 
+    @classmethod
+    def of(cls, texts: list[str], langs: list[str]) -> Model:
+        """The model of the texts that have a letter."""
+        kept = [i for i, t in enumerate(texts) if has_letter(t)]
+        return cls([texts[i] for i in kept], [langs[i] for i in kept])
+
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number, score and gap of each text."""
         n = len(offsets) - 1
@@ -119,22 +127,19 @@ def has_letter(text: str | None) -> bool:
 
 def learn(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits on at most ``max_rows`` rows, chosen by hash of doc_id evenly over
-    the languages on the narrow columns; only those rows' texts are read."""
+    the languages on the narrow columns; only those rows' texts are read, and a
+    task fits the model."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null").where(~held_out(FOLDS, HELD_OUT))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect()
     if not counts:
         return Model([], [])
     share = max(1, max_rows // len(counts))
     # a hash range of about twice the share first: a common language is never ordered as a whole
     part = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, 2 * share / n))])
-    near = known.distinct().where(F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30)) < F.element_at(part, F.col("lang")) * (1 << 30))
+    near = known.distinct().where(F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30)) < F.try_element_at(part, F.col("lang")) * (1 << 30))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     wanted = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= share).select("doc_id", "lang")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(wanted), ["doc_id", "lang"]).select("lang", "text", "doc_id").collect()  # max_rows ids
-    rows = sorted((r[0], r[2], r[1]) for r in rows if has_letter(r[1]))
-    return Model([r[2] for r in rows], [r[0] for r in rows])
+    return fitted(texts_of(docs, wanted, ["doc_id", "lang"]).withColumnRenamed("lang", "label"), Model.of)
 
 
 def predict(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
