@@ -45,9 +45,9 @@ WORDS, LEAST = 1 << 15, 2
 #: Vectors by which rare tokens are seen.
 BUCKETS = 1 << 14
 #: Tokens on each side of the masked one, and units of the hidden layer.
-SIDE, HIDDEN = 3, 24
+SIDE, HIDDEN = 3, 20
 #: Tokens of one step, rate of the steps, and tokens that one part should have.
-STEP_TOKENS, RATE, PART_TOKENS = 15_000, 0.3, 3_000_000
+STEP_TOKENS, RATE, PART_TOKENS = 20_000, 0.3, 3_000_000
 #: Longest run of bytes in one token.
 LONGEST = 64
 #: Counts that a task holds before it sends them on, blocks of parameter rows, and messages that are merged at once.
@@ -166,7 +166,10 @@ class Codes:
     def __init__(self, words: list[tuple[int, int]], total: int) -> None:
         hashes = np.array([h for h, _ in words], np.int64).view(_U)
         order = np.argsort(hashes)
+        # hashes are even: the first of each range of them is found by their upper bits, and few follow it
         self.hashes, self.numbers = hashes[order], (order + _WORD).astype(np.int32)
+        self.first = np.searchsorted(self.hashes, np.arange(1 << 18, dtype=_U) << _U(46)).astype(np.int32)
+        self.most = int(np.diff(np.append(self.first, len(self.hashes))).max())
         self.size = _WORD + len(words)
         weight = np.zeros(self.size)
         weight[_WORD:] = [n for _, n in words]
@@ -216,12 +219,14 @@ class Codes:
 
     def numbered(self, texts: pa.Array) -> Numbered:
         low, starts, ends, where, h = _prepared(texts)
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
         number = np.full(len(h), _RARE, np.int32)
-        number[known] = self.numbers[at[known]]
-        rare = np.flatnonzero(~known)
+        at = self.first[h >> _U(46)]
+        for _ in range(self.most):
+            np.minimum(at, len(self.hashes) - 1, out=at)
+            known = np.flatnonzero(self.hashes[at] == h)
+            number[known] = self.numbers[at[known]]
+            at += 1
+        rare = np.flatnonzero(number == _RARE)
         seen = number.copy()
         seen[rare] = self.size + (h[rare] % _U(BUCKETS)).astype(np.int32)
         symbols = (ends - starts)[rare] // 2 + 1
@@ -348,9 +353,14 @@ class Learner:
 
     def step(self, number: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
         for name, (at, slope, n) in self.network.slopes(self.codes, number, row, place).items():
-            square = self.squares[name]
-            square[at] += slope * slope
-            getattr(self.network, name)[at] -= RATE * slope / np.sqrt(square[at] + 1e-8)
+            square = self.squares[name][at]
+            square += slope * slope
+            self.squares[name][at] = square
+            np.sqrt(square, out=square)
+            square += 1e-4
+            np.divide(slope, square, out=square)
+            square *= RATE
+            getattr(self.network, name)[at] -= square
             self.met[name][at] += n
 
 
