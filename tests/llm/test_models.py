@@ -367,7 +367,7 @@ def test_wrapped_notices_are_found(spark):
     prose = "we tell of the house and the people that lived in it for many years\nand of the city with all its streets and the money of a day\n" * 9
     texts, want = [], []
     for family, notice in notices.items():
-        for width in (12, 35, 66, 72, 300):
+        for width in (16, 35, 66, 72, 300):
             wrapped = textwrap.fill(notice, width)
             for text in (wrapped, prose + wrapped + "\n" + prose, "# " + wrapped.replace("\n", "\r\n# "), "first\n \n" + wrapped + "\n\nlast"):
                 texts.append(text)
