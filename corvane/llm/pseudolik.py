@@ -55,6 +55,8 @@ HELD, BLOCKS, FAN_IN = 1_000_000, 16, 1_000
 
 _U = np.uint64
 _FIXED = 1 << 20
+#: Narrow numbers are sorted by radix.
+_SORTED = np.uint16 if _U(WORDS + BUCKETS + 2) < (1 << 16) else np.uint32
 #: Token numbers: 0 lies outside a text, 1 is any rare token, then the words.
 _RARE, _WORD = 1, 2
 #: Symbols of spelling: byte pairs, then single last bytes, then the end of a token of even length.
@@ -94,9 +96,9 @@ def tokens(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before[inner] = 0
     first = ((kind == 2) | (kind == 3)) | ((lead == 1) & (before != 1))
     first[inner] |= lead[inner] != 0
-    starts = np.flatnonzero(first)
-    edges = np.append(np.flatnonzero(first | (lead == 0)), len(low))
-    ends = edges[np.searchsorted(edges, starts, "right")]
+    edges = np.flatnonzero(first | (lead == 0))
+    at = np.flatnonzero(first[edges])
+    starts, ends = edges[at], np.append(edges, len(low))[at + 1]  # a token ends where the next edge is
     pieces = -(-(ends - starts) // LONGEST)
     if len(pieces) and pieces.max() > 1:  # cut what runs too long
         whole = np.repeat(ends, pieces)
@@ -196,7 +198,7 @@ class Codes:
         order = live[np.lexsort((live, depth[:m]))]
         self.length = np.zeros(self.size, np.int8)
         self.length[live] = depth[:m]
-        self.leaf = np.zeros(self.size, np.int32)
+        self.leaf = np.zeros(self.size, _SORTED)
         self.leaf[order] = np.arange(m)
         length = self.length[order].astype(np.int64)
         codes, code = [], 0
@@ -263,13 +265,15 @@ class Network:
 
     def hidden(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         seen = self.inputs[row]
-        out = np.zeros_like(seen) + self.bias
+        out, part = np.empty_like(seen), np.empty_like(seen)
+        out[:] = self.bias
         for scale, o in zip(self.scales, _PLACES, strict=True):
+            np.multiply(seen, scale, out=part)
             if o < 0:
-                out[-o:] += scale * seen[:o]
+                out[-o:] += part[:o]
             else:
-                out[:-o] += scale * seen[o:]
-        return seen, np.tanh(out)
+                out[:-o] += part[o:]
+        return seen, np.tanh(out, out=out)
 
     def log_probabilities(self, codes: Codes, number: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of each number at its place, given the tokens beside it."""
@@ -323,7 +327,7 @@ class Network:
             else:
                 beside[o:] += scale * inner[:-o]
                 scales[i] = np.einsum("nh,nh->h", seen[o:], inner[:-o])
-        order = np.argsort(row, kind="stable")
+        order = np.argsort(row.astype(_SORTED), kind="stable")
         edge = _runs(row[order])
         node, n = np.concatenate(nodes), np.concatenate(times)
         whole = np.full(len(_PLACES), len(place))

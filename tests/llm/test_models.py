@@ -275,7 +275,7 @@ def plain_scan(text):
     own, found = licences.model(), {}
     for block in re.split(r"\n(?:[ \t\x0b\f\r]*\n)+", text or ""):
         words = licences.tokens(block)
-        runs = [words[i : i + 2 * licences.REACH] for i in range(0, max(len(words) - licences.REACH, 1), licences.REACH)]
+        runs = [words[i : i + size] for size, step in ((2 * licences.REACH, licences.REACH), (licences.REACH, licences.STEP)) for i in range(0, max(len(words) - (size - step), 1), step)]
         lines = [w for w in map(licences.tokens, block.split("\n")) if 0 < len(w) <= 2 * licences.REACH]
         for unit in lines + runs:
             p = own.probabilities(unit)
