@@ -2,44 +2,55 @@
 
 All of it is DataFrame expressions.  Each text becomes a vector of transformed
 statistics.  For each language and source the minimum-covariance-determinant
-estimate is approached by concentration steps: distances from the current
-centre, the three quarters of the rows that lie nearest, their mean and
-covariance, and again; a reweighted estimate over all rows within the 97.5 %
+estimate is sought by concentration steps from three starts (medians and
+absolute deviations, mean and covariance, spatial signs): distances from the
+current centre, the three quarters of the rows that lie nearest, their mean and
+covariance, and again until no determinant falls any more.  The start of least
+determinant is taken, and a reweighted estimate over all rows within the 97.5 %
 limit follows.  Rows beyond ``CUTOFF`` are rejected.
 
 Nothing of a group meets in one task but pre-aggregated sums: the share that
 lies nearest is found from counts by (group, grid cell of the distance), exact
 on the grid and of bounded length.  Groups with fewer rows than ``LEAST_ROWS``
-use their language's estimate, and small languages that of all rows.
+use their language's estimate, and small languages that of all rows; ``level``
+tells which (2, 1, 0).  All covariances are regularised by ``FLOORS``: half the
+smallest change of a statistic that means something is added to its spread.
 
 Cases: a null text has no words and fails the base limits.  A null language or
 source is a group value of its own.  Rows that fail the base limits don't take
-part in estimates.  Constant statistics are no trouble: ``FLOORS`` are added to
-the spread.  If no row is left for an estimate nothing is rejected.  Repeated
-rows count as often as they occur and get equal verdicts; columns other than
-doc_id, text, lang and source are never read.
+part in estimates.  Constant statistics are no trouble, thanks to the floors.
+Starts of equal determinant go by their order.  If no row is left for an
+estimate nothing is rejected; an empty table gives no rows.  Repeated rows
+count as often as they occur and get equal verdicts; columns other than doc_id,
+text, lang and source are never read.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.runtime import cut
+from corvane.llm.runtime import cut, packed
 
 WINDOW = 8
 LEAST_WORDS = 20
 #: Repeated words in hundredths of all words, beyond which a text fails.
 MOST_REPEATED = 30
-#: Rows that a group needs for an estimate of its own.
-LEAST_ROWS = 200
-#: Share of the rows that an estimate rests on, and concentration steps.
-SHARE, STEPS = 0.75, 4
+STATISTICS = ["x0", "x1", "x2", "x3", "x4"]
+#: Rows that a group needs for an estimate of its own: forty for each statistic.
+LEAST_ROWS = 40 * len(STATISTICS)
+#: Share of the rows that an estimate rests on; concentration steps at most, and the
+#: fall of a determinant's logarithm below which it has settled.
+SHARE, STEPS, SETTLED = 0.75, 12, 1e-3
 #: Cells of the distance grid for each doubling (natural logarithm times this).
 CELLS = 32
-#: Smallest spread (standard deviation) that is told apart, by statistic.
-STATISTICS = ["x0", "x1", "x2", "x3", "x4"]
-FLOORS = [0.3, 0.1, 0.35, 0.15, 0.35]
+#: Half the change of each statistic that means something in a text of 100 words: its
+#: length doubled, one character more a word of five, one symbol, one repeated window
+#: (8 words and the next), one repeated line.
+FLOORS = [math.log(2) / 2, math.log(6 / 5) / 2, math.log1p(1) / 2, math.sqrt(9 / 100) / 2, math.log1p(1) / 2]
 #: Chi-square quantiles for 5 degrees of freedom: 0.75, 0.975 and 1 - 1e-6 (fixed values).
 QUARTILE, INNER, CUTOFF = 6.6257, 12.8325, 35.8882
 
@@ -112,8 +123,12 @@ def _vector() -> dict[str, Column]:
 
 
 def _nearest(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """For each group the least grid cell up to which ``share`` of its rows lie."""
-    cells = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    """For each group the least grid cell up to which ``share`` of its rows lie.
+
+    Cells are counted and written first: the window then meets a group's few
+    hundred cells and not every task's share of them.
+    """
+    cells = packed(df.groupBy(*keys, value).agg(F.count("*").alias("_n")))
     run = Window.partitionBy(*keys).orderBy(value)
     whole = Window.partitionBy(*keys)
     cells = cells.withColumns({"_run": F.sum("_n").over(run), "_all": F.sum("_n").over(whole)})
@@ -121,33 +136,41 @@ def _nearest(df: DataFrame, keys: list[str], value: str, share: float) -> DataFr
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
-    """Adds ``grp``: the group whose estimate a row uses."""
+    """Adds ``grp``, the group whose estimate a row uses, and its ``level``."""
     able = stats.where("not base_failed")
-    own = able.groupBy("lang", "source").agg(F.count("*").alias("_own"))
+    own = packed(able.groupBy("lang", "source").agg(F.count("*").alias("_own")))
     named = own.toDF("_l", "_s", "_own").withColumn("_wide", F.sum("_own").over(Window.partitionBy("_l")))
-    level = F.when(F.col("_own") >= LEAST_ROWS, F.to_json(F.struct(F.lit(2).alias("of"), "_l", "_s"))).when(F.col("_wide") >= LEAST_ROWS, F.to_json(F.struct(F.lit(1).alias("of"), "_l"))).otherwise("all")
-    named = named.select("_l", "_s", level.alias("grp"))
-    return stats.join(named, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s").withColumn("grp", F.coalesce("grp", F.lit("all")))
+    level = F.when(F.col("_own") >= LEAST_ROWS, 2).when(F.col("_wide") >= LEAST_ROWS, 1).otherwise(0)
+    named = named.select("_l", "_s", level.alias("level"))
+    grp = F.when(F.col("level") == 2, F.to_json(F.struct(F.lit(2).alias("of"), "_l", "_s"))).when(F.col("level") == 1, F.to_json(F.struct(F.lit(1).alias("of"), "_l"))).otherwise("all")
+    named = named.withColumn("grp", grp)
+    joined = stats.join(named, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
+    return joined.withColumns({"grp": F.coalesce("grp", F.lit("all")), "level": F.coalesce("level", F.lit(0))})
+
 
+_P = range(len(STATISTICS))
+_ESTIMATE = [*[f"m{i}" for i in _P], *[f"w{i}{j}" for i in _P for j in range(i + 1)]]
 
-def _estimate(rows: DataFrame) -> DataFrame:
-    """For each group the mean and the inverse Cholesky factor of the covariance plus floors."""
-    p = len(STATISTICS)
+
+def _estimate(rows: DataFrame, keys: list[str], floors: list[float] | None = None) -> DataFrame:
+    """For each group the mean, the inverse Cholesky factor of the covariance plus floors, and the logarithm of its determinant."""
+    floors = FLOORS if floors is None else floors
     sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(STATISTICS)]
-    sums += [F.avg(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-    est = cut(rows.groupBy("grp").agg(*sums))
-    for i in range(p):
+    sums += [F.avg(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"c{i}{j}") for i in _P for j in range(i + 1)]
+    est = packed(rows.groupBy(*keys).agg(*sums))
+    for i in _P:
         for j in range(i + 1):
-            value = F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
+            value = F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l{j}{j}"))
-    for j in range(p):
+    for j in _P:
         est = est.withColumn(f"w{j}{j}", 1 / F.col(f"l{j}{j}"))
-        for i in range(j + 1, p):
+        for i in range(j + 1, len(_P)):
             value = sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j + 1, i)), F.col(f"l{i}{j}") * F.col(f"w{j}{j}"))
             est = est.withColumn(f"w{i}{j}", -value / F.col(f"l{i}{i}"))
-    return cut(est.select("grp", *[f"m{i}" for i in range(p)], *[f"w{i}{j}" for i in range(p) for j in range(i + 1)]))
+    est = est.withColumn("det", sum((2 * F.log(f"l{i}{i}") for i in _P), F.lit(0.0)))
+    return packed(est.select(*keys, *_ESTIMATE, "det"))
 
 
 def _distance() -> Column:
@@ -163,40 +186,64 @@ def _cell(value: Column) -> Column:
     return F.floor(CELLS * F.log(value + 1e-6)).cast("int")
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """A first estimate for each group: medians on a grid, and the floors and spreads around them."""
-    long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(x) * 256).cast("int").alias("v")) for i, x in enumerate(STATISTICS)])).alias("e")).select("grp", "e.i", "e.v")
-    middle = cut(_nearest(long, ["grp", "i"], "v", 0.5))
-    medians = middle.groupBy("grp").pivot("i", list(range(len(STATISTICS)))).agg(F.first(F.col("_to") / 256))
-    medians = medians.toDF("grp", *[f"m{i}" for i in range(len(STATISTICS))])
-    gaps = rows.join(medians, "grp").select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.abs(F.col(x) - F.col(f"m{i}")) * 256).cast("int").alias("v")) for i, x in enumerate(STATISTICS)])).alias("e")).select("grp", "e.i", "e.v")
-    spread = cut(_nearest(gaps, ["grp", "i"], "v", 0.5)).groupBy("grp").pivot("i", list(range(len(STATISTICS)))).agg(F.first(1.4826 * F.col("_to") / 256))
-    spread = spread.toDF("grp", *[f"s{i}" for i in range(len(STATISTICS))])
-    est = medians.join(spread, "grp")
+def _spread(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """For each group the median of each value on a grid, as name0, name1 ..."""
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(v * 256).cast("int").alias("v")) for i, v in enumerate(values)])
+    long = rows.select("grp", F.explode(each).alias("e")).select("grp", "e.i", "e.v")
+    middle = _nearest(long, ["grp", "i"], "v", 0.5).groupBy("grp").pivot("i", list(_P)).agg(F.first(F.col("_to") / 256))
+    return packed(middle.toDF("grp", *[f"{name}{i}" for i in _P]))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(grp, start, estimate): where the concentration steps of each group begin."""
+    medians = _spread(rows, [F.col(x) for x in STATISTICS], "m")
+    spread = _spread(rows.join(medians, "grp"), [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(STATISTICS)], "s")
+    plain = medians.join(spread, "grp")
     for i, floor in enumerate(FLOORS):
         for j in range(i + 1):
-            est = est.withColumn(f"w{i}{j}", 1 / F.sqrt(F.col(f"s{i}") * F.col(f"s{i}") + floor**2) if i == j else F.lit(0.0))
-    return cut(est)
+            plain = plain.withColumn(f"w{i}{j}", 1 / F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + floor**2) if i == j else F.lit(0.0))
+    plain = packed(plain.select("grp", *_ESTIMATE))
+    # directions alone, from the medians in units of their spread
+    ways = rows.join(plain, "grp").withColumns({f"z{i}": F.col(f"w{i}{i}") * (F.col(x) - F.col(f"m{i}")) for i, x in enumerate(STATISTICS)})
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in _P), F.lit(1e-12)))
+    signs = _estimate(ways.select("grp", *[(F.col(f"z{i}") / length).alias(x) for i, x in enumerate(STATISTICS)]), ["grp"], [0.1] * len(STATISTICS))
+    own = plain.select("grp", *[f"m{i}" for i in _P], *[F.col(f"w{i}{i}").alias(f"u{i}") for i in _P])
+    turned = signs.drop("det", *[f"m{i}" for i in _P]).join(own, "grp").select("grp", *[f"m{i}" for i in _P], *[(F.col(f"w{i}{j}") * F.col(f"u{j}")).alias(f"w{i}{j}") for i in _P for j in range(i + 1)])
+    every = [plain, _estimate(rows, ["grp"]).drop("det"), turned]
+    return packed(reduce(DataFrame.unionByName, [x.withColumn("start", F.lit(k)) for k, x in enumerate(every)]))
+
+
+def concentrated(rows: DataFrame) -> DataFrame:
+    """(grp, start, estimate, det) after the concentration steps from every start."""
+    est, before = _starts(rows), None
+    for _ in range(STEPS):
+        placed = rows.join(est.select("grp", "start", *_ESTIMATE), "grp").withColumn("cell", _cell(_distance())).select("grp", "start", "cell", *STATISTICS)
+        scale = _nearest(placed.select("grp", "start", "cell"), ["grp", "start"], "cell", SHARE)
+        est = _estimate(placed.join(scale, ["grp", "start"]).where("cell <= _to").select("grp", "start", *STATISTICS), ["grp", "start"])
+        if before is not None:
+            fall = est.join(before, ["grp", "start"]).agg(F.max(F.col("was") - F.col("det"))).first()[0]
+            if fall is None or fall < SETTLED:
+                break
+        before = est.select("grp", "start", F.col("det").alias("was"))
+    return est
 
 
 def estimates(stats: DataFrame) -> DataFrame:
     """The reweighted estimate of each group, scaled so that distances compare with chi-square quantiles."""
     rows = stats.where("not base_failed").select("grp", *STATISTICS)
-    est, scale = _start(rows), None
-    for _ in range(STEPS):
-        placed = rows.join(est, "grp").withColumn("cell", _cell(_distance()))
-        scale = cut(_nearest(placed.select("grp", "cell"), ["grp"], "cell", SHARE))
-        est = _estimate(placed.join(scale, "grp").where("cell <= _to").select("grp", *STATISTICS))
+    every = concentrated(rows)
+    best = every.groupBy("grp").agg(F.min(F.struct("det", "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
+    est = packed(every.join(best, ["grp", "start"]).select("grp", *_ESTIMATE))
     placed = rows.join(est, "grp").withColumn("d2", _distance()).withColumn("cell", _cell(F.col("d2")))
-    scale = cut(_nearest(placed.select("grp", "cell"), ["grp"], "cell", SHARE)).select("grp", F.greatest(F.lit(1.0), F.exp((F.col("_to") + 1) / CELLS) / QUARTILE).alias("scale"))
-    return _estimate(placed.join(scale, "grp").where(F.col("d2") <= INNER * F.col("scale")).select("grp", *STATISTICS))
+    scale = _nearest(placed.select("grp", "cell"), ["grp"], "cell", SHARE).select("grp", F.greatest(F.lit(1.0), F.exp((F.col("_to") + 1) / CELLS) / QUARTILE).alias("scale"))
+    return _estimate(placed.join(scale, "grp").where(F.col("d2") <= INNER * F.col("scale")).select("grp", *STATISTICS), ["grp"])
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and the squared distance of every row."""
+    """doc_id, the counts, base_failed, kept, the squared distance and the estimate's level of every row."""
     stats = cut(base(docs))
     stats = _grouped(stats.withColumns(_vector()))
     est = estimates(cut(stats.select("grp", "base_failed", *STATISTICS)))
     judged = stats.join(est, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", "level")

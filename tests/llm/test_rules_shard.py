@@ -30,44 +30,74 @@ def test_base_counts(spark):
         assert tuple(r[n] for n in NAMES) == base(texts[r["doc_id"]])
 
 
-def brute_estimate(x):
-    """Concentration steps in numpy over one group, on the same grid."""
+def covariance(rows):
+    m = rows.mean(0)
+    return m, (rows - m).T @ (rows - m) / len(rows) + np.diag(np.square(rules.FLOORS))
 
-    def cell(d):
-        return np.floor(rules.CELLS * np.log(d + 1e-6))
 
-    def nearest(values, share):
-        return np.sort(values)[int(np.ceil(share * len(values))) - 1]
+def distances(x, m, c):
+    return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
 
-    def estimate(rows):
-        m = rows.mean(0)
-        return m, np.linalg.inv((rows - m).T @ (rows - m) / len(rows) + np.diag(np.square(rules.FLOORS)))
 
-    def distance(m, p):
-        return np.einsum("ij,jk,ik->i", x - m, p, x - m)
+def independent_mcd(x, starts=200, seed=0):
+    """The covariance of least determinant over exact subsets, from many random small subsets; no grid, no medians."""
+    rng, h, best = np.random.default_rng(seed), int(np.ceil(rules.SHARE * len(x))), None
+    for _ in range(starts):
+        m, c = covariance(x[rng.choice(len(x), x.shape[1] + 1, replace=False)])
+        was = np.inf
+        for _ in range(100):
+            m, c = covariance(x[np.argsort(distances(x, m, c), kind="stable")[:h]])
+            now = np.linalg.slogdet(c)[1]
+            if was - now < 1e-9:
+                break
+            was = now
+        if best is None or now < best[0]:
+            best = now, m, c
+    return best
 
-    middle = np.array([nearest(np.floor(x[:, i] * 256), 0.5) for i in range(5)]) / 256
-    spread = 1.4826 * np.array([nearest(np.floor(np.abs(x[:, i] - middle[i]) * 256), 0.5) for i in range(5)]) / 256
-    m, p = middle, np.diag(1 / (spread**2 + np.square(rules.FLOORS)))
-    for _ in range(rules.STEPS):
-        d = cell(distance(m, p))
-        m, p = estimate(x[d <= nearest(d, rules.SHARE)])
-    d2 = distance(m, p)
-    scale = max(1.0, np.exp((nearest(cell(d2), rules.SHARE) + 1) / rules.CELLS) / rules.QUARTILE)
-    m, p = estimate(x[d2 <= rules.INNER * scale])
-    return distance(m, p)
 
+def vectors(rows):
+    return np.array([[np.log(r["n_words"]), np.log((r["word_chars"] + 1) / r["n_words"]), np.log1p(100 * r["n_symbols"] / r["n_words"]), np.sqrt(r["n_repeat_words"] / r["n_words"]), np.log1p(r["n_dup_lines"])] for r in rows])
 
-def test_verdicts_against_numpy(spark):
+
+def test_verdicts_against_an_independent_mcd(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.lit("all"))
-    rows = rules.apply(docs).collect()
     langs = dict(docs.select("doc_id", "lang").collect())
-    own = [r for r in rows if langs[r["doc_id"]] == "en" and not r["base_failed"]]
-    assert len(own) >= rules.LEAST_ROWS
-    x = np.array([[np.log(r["n_words"]), np.log((r["word_chars"] + 1) / r["n_words"]), np.log1p(100 * r["n_symbols"] / r["n_words"]), np.sqrt(r["n_repeat_words"] / r["n_words"]), np.log1p(r["n_dup_lines"])] for r in own])
-    want = brute_estimate(x)
-    assert np.allclose(want, [r["distance"] for r in own], rtol=1e-6)
-    assert [r["kept"] for r in own] == (want <= rules.CUTOFF).tolist()
+    own = [r for r in rules.apply(docs).collect() if langs[r["doc_id"]] == "en" and not r["base_failed"]]
+    assert len(own) >= rules.LEAST_ROWS and {r["level"] for r in own} == {2}
+    x = vectors(own)
+    _, m, c = independent_mcd(x)
+    d2 = distances(x, m, c)
+    scale = max(1.0, np.sort(d2)[int(np.ceil(rules.SHARE * len(x))) - 1] / rules.QUARTILE)
+    want = distances(x, *covariance(x[d2 <= rules.INNER * scale]))
+    got = np.array([r["distance"] for r in own])
+    assert np.mean((want <= rules.CUTOFF) == [r["kept"] for r in own]) > 0.99
+    assert np.median(np.abs(want - got) / (want + 1)) < 0.05
+
+
+def test_determinant_is_as_small_as_an_independent_search_finds(spark):
+    rng = np.random.default_rng(2)
+    mix = rng.normal(size=(5, 5))
+    for share, shift in ((0.2, 9), (0.24, 4)):
+        x = rng.normal(size=(600, 5)) @ mix
+        far = int(share * len(x))
+        x[:far] = rng.normal(size=(far, 5)) * 0.3 + shift * mix[0]
+        rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{c} double" for c in rules.STATISTICS))
+        got = {r["start"]: r["det"] for r in rules.concentrated(rows).collect()}
+        least, m, c = independent_mcd(x, 100)
+        assert sorted(got) == [0, 1, 2] and abs(min(got.values()) - least) < 0.06
+        est = rules.estimates(rows.withColumn("base_failed", F.lit(False))).first()
+        centre = np.array([est[f"m{i}"] for i in range(5)])
+        inverse = np.array([[est[f"w{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        d = ((x - centre) @ inverse.T) ** 2
+        if shift == 9:
+            assert d.sum(1)[:far].min() > d.sum(1)[far:].mean() * 3
+
+
+def test_small_groups_use_wider_estimates(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 97}{k}" for k in range(25 + i % 20)), lang, source) for i, (lang, source) in enumerate([("en", "a")] * 210 + [("en", "b")] * 5 + [("de", None)] * 3 + [(None, "a")] * 2)]
+    got = rules.apply(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).orderBy("doc_id").collect()
+    assert [r["level"] for r in got] == [2] * 210 + [1] * 5 + [0] * 5 and all(r["kept"] for r in got)
 
 
 def test_clean_documents_stay_and_junk_goes(spark):
