@@ -5,17 +5,22 @@ are laid over the key space; one pass over a narrow key table counts the exact
 bytes and rows between neighbouring probes, and only intervals that hold a
 splitter's target and are heavier than the tolerance are probed more finely.
 A hash that alone is heavier (many equal texts) is refined by doc_id.  The same
-counts cut the order into buckets that are small in rows and in bytes, so that
-a row's slot is its bucket's offset plus its rank there: whole rows, with all
-their columns, are exchanged once by (shard, bucket), and no task holds a shard.
+counts cut the order into buckets that are small in rows and in bytes: whole
+rows, with all their columns, are exchanged once by (shard, bucket) and ranked
+within their bucket, and no task holds a shard.  A row's slot is its rank after
+the counted rows of the shard's earlier buckets.
 
-``rows`` gives the rows with shard and slot, ``write`` writes a folder of files
-for each shard, and ``assign`` derives its digest from the rows in these files.
+Rows with equal text and equal doc_id can't be told apart by the order.  Where
+there are too many of them for a bucket, or for a splitter to miss its target
+by, they are dealt over buckets of their own by a hash of their position in the
+table, and these buckets may go to different shards.
+
+``write`` writes a folder of files for each shard and reads the rows with shard
+and slot, and ``assign`` derives its digest from them.
 
 Law ``bytes``: a shard's bytes differ from the ideal by at most two tolerances
-and one indivisible unit.  Equal texts are neighbours in the order and share a
-shard unless a splitter must cut their group.  Rows with equal text and equal
-doc_id can't be told apart and stay together.
+and one indivisible row.  Equal texts are neighbours in the order and share a
+shard unless a splitter must cut their group.
 
 Cases: a null text has size 1 and the checksum of an empty one; a null doc_id
 sorts first.  Repeated rows each get a slot of their own (which of two equal
@@ -25,8 +30,10 @@ other than doc_id and text are carried along, whatever their names.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +41,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
-from corvane.llm.runtime import cut, scratch
+from corvane.llm.runtime import cut, packed, scratch
 
 SHARDS = 16
 #: Part of a shard's ideal bytes by which a splitter may miss.
 TOLERANCE = 0.002
 #: Rows and bytes that a bucket of the exchange should hold.
 BUCKET_ROWS, BUCKET_BYTES = 200_000, 16 << 20
-#: Buckets at least, so that small tables spread too.
-LEAST_BUCKETS = 512
+#: Buckets at least, so that small tables spread too, and about at most: their
+#: bounds are broadcast, so beyond this the buckets grow instead.
+LEAST_BUCKETS, MOST_BUCKETS = 512, 100_000
 #: Probes laid into each interval that is refined.
 PROBES = 64
 
@@ -125,61 +133,83 @@ def _probes(low: tuple[int, int], high: tuple[int, int], n: int) -> list[tuple[i
     return []
 
 
-def plan(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> tuple[Bounds, np.ndarray, np.ndarray]:
-    """Boundaries of the buckets, each bucket's shard and its first row's slot."""
+class Plan(NamedTuple):
+    """Intervals of the order; for each the first of its buckets and their number; for each bucket its shard."""
+
+    bounds: Bounds
+    first: np.ndarray
+    parts: np.ndarray
+    shard: np.ndarray
+
+    def place(self, h: np.ndarray, d: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The bucket of each row; the salt deals rows that the order can't tell apart."""
+        at = self.bounds.place(h, d)
+        return self.first[at] + salt % self.parts[at]
+
+
+def plan(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> Plan:
     total, count = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    buckets = max(LEAST_BUCKETS, -(-count // BUCKET_ROWS), -(-total // BUCKET_BYTES))
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-count // BUCKET_ROWS), -(-total // BUCKET_BYTES)))
+    most_rows, most_bytes = 8 * max(1, count // buckets), max(2 * BUCKET_BYTES, 2 * (total // buckets))
     step = (1 << 64) // buckets
     bounds = Bounds([(_LOW + i * step, None) for i in range(buckets)])
-    ideal, wide = total / shards, max(1, count // buckets)
+    ideal = total / shards
     targets = [ideal * k for k in range(1, shards)]
     while True:
         found = _histogram(keys, bounds)
         below = np.concatenate([[0], np.cumsum(found[:, 0])])
+        parts = np.ones(len(found), np.int64)
         more: list[tuple[int, int | None]] = []
         for i in range(len(found)):
             size, n, h0, h1, d0, d1 = (int(x) for x in found[i])
-            if n > 1 and (h0, d0) != (h1, d1):
+            if n > 1:
                 split = size > tolerance * ideal and any(below[i] < t < below[i + 1] for t in targets)
-                if split or n > 8 * wide or size > 2 * BUCKET_BYTES:
-                    more += _probes((h0, d0), (h1, d1), PROBES)
+                if split or n > most_rows or size > most_bytes:
+                    if (h0, d0) != (h1, d1):
+                        more += _probes((h0, d0), (h1, d1), PROBES)
+                    else:
+                        parts[i] = min(n, max(-(-n // most_rows), -(-size // most_bytes), math.ceil(size / (tolerance * ideal)) if split else 1))
         grown = Bounds(bounds.keys + more)
         if len(grown.keys) == len(bounds.keys):
             break
         bounds = grown
-    begins = below[:-1]
-    shard = np.zeros(len(found), np.int64)
+    first = np.cumsum(parts) - parts
+    # the bytes below each bucket: exact at intervals, in equal steps within one that is dealt out
+    share = np.repeat(found[:, 0] / parts, parts)
+    at = np.arange(parts.sum()) - np.repeat(first, parts)
+    edges = np.append(np.repeat(below[:-1], parts) + share * at, total)
+    shard = np.zeros(len(share), np.int64)
     for target in targets:
-        shard[int(np.argmin(np.abs(below - target))) :] += 1
-    before = np.concatenate([[0], np.cumsum(found[:, 1])])[:-1]
-    first = np.array([before[shard == s].min() if (shard == s).any() else 0 for s in range(shards)])
-    assert len(begins) == len(shard)
-    return bounds, shard, before - first[shard]
+        shard[int(np.argmin(np.abs(edges - target))) :] += 1
+    return Plan(bounds, first, parts, shard)
 
 
 def rows(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """shard, slot and the whole row (a struct ``row`` with all columns of ``docs``), moved once by (shard, bucket)."""
-    bounds, shard, offset = plan(cut(keyed(docs)), shards, tolerance)
-    shared = docs.sparkSession.sparkContext.broadcast((bounds, shard, offset))  # as long as the buckets
+    """shard, bucket, rank in the bucket (from 1) and the whole row (a struct ``row`` with all columns of ``docs``), moved once."""
+    shared = docs.sparkSession.sparkContext.broadcast(plan(cut(keyed(docs)), shards, tolerance))  # as long as the buckets
 
-    @F.arrow_udf("bucket long, shard int, first long")
-    def place(h: pa.Array, doc_id: pa.Array) -> pa.Array:
-        bounds, shard, offset = shared.value
-        at = bounds.place(h.to_numpy(zero_copy_only=False), doc_id.fill_null(_LOW).to_numpy(zero_copy_only=False))
-        return pa.StructArray.from_arrays([pa.array(at.astype(np.int64)), pa.array(shard[at].astype(np.int32)), pa.array(offset[at])], names=["bucket", "shard", "first"])
+    @F.arrow_udf("bucket long, shard int")
+    def place(h: pa.Array, doc_id: pa.Array, salt: pa.Array) -> pa.Array:
+        own = shared.value
+        at = own.place(h.to_numpy(zero_copy_only=False), doc_id.fill_null(_LOW).to_numpy(zero_copy_only=False), salt.to_numpy(zero_copy_only=False))
+        return pa.StructArray.from_arrays([pa.array(at), pa.array(own.shard[at].astype(np.int32))], names=["bucket", "shard"])
 
-    whole = docs.select(F.struct("*").alias("row"))
+    whole = docs.select(F.struct("*").alias("row"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 40)).alias("salt"))
     keyed_rows = whole.withColumns({"doc_id": F.col("row.doc_id").cast("long"), "h": F.xxhash64(_text(F.col("row.text")))})
-    placed = keyed_rows.withColumn("place", place("h", "doc_id")).select("row", "doc_id", "h", "place.*")
+    placed = keyed_rows.withColumn("place", place("h", "doc_id", "salt")).select("row", "doc_id", "h", "place.*")
     rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "doc_id"))
-    return placed.select("shard", (F.col("first") + rank - 1).cast("long").alias("slot"), "row")
+    return placed.select("shard", "bucket", rank.cast("long").alias("rank"), "row")
 
 
 def write(docs: DataFrame, folder: str, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows, written to ``folder`` with a subfolder for each shard and read again."""
+    """shard, slot and row of every row, written to ``folder`` with a subfolder for each shard and read again."""
     moved = rows(docs, shards, tolerance)
     moved.write.partitionBy("shard").parquet(folder)
-    return docs.sparkSession.read.schema(moved.schema).parquet(folder)
+    found = docs.sparkSession.read.schema(moved.schema).parquet(folder)
+    counts = packed(found.groupBy("shard", "bucket").agg(F.max("rank").alias("n")))  # a row for each bucket
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return found.join(F.broadcast(begins), ["shard", "bucket"]).select("shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"), "row")
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:

@@ -178,6 +178,46 @@ def test_long_texts_make_small_buckets(spark, monkeypatch):
     monkeypatch.setattr(shard, "LEAST_BUCKETS", 2)
     docs = edge.frame(spark, ["same long text " * 100] * 300 + [f"text {i} " * 300 for i in range(200)])
     keys = shard.keyed(docs).cache()
-    bounds, _, _ = shard.plan(keys, 2)
-    assert shard._histogram(keys, bounds)[:, 0].max() <= 40_000
+    assert shard._histogram(keys, shard.plan(keys, 2).bounds)[:, 0].max() <= 40_000
     whole(shards(shard.assign(docs, 2)), 2)
+
+
+def brute_load(docs, n):
+    """Bytes of each shard when the ordered rows are cut where the bytes below come nearest to the targets."""
+    sizes = [len((t or "").encode()) + 1 for t in docs]
+    return sum(sizes) / n, max(sizes)
+
+
+def test_many_identical_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(shard, "BUCKET_ROWS", 100)
+    texts = ["the same row again"] * 4000 + [f"text number {i}" for i in range(2000)]
+    docs = spark.createDataFrame([(7 if i < 4000 else i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, slot string").repartition(5)
+    own = shard.plan(shard.keyed(docs).cache(), 8)
+    assert own.parts.max() >= 8
+    rows = shards(shard.assign(docs, 8))
+    whole(rows, 8)
+    ideal, widest = brute_load(texts, 8)
+    load = np.bincount([r["shard"] for r in rows], [r["size"] for r in rows], 8)
+    assert np.abs(load - ideal).max() < 0.15 * ideal + widest and len(rows) == 6000
+    assert sorted((r["doc_id"], r["text_crc32"]) for r in rows) == sorted((7 if i < 4000 else i, zlib.crc32(t.encode())) for i, t in enumerate(texts))
+
+
+def test_splitters_against_brute_force(spark):
+    """Every splitter comes as near to its target as the tolerance and one row allow, over rows sorted in one place."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    order = sorted((r["h"], r["doc_id"], r["size"]) for r in shard.keyed(docs).collect())
+    below = np.cumsum([0, *(x[2] for x in order)])
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in shard.assign(docs).collect()}
+    assert [got[x[1]] for x in order] == sorted(got.values())  # the shards follow the order
+    for k in range(1, shard.SHARDS):
+        cut = below[sum(got[x[1]][0] < k for x in order)]
+        target = below[-1] * k / shard.SHARDS
+        assert abs(cut - target) <= shard.TOLERANCE * below[-1] / shard.SHARDS + max(x[2] for x in order)
+
+
+def test_the_number_of_buckets_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(shard, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(shard, "LEAST_BUCKETS", 4)
+    monkeypatch.setattr(shard, "MOST_BUCKETS", 40)
+    keys = shard.keyed(edge.frame(spark, [f"text {i}" for i in range(3000)])).cache()
+    assert len(shard.plan(keys, 2).first) < 40 + 4 * shard.PROBES
