@@ -13,8 +13,11 @@ smaller set's size, so that few tokens of a prefix share a class and the
 combinations grow with the prefix and not with its square.
 
 1. ``tokens``: texts become hashed shingles, packed into blobs by hash range.
-2. One exchange by range counts each token's documents and sends back only the
-   tokens that two documents share.  The others can't link anything, yet they
+2. An exchange by range counts each token's documents and sends back only the
+   tokens that two documents share.  With more than ``ONE_LEVEL`` ranges it has
+   two levels, there and back: as many wide ranges as the root of the number,
+   in which the blobs of a group of chunks are merged, then the narrow ones, so
+   that blobs stay long and their number follows the input and not its square.  The others can't link anything, yet they
    count in a prefix: a document with more than e of them is settled.
 3. The rest, equal sets as one class, are indexed by their prefixes' singles
    and pairs; lists of one fall away.
@@ -28,7 +31,8 @@ combinations grow with the prefix and not with its square.
    Every list is worked until its members are one component or all have been
    pivots, so no pair that could connect two components stays unseen.
 
-Tokens are told apart by 63 bits of hash.
+Tokens are told apart by 63 bits of hash: two different shingles are taken for
+equal once in 2**63 comparisons.
 
 Cases: null and empty texts, and texts of white space, have no shingles and are
 their own components.  Fewer than four words make one shingle.  Rows that share
@@ -40,6 +44,7 @@ whole; an empty table gives no rows; other columns are never read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -59,6 +64,8 @@ FREQUENT, CAP = 32, 128
 #: Tokens that one blob set holds before it is sent on, and that one range should hold.
 CHUNK_TOKENS = 1_500_000
 RANGE_TOKENS = 2_000_000
+#: Ranges from which on the exchange has two levels.
+ONE_LEVEL = 256
 #: Members from which on a list is long, and members and tokens of a block.
 LONG, BLOCK, BLOCK_TOKENS = 64, 1024, 4_000_000
 #: Pairs that are few enough to be sent to every task instead of moving the sets (16 bytes each).
@@ -135,16 +142,22 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 _BLOBS = "bucket long, chunk long, kind int, tokens binary, at binary"
+#: Hashes of tokens are below this.
+_HASHES = 1 << 63
 
 
-def tokens(docs: DataFrame, buckets: int) -> DataFrame:
+def _limits(first: int, n: int, width: int) -> np.ndarray:
+    return _U(first) + np.arange(n + 1, dtype=_U) * _U(width)
+
+
+def tokens(docs: DataFrame, buckets: int, width: int | None = None) -> DataFrame:
     """Blobs of tokens by hash range, each with its document's place in the chunk.
 
     Kinds: 0 tokens to count; 1 a chunk's doc_ids and set sizes; 2 tokens that
     CAP documents of the chunk have, once each; 3 their occurrences, which need
     no counting any more and so don't meet in the range of a hot token.
     """
-    limits = np.arange(buckets + 1, dtype=_U) * _U((1 << 63) // buckets + 1)
+    limits = _limits(0, buckets, width or _HASHES // buckets + 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -191,15 +204,90 @@ def tokens(docs: DataFrame, buckets: int) -> DataFrame:
     return bounded(docs).mapInArrow(run, _BLOBS)
 
 
+#: Chunks of a group have 16 bits beside the 16 of a place.
+_PLACE_BITS, _GROUPED = 16, np.uint32
+_WIDE = _BLOBS + ", units binary"
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.table([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _narrowed(fan: int, width: int):
+    """Of one wide range and a group of chunks: the blobs merged and dealt over ``fan`` narrow ranges.
+
+    ``units`` lists the group's chunks; a place has its chunk's number in it above the place in the chunk.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket, group = (int(k.as_py()) for k in key)
+        kinds, chunks, blobs, places = (table.column(n).to_pylist() for n in ("kind", "chunk", "tokens", "at"))
+        rows = [(bucket * fan + c % fan, c, k, t, a, b"") for c, k, t, a in zip(chunks, kinds, blobs, places, strict=True) if k in (1, 3)]
+        limits = _limits(bucket * fan * width, fan, width)
+        own = [i for i, k in enumerate(kinds) if k == 0]
+        units = sorted({chunks[i] for i in own})
+        number = {c: n for n, c in enumerate(units)}
+        parts = [_unpack(blobs[i]) for i in own]
+        every = np.concatenate([*parts, np.zeros(0, _U)])
+        at = np.concatenate([*(np.frombuffer(places[i], np.uint16).astype(_GROUPED) | _GROUPED(number[chunks[i]] << _PLACE_BITS) for i in own), np.zeros(0, _GROUPED)])
+        order = np.argsort(every, kind="stable")
+        hot = np.unique(np.concatenate([*(_unpack(blobs[i]) for i, k in enumerate(kinds) if k == 2), np.zeros(0, _U)]))
+        listed = np.array(units, np.int64).tobytes()
+        for kind, values, origin in ((0, every[order], at[order]), (2, hot, None)):
+            which = np.searchsorted(values, limits)
+            for b in np.flatnonzero(np.diff(which)):
+                mine = slice(which[b], which[b + 1])
+                rows.append((bucket * fan + int(b), group, kind, _pack(values[mine]), b"" if origin is None else origin[mine].tobytes(), b"" if origin is None else listed))
+        return _table(rows, _WIDE)
+
+    return run
+
+
 _SHARED = "chunk long, kind int, tokens binary, at binary, count binary"
+_BACK = f"bucket long, {_SHARED}, units binary"
+
+
+def _parted(key: tuple, table: pa.Table) -> pa.Table:
+    """Of one wide range and a group: what came back from its narrow ranges, by chunk; what is a chunk's own already stays."""
+    del key
+    kinds, chunks, blobs, places, counts, units = (table.column(n).to_pylist() for n in ("kind", "chunk", "tokens", "at", "count", "units"))
+    rows = [(c, 0 if k == 4 else k, t, a, n) for c, k, t, a, n in zip(chunks, kinds, blobs, places, counts, strict=True) if k]
+    held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for i in sorted((i for i, k in enumerate(kinds) if not k), key=lambda i: table.column("bucket")[i].as_py()):
+        own, at, n, listed = _unpack(blobs[i]), np.frombuffer(places[i], _GROUPED), np.frombuffer(counts[i], np.uint8), np.frombuffer(units[i], np.int64)
+        of = at >> _GROUPED(_PLACE_BITS)
+        order = np.argsort(of, kind="stable")
+        edge, times = _runs(of[order])
+        for a, b in zip(edge.tolist(), (edge + times).tolist(), strict=True):
+            mine = order[a:b]
+            held.setdefault(int(listed[of[mine[0]]]), []).append((own[mine], at[mine].astype(np.uint16), n[mine]))
+    for chunk, found in held.items():
+        own, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        rows.append((chunk, 0, _pack(own), at.tobytes(), n.tobytes()))
+    return _table(rows, _SHARED)
+
+
+def _shared_wide(key: tuple, table: pa.Table) -> pa.Table:
+    """``_shared`` of a narrow range, whose blobs are those of groups."""
+    bucket, units = int(key[0].as_py()), dict(zip(zip(table.column("chunk").to_pylist(), table.column("kind").to_pylist(), strict=True), table.column("units").to_pylist(), strict=True))
+    found = _counted(table, _GROUPED)
+    return _table([(bucket, r["chunk"], r["kind"], r["tokens"], r["at"], r["count"], units.get((r["chunk"], 0), b"") if not r["kind"] else b"") for r in found.to_pylist()], _BACK)
 
 
 def _shared(key: tuple, table: pa.Table) -> pa.Table:
     """Of one hash range: the tokens that more than one document has, by chunk, with the (capped) number of documents."""
     del key
+    return _counted(table, np.uint16)
+
+
+def _counted(table: pa.Table, place: type) -> pa.Table:
+    direct = 0 if place is np.uint16 else 4  # a chunk's own occurrences, among those of groups
     kinds, chunks, blobs, places = (table.column(n).to_pylist() for n in ("kind", "chunk", "tokens", "at"))
     rows = [(c, 1, t, a, b"") for c, k, t, a in zip(chunks, kinds, blobs, places, strict=True) if k == 1]
-    rows += [(c, 0, t, a, bytes([CAP]) * (len(a) // 2)) for c, k, t, a in zip(chunks, kinds, blobs, places, strict=True) if k == 3]
+    rows += [(c, direct, t, a, bytes([CAP]) * (len(a) // 2)) for c, k, t, a in zip(chunks, kinds, blobs, places, strict=True) if k == 3]
     own = [i for i, k in enumerate(kinds) if k in (0, 2)]
     if own:
         parts = [_unpack(blobs[i]) for i in own]
@@ -215,9 +303,22 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
             begin += len(part)
             more = n > 1
             if not kinds[i] and more.any():
-                rows.append((chunks[i], 0, _pack(part[more]), np.frombuffer(places[i], np.uint16)[more].tobytes(), n[more].tobytes()))
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "kind", "tokens", "at", "count"])
+                rows.append((chunks[i], 0, _pack(part[more]), np.frombuffer(places[i], place)[more].tobytes(), n[more].tobytes()))
+    return _table(rows, _SHARED)
+
+
+def exchanged(named: DataFrame, size: int) -> DataFrame:
+    """What ``_SHARED`` says of all chunks of texts of so many bytes."""
+    buckets = max(8, int(size / 4 // RANGE_TOKENS))
+    if buckets <= ONE_LEVEL:
+        return tokens(named, buckets).groupBy("bucket").applyInArrow(_shared, _SHARED)
+    fan = math.isqrt(buckets - 1) + 1
+    width = _HASHES // fan**2 + 1
+    groups = max(1, int(size / 4 // CHUNK_TOKENS // fan))
+    wide = tokens(named, fan, fan * width).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
+    narrow = wide.groupBy("bucket", "part").applyInArrow(_narrowed(fan, width), _WIDE)
+    back = narrow.groupBy("bucket").applyInArrow(_shared_wide, _BACK)
+    return back.withColumn("range", F.floor(F.col("bucket") / fan)).groupBy("chunk", "range").applyInArrow(_parted, _SHARED)
 
 
 _SETS = "doc_id long, n long, alone long, mark string, tokens binary, counts binary"
@@ -253,9 +354,7 @@ def _sets(key: tuple, table: pa.Table) -> pa.Table:
             out.append((doc, n, alone, mark, every[a:b].tobytes(), count[a:b].tobytes()))
         else:
             out.append((doc, n, alone, None, None, None))
-    columns = list(zip(*out, strict=True)) if out else [()] * 6
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n", "alone", "mark", "tokens", "counts"])
+    return _table(out, _SETS)
 
 
 def signatures(n: int, alone: int, row: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -418,7 +517,8 @@ def _long_lists(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFr
 
 def _linked(index: DataFrame, sets: DataFrame, ties: DataFrame) -> DataFrame:
     """(node, least) of the classes that links or ``ties`` connect."""
-    counts = index.groupBy("signature").agg(F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1")
+    # cut, so that the join deals both sides anew and a hot signature can be split
+    counts = cut(index.groupBy("signature").agg(F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1"))
     every = packed(index.join(counts, "signature"))
     sets = cut(sets.select("doc", "n", "tokens").join(every.select("doc").distinct(), "doc", "left_semi"))
     found = _long_lists(every.where(F.col("size") > LONG), sets, components(ties))
@@ -460,9 +560,7 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id is not null")
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(8, int(size / 4 // RANGE_TOKENS))
-    shared = tokens(named, buckets).groupBy("bucket").applyInArrow(_shared, _SHARED)
-    every = cut(shared.groupBy("chunk").applyInArrow(_sets, _SETS))
+    every = cut(exchanged(named, size).groupBy("chunk").applyInArrow(_sets, _SETS))
     equal, other = every.where("mark is not null"), every.where("mark is null")
     # cut, so that the join with it deals both sides anew and a hot group can be split
     marked = cut(equal.groupBy("mark", "n").agg(F.min("doc_id").alias("class_id")))

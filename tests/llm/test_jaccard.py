@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import defaultdict
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corvane.llm import jaccard as op
 from corvane.llm import text as tx
@@ -172,3 +174,60 @@ def test_words_that_cancel_in_a_polynomial_are_told_apart(spark):
     data, offsets = tx.raw(pa.array([f"{one} {two}", "ab ba aab aba baa " + "a" * 64 + " " + "a" * 65 + " " + "a" * 128]))
     starts, ends, _ = tx.words(data, offsets)
     assert len(set(tx.word_hashes(data, starts, ends).tolist())) == len(starts) == 10
+
+
+def small_exchange(monkeypatch, one_level):
+    for name, value in (("ONE_LEVEL", one_level), ("RANGE_TOKENS", 60), ("CHUNK_TOKENS", 400), ("CAP", 5)):
+        monkeypatch.setattr(op, name, value)
+
+
+@pytest.fixture
+def short_batches(spark):
+    """A chunk for every few rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "8")
+    yield
+    spark.conf.set(name, was)
+
+
+def exchange_docs(spark, n):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    common = " ".join(words[:12])
+    bases = [" ".join(rng.choice(words) for _ in range(rng.randrange(3, 60))) + (f" {common}" if i % 3 == 0 else "") for i in range(n // 3 + 1)]
+    texts = [bases[i // 3] + [" tail", "", " x y"][i % 3] for i in range(n)]
+    return edge.frame(spark, texts).repartition(3, "doc_id").select("doc_id", "text").cache()
+
+
+def test_two_levels_give_what_one_gives(spark, monkeypatch, short_batches):
+    docs = exchange_docs(spark, 150)
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    small_exchange(monkeypatch, 1 << 30)
+    one = edge.collected(op.exchanged(docs, size).groupBy("chunk").applyInArrow(op._sets, op._SETS))
+    joined = edge.collected(op.join(docs))
+    small_exchange(monkeypatch, 2)
+    two = edge.collected(op.exchanged(docs, size).groupBy("chunk").applyInArrow(op._sets, op._SETS))
+    assert one == two and sum(r[4] is not None for r in one) > 20
+    assert edge.collected(op.join(docs)) == joined
+
+
+def test_blobs_grow_with_the_input_and_not_its_square(spark, monkeypatch, short_batches):
+    made = {}
+    for n in (100, 1600):
+        docs = exchange_docs(spark, n)
+        size = docs.selectExpr("sum(octet_length(text))").first()[0]
+        small_exchange(monkeypatch, 2)
+        buckets = int(size / 4 // op.RANGE_TOKENS)
+        fan = math.isqrt(buckets - 1) + 1
+        width = op._HASHES // fan**2 + 1
+        groups = max(1, int(size / 4 // op.CHUNK_TOKENS // fan))
+        wide = op.tokens(docs, fan, fan * width).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups))).cache()
+        narrow = wide.groupBy("bucket", "part").applyInArrow(op._narrowed(fan, width), op._WIDE)
+        chunks = wide.select("chunk").distinct().count()
+        made[n] = wide.where("kind = 0").count(), narrow.where("kind = 0").count(), chunks * buckets, size
+    growth = made[1600][3] / made[100][3]
+    assert made[1600][2] > 0.8 * growth**2 * made[100][2] / 2  # chunks times ranges, as in one level
+    for level in (0, 1):
+        assert made[1600][level] < 1.3 * growth**1.5 * made[100][level]
+        assert made[1600][level] < made[1600][2] / 2
