@@ -122,6 +122,15 @@ def _vector() -> dict[str, Column]:
     }
 
 
+#: Groups up to which a table of a row for each is broadcast: some 250 bytes a row.
+BROADCAST_GROUPS = 20_000
+
+
+def _held(groups: DataFrame) -> DataFrame:
+    """A written table of groups, broadcast to its join if its counted rows allow it; else the join deals both sides."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+
+
 def _nearest(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
     """For each group the least grid cell up to which ``share`` of its rows lie.
 
@@ -143,8 +152,8 @@ def _grouped(stats: DataFrame) -> DataFrame:
     level = F.when(F.col("_own") >= LEAST_ROWS, 2).when(F.col("_wide") >= LEAST_ROWS, 1).otherwise(0)
     named = named.select("_l", "_s", level.alias("level"))
     grp = F.when(F.col("level") == 2, F.to_json(F.struct(F.lit(2).alias("of"), "_l", "_s"))).when(F.col("level") == 1, F.to_json(F.struct(F.lit(1).alias("of"), "_l"))).otherwise("all")
-    named = named.withColumn("grp", grp)
-    joined = stats.join(named, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
+    named = packed(named.withColumn("grp", grp))
+    joined = stats.join(_held(named), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
     return joined.withColumns({"grp": F.coalesce("grp", F.lit("all")), "level": F.coalesce("level", F.lit(0))})
 
 
@@ -197,14 +206,14 @@ def _spread(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """(grp, start, estimate): where the concentration steps of each group begin."""
     medians = _spread(rows, [F.col(x) for x in STATISTICS], "m")
-    spread = _spread(rows.join(medians, "grp"), [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(STATISTICS)], "s")
+    spread = _spread(rows.join(_held(medians), "grp"), [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(STATISTICS)], "s")
     plain = medians.join(spread, "grp")
     for i, floor in enumerate(FLOORS):
         for j in range(i + 1):
             plain = plain.withColumn(f"w{i}{j}", 1 / F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + floor**2) if i == j else F.lit(0.0))
     plain = packed(plain.select("grp", *_ESTIMATE))
     # directions alone, from the medians in units of their spread
-    ways = rows.join(plain, "grp").withColumns({f"z{i}": F.col(f"w{i}{i}") * (F.col(x) - F.col(f"m{i}")) for i, x in enumerate(STATISTICS)})
+    ways = rows.join(_held(plain), "grp").withColumns({f"z{i}": F.col(f"w{i}{i}") * (F.col(x) - F.col(f"m{i}")) for i, x in enumerate(STATISTICS)})
     length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in _P), F.lit(1e-12)))
     signs = _estimate(ways.select("grp", *[(F.col(f"z{i}") / length).alias(x) for i, x in enumerate(STATISTICS)]), ["grp"], [0.1] * len(STATISTICS))
     own = plain.select("grp", *[f"m{i}" for i in _P], *[F.col(f"w{i}{i}").alias(f"u{i}") for i in _P])
@@ -217,9 +226,9 @@ def concentrated(rows: DataFrame) -> DataFrame:
     """(grp, start, estimate, det) after the concentration steps from every start."""
     est, before = _starts(rows), None
     for _ in range(STEPS):
-        placed = rows.join(est.select("grp", "start", *_ESTIMATE), "grp").withColumn("cell", _cell(_distance())).select("grp", "start", "cell", *STATISTICS)
-        scale = _nearest(placed.select("grp", "start", "cell"), ["grp", "start"], "cell", SHARE)
-        est = _estimate(placed.join(scale, ["grp", "start"]).where("cell <= _to").select("grp", "start", *STATISTICS), ["grp", "start"])
+        placed = rows.join(_held(est.select("grp", "start", *_ESTIMATE)), "grp").withColumn("cell", _cell(_distance())).select("grp", "start", "cell", *STATISTICS)
+        scale = packed(_nearest(placed.select("grp", "start", "cell"), ["grp", "start"], "cell", SHARE))
+        est = _estimate(placed.join(_held(scale), ["grp", "start"]).where("cell <= _to").select("grp", "start", *STATISTICS), ["grp", "start"])
         if before is not None:
             fall = est.join(before, ["grp", "start"]).agg(F.max(F.col("was") - F.col("det"))).first()[0]
             if fall is None or fall < SETTLED:
@@ -234,9 +243,9 @@ def estimates(stats: DataFrame) -> DataFrame:
     every = concentrated(rows)
     best = every.groupBy("grp").agg(F.min(F.struct("det", "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
     est = packed(every.join(best, ["grp", "start"]).select("grp", *_ESTIMATE))
-    placed = rows.join(est, "grp").withColumn("d2", _distance()).withColumn("cell", _cell(F.col("d2")))
+    placed = rows.join(_held(est), "grp").withColumn("d2", _distance()).withColumn("cell", _cell(F.col("d2")))
     scale = _nearest(placed.select("grp", "cell"), ["grp"], "cell", SHARE).select("grp", F.greatest(F.lit(1.0), F.exp((F.col("_to") + 1) / CELLS) / QUARTILE).alias("scale"))
-    return _estimate(placed.join(scale, "grp").where(F.col("d2") <= INNER * F.col("scale")).select("grp", *STATISTICS), ["grp"])
+    return _estimate(placed.join(_held(packed(scale)), "grp").where(F.col("d2") <= INNER * F.col("scale")).select("grp", *STATISTICS), ["grp"])
 
 
 def apply(docs: DataFrame) -> DataFrame:
@@ -244,6 +253,6 @@ def apply(docs: DataFrame) -> DataFrame:
     stats = cut(base(docs))
     stats = _grouped(stats.withColumns(_vector()))
     est = estimates(cut(stats.select("grp", "base_failed", *STATISTICS)))
-    judged = stats.join(est, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    judged = stats.join(_held(est), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", "level")
