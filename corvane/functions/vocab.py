@@ -63,7 +63,8 @@ GENERIC_TERMS = [
     "financial", "logistics", "retail", "products", "center", "global", "national",
 ]
 #: Words that part a name from another of the same business, tried in this order.
-ALIASES = ["formerly", "nee", "fka", "aka", "dba"]
+#: Those with slashes only occur in names that are not normalised.
+ALIASES = ["formerly", "nee", "f/k/a", "fka", "aka", "a/k/a", "d/b/a", "dba"]
 ACRONYM_STOP = ["and", "the", "for", "all"]
 DOMAIN_SUFFIX = r"\.(?:com|org|net|in|co\.in|co|io|biz|info)$"
 

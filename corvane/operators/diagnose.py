@@ -137,11 +137,10 @@ def error_buckets(pairs: DataFrame, truth: DataFrame, rows: DataFrame, high: flo
 
 
 def difficulty(truth: DataFrame, rows: DataFrame) -> DataFrame:
-    """(source1_id, difficulty): whether some true pair is equal in name and address, in one, or in neither."""
+    """(source1_id, difficulty): whether true matches equal the entity in name and in address (perhaps not the same one), in one of them, or in neither."""
     a, b = F.col("a"), F.col("b")
-    name, addr = a["norm_name"] == b["norm_name"], a["norm_addr"] == b["norm_addr"]
-    level = F.when(name & addr, 2).when(name | addr, 1).otherwise(0)
-    best = sided(truth.select("source1_id", "candidate_id").distinct(), rows).groupBy("source1_id").agg(F.max(level).alias("level"))
+    same = lambda c: F.coalesce(F.max((a[c] == b[c]) & (a[c] != "")).cast("int"), F.lit(0))
+    best = sided(truth.select("source1_id", "candidate_id").distinct(), rows).groupBy("source1_id").agg((same("norm_name") + same("norm_addr")).alias("level"))
     return best.select("source1_id", F.when(F.col("level") == 2, "easy").when(F.col("level") == 1, "medium").otherwise("hard").alias("difficulty"))
 
 

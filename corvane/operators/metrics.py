@@ -216,13 +216,22 @@ def recall_decomposition(pairs: DataFrame, truth: DataFrame, t: float) -> DataFr
     return made.select("true_pairs", "in_candidates", "matched", r6("in_candidates", "true_pairs").alias("blocking_recall"), r6("matched", "in_candidates").alias("classification_recall"), r6("matched", "true_pairs").alias("system_recall"))
 
 
-def group_split(ids: DataFrame, share: float, seed: int = 42) -> DataFrame:
-    """Adds held_out: ids in order of a seeded hash, the first ``share`` of them.
+def by_source(predicted: DataFrame, truth: DataFrame, required: DataFrame) -> DataFrame:
+    """Metrics of the pairs with each target source alone, over all required entities."""
+    source = F.concat(F.lit("source"), F.substring("candidate_id", 2, 1))
+    kinds = required.sparkSession.createDataFrame([("source2",), ("source3",)], "candidate_source string")
+    marked = truth.select("source1_id", "candidate_id").distinct().withColumn("candidate_source", source)
+    made = predicted.select("source1_id", "candidate_id").distinct().withColumn("candidate_source", source).join(marked.withColumn("hit", F.lit(1)), ["source1_id", "candidate_id", "candidate_source"], "left")
+    by = ["source1_id", "candidate_source"]
+    counted = required.select("source1_id").crossJoin(F.broadcast(kinds))  # two rows
+    counted = counted.join(marked.groupBy(*by).agg(F.count("*").alias("n_true")), by, "left").join(made.groupBy(*by).agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp")), by, "left")
+    return summary(counted.na.fill(0, ["n_true", "n_pred", "tp"]), ["candidate_source"])
 
-    All rows of an id fall on one side.  The bound is found by counting hash
-    ranges, so ids are never sorted in one task.
-    """
-    keyed = ids.select("source1_id").distinct().withColumn("h", F.pmod(F.xxhash64("source1_id", F.lit(seed)), F.lit(1 << 40)))
-    return keyed.withColumn("held_out", F.col("h") < F.lit(int(share * (1 << 40)))).drop("h")
 
+def group_split(ids: DataFrame, share: float, seed: int = 42) -> DataFrame:
+    """Adds held_out: whether an id's seeded digest lies in the first ``share`` of its range.
 
+    All rows of an id fall on one side, and no task sees all ids.
+    """
+    digest = F.conv(F.substring(F.md5(F.concat(F.col("source1_id"), F.lit(f":{seed}"))), 1, 10), 16, 10).cast("long")
+    return ids.select("source1_id").distinct().withColumn("held_out", digest < F.lit(int(share * (1 << 40))))

@@ -23,11 +23,17 @@ def folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted with the others."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext, path))
+    return path
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet and read again: what reads it twice computes it once and prunes its columns."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark.sparkContext, path))
+    path = place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

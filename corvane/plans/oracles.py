@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from corvane.functions import vocab
-from corvane.plans.views import ENTITY_SQL, TRUTH_SQL
+from corvane.plans.views import DOCUMENT_SQL, ENTITY_SQL, TRUTH_SQL
 
 
 def _q(value: str) -> str:
@@ -66,7 +66,7 @@ NAME_STEPS = [
     _re(r"^www\.", ""),
     _re(r"\s*&\s*", " and "),
     *_rules(vocab.LEGAL_FORMS),
-    _re(r"[^\w\s]", " "),
+    _re(r"[^\p{L}\p{N}_\s]", " "),
     f"trim({_re(chr(92) + 's+', ' ')})",
 ]
 ADDRESS_STEPS = [
@@ -76,7 +76,7 @@ ADDRESS_STEPS = [
     *_rules(vocab.STREETS + vocab.UNITS + vocab.STATES),
     _re(r"\b1/2\b", ""),
     _re(r"\b0+(\d+)\b", r"\1"),
-    _re(r"[^\w\s\-/]", " "),
+    _re(r"[^\p{L}\p{N}_\s\-/]", " "),
     f"trim({_re(chr(92) + 's+', ' ')})",
 ]
 
@@ -277,8 +277,8 @@ def _half_up(sql: str) -> str:
     return "".join(out) + sql[at:]
 
 
-def _statement(needs: list[str], body: str) -> str:
-    """``body`` after the common table expressions that it needs, in order of need."""
+def _statement(needs: list[str], body: str, own: dict[str, str] | None = None) -> str:
+    """``body`` after the common table expressions that it needs, in order of need; ``own`` ones replace those of their name."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -289,7 +289,8 @@ def _statement(needs: list[str], body: str) -> str:
 
     for name in needs:
         visit(name)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order) + "\n" + _half_up(body)
+    own = own or {}
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({own.get(n, CTES[n][1])})" for n in order) + "\n" + _half_up(body)
 
 
 def _counts_over(grid: str, by: str, condition: str, extra: str = "") -> str:
@@ -378,7 +379,7 @@ ORACLE_SQL: dict[str, str] = {
     "blocking_recall": _statement(["cand", "truth", "req"], "SELECT n AS true_pairs, f AS found, round(f::DOUBLE / n, 6) AS recall, c AS candidate_pairs, round(c::DOUBLE / e, 6) AS per_entity FROM (SELECT count(*) AS n, count(cand.source1_id) AS f FROM truth LEFT JOIN cand USING (source1_id, candidate_id)), (SELECT count(*) AS c FROM cand), (SELECT count(*) AS e FROM req)"),
     "recall_decomposition": _statement(["scored", "truth"], "SELECT n AS true_pairs, i AS in_candidates, m AS matched, round(i::DOUBLE / n, 6) AS blocking_recall, round(m::DOUBLE / i, 6) AS classification_recall, round(m::DOUBLE / n, 6) AS system_recall FROM (SELECT count(*) AS n, count(probability) AS i, count(*) FILTER (probability >= 0.75) AS m FROM truth LEFT JOIN scored USING (source1_id, candidate_id))"),
     "missed_matches": _statement(["truth", "shared"], f"SELECT * FROM truth ANTI JOIN {_NARROW} USING (source1_id, candidate_id)"),
-    "difficulty_breakdown": _statement(["truth", "nrm"], "SELECT CASE l WHEN 2 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, count(*) AS n FROM (SELECT source1_id, max((a.norm_name = b.norm_name)::INT + (a.norm_addr = b.norm_addr)::INT) AS l FROM truth JOIN nrm a ON a.entity_id = source1_id JOIN nrm b ON b.entity_id = candidate_id GROUP BY 1) GROUP BY ALL"),
+    "difficulty_breakdown": _statement(["truth", "nrm"], "SELECT CASE l WHEN 2 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, count(*) AS n FROM (SELECT source1_id, bool_or(a.norm_name = b.norm_name AND a.norm_name <> '')::INT + bool_or(a.norm_addr = b.norm_addr AND a.norm_addr <> '')::INT AS l FROM truth JOIN nrm a ON a.entity_id = source1_id JOIN nrm b ON b.entity_id = candidate_id GROUP BY 1) GROUP BY ALL"),
     "error_buckets": _statement(["scored", "truth"], f""", t AS (SELECT truth.*, probability AS p FROM truth LEFT JOIN scored USING (source1_id, candidate_id)), w AS (SELECT * FROM scored ANTI JOIN truth USING (source1_id, candidate_id) WHERE probability >= 0.7)
         SELECT 'blocking_miss' AS bucket, count(*) FILTER (p IS NULL) AS n FROM t UNION ALL SELECT 'borderline', count(*) FILTER (p >= 0.5 AND p < 0.7) FROM t UNION ALL SELECT 'hard', count(*) FILTER (p < 0.5) FROM t
         UNION ALL SELECT 'singleton_fp', count(*) FROM w WHERE source1_id NOT IN (SELECT source1_id FROM truth) UNION ALL SELECT 'non_singleton_fp', count(*) FROM w WHERE source1_id IN (SELECT source1_id FROM truth)
@@ -510,6 +511,41 @@ def _strategy_sql() -> str:
 ORACLE_SQL["strategy_benchmark"] = _strategy_sql()
 
 
+_SOURCED = """(SELECT source1_id, candidate_source, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM req CROSS JOIN (SELECT unnest(['source2', 'source3']) AS candidate_source)
+      LEFT JOIN (SELECT source1_id, 'source' || substr(candidate_id, 2, 1) AS candidate_source, count(*) AS n_true FROM truth GROUP BY ALL) USING (source1_id, candidate_source)
+      LEFT JOIN (SELECT p.source1_id, p.candidate_source, count(*) AS n_pred, count(t.source1_id) AS tp FROM passing p LEFT JOIN truth t USING (source1_id, candidate_id) GROUP BY ALL) USING (source1_id, candidate_source))"""
+_PROSE = {"ent": DOCUMENT_SQL}
+_FOLDED = lambda c: f"regexp_replace({c}, '[^\\x00-\\x7F]', '', 'g') AS {c.split('.')[-1]}"
+_NA = _list(vocab.NA_TOKENS)
+_MATCHED = "SELECT source1_id, coalesce(string_agg(candidate_id, ',' ORDER BY probability DESC, candidate_id), '') AS l FROM req LEFT JOIN passing USING (source1_id) GROUP BY source1_id"
+_GIVEN = "SELECT source1_id, coalesce(string_agg(candidate_id, ',' ORDER BY blocking_rank), '') AS l FROM req LEFT JOIN cand USING (source1_id) GROUP BY source1_id"
+_CAND20 = "SELECT q.entity_id AS source1_id, t.entity_id AS candidate_id, count(*)::DOUBLE AS blocking_score FROM keys q JOIN keys t USING (country, type, value) JOIN sizes USING (country, type, value) WHERE q.source = 1 AND t.source <> 1 AND size <= 20 AND type IN ('NP4', 'NP6', 'NCOMP', 'TOK') GROUP BY ALL"
+ORACLE_SQL |= {f"keys_enhanced_{k.lower()}": _statement(["keysc"], f"SELECT * FROM keysc WHERE type = '{k}'") for k in ("NP4", "NP6", "NCOMP", "TOK", "TOK3", "NSORT", "UNIT", "PLOT", "ADDR_LOC")}
+ORACLE_SQL |= {
+    "locality_tokens_enhanced": _statement(["sidec"], "SELECT entity_id, array_to_string(list_sort(loc), ',') AS localities FROM sidec"),
+    "metrics_by_source": _statement(["req", "passing", "truth"], f"SELECT candidate_source, macro_f05, macro_precision, macro_recall, singleton_accuracy, non_singleton_macro_f05, total_evaluated_s1, true_singletons, correct_singletons, false_merges_on_singletons, micro_precision, micro_recall, micro_f05, total_tp_pairs, total_fp_pairs, total_fn_pairs FROM ({_summary(_SOURCED, 'candidate_source')})"),
+    "group_split": _statement(["req"], f"SELECT source1_id, ('0x' || substr(md5(source1_id || ':42'), 1, 10))::BIGINT < {int(0.2 * (1 << 40))} AS held_out FROM req"),
+    "na_policies_of_a_run": f"SELECT 'S' || n || '-' || p_partkey AS entity_id, CASE WHEN p_partkey % 2 = 0 THEN p_name WHEN n = 1 THEN '' ELSE ({_NA})[p_partkey % {len(vocab.NA_TOKENS)} + 1] END AS business_name, n AS source FROM part, (SELECT unnest([1, 2, 3])::INT AS n)",
+    "truth_file": _statement(["truth"], "SELECT * FROM truth"),
+    "id_scan": _statement(["ent"], "SELECT entity_id FROM ent"),
+    "semi_scan_country": _statement(["ent", "truth"], "SELECT entity_id, business_name FROM ent WHERE country = 'USA' AND entity_id IN (SELECT candidate_id FROM truth)"),
+    "submission_lines": _statement(
+        ["req", "passing", "cand"],
+        f"""SELECT 'matching_results' AS file, source1_id || chr(9) || l AS line FROM ({_MATCHED}) UNION ALL SELECT 'candidate_pairs', source1_id || chr(9) || l FROM ({_GIVEN})
+            UNION ALL SELECT 'matching_results', 'source1_entity_id' || chr(9) || 'matched_entity_ids' UNION ALL SELECT 'candidate_pairs', 'source1_entity_id' || chr(9) || 'candidate_entity_ids'""",
+    ),
+    "validator_files": """WITH c AS (SELECT count(*) AS all_, count(*) FILTER (c_custkey % 5 = 0) AS fives, count(*) FILTER (c_custkey % 5 = 0 AND c_custkey = 7) AS sevens FROM customer)
+        SELECT 0 AS "case", 'match_not_candidate' AS rule, 'warning' AS severity, fives - sevens AS n FROM c
+        UNION ALL SELECT 1, 'no_candidate_file', 'warning', 1 UNION ALL SELECT 1, 'ids_not_checked', 'warning', 1
+        UNION ALL SELECT 2, 'comma_separated', 'error', 1 UNION ALL SELECT 2, 'wrong_header', 'error', 1
+        UNION ALL SELECT 3, 'empty_file', 'error', 1 UNION ALL SELECT 3, 'file_not_found', 'error', 1""",
+    "prose_norm_name": _statement(["nrm"], f"SELECT entity_id, {_FOLDED('nrm.norm_name')}, {_FOLDED('nrm.core_name')} FROM nrm", _PROSE),
+    "prose_norm_address": _statement(["na"], f"SELECT entity_id, {_FOLDED('norm_addr')} FROM na", _PROSE),
+    "prose_candidates": _statement(["keys", "sizes"], f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source1_id ORDER BY blocking_score DESC, candidate_id)::DOUBLE AS blocking_rank FROM ({_CAND20})) WHERE blocking_rank <= 10", _PROSE),
+    "is_indic": _statement(["ent"], "SELECT entity_id, number % 3 = 0 AS is_indic FROM ent"),
+}
+
+
 _RATIOS = {"name_token_sort_ratio", "name_token_set_ratio", "address_token_set_ratio"}
 _ENHANCED = _FEATURES | {
     "name_first_token_match": _flag("a.cw[1] = b.cw[1]"),

@@ -107,10 +107,15 @@ def run(entities: DataFrame, fitted, variant: Variant, most: int | None = None,
     return decide.submission(matches, decide.candidate_lists(scored, required))
 
 
-def read_entities(spark: SparkSession, paths: list[str], policy: str = readers.NA_LOADER) -> DataFrame:
+#: How missing cells are read in a run: by the loader's tokens in source 1; in the targets only
+#: empty cells are missing, so that a business called "Null" keeps its name.
+RUN_POLICIES = (readers.NA_LOADER, readers.NA_NONE, readers.NA_NONE)
+
+
+def read_entities(spark: SparkSession, paths: list[str], policies: tuple[str, ...] = RUN_POLICIES) -> DataFrame:
     """The entity tables of sources 1, 2, 3 as one, with a source column."""
     out = None
-    for number, path in enumerate(paths, 1):
+    for number, (path, policy) in enumerate(zip(paths, policies, strict=True), 1):
         own = readers.load_source(spark, path, policy=policy).withColumn("source", F.lit(number))
         out = own if out is None else out.unionByName(own)
     return out

@@ -16,10 +16,11 @@ from corvane.functions import normalize as base
 from corvane.functions import normalize_enhanced as enhanced
 from corvane.functions import similarity as sim
 from corvane.functions import vocab
-from corvane.functions.text import ngrams
+from corvane.functions.text import ascii_fold, ngrams
+from corvane.functions.text import is_indic as text_is_indic
 from corvane.operators import blocking, decide, diagnose, features, metrics, model, stage, validate
-from corvane.plans import views
-from corvane.sources import readers
+from corvane.plans import pipeline, views
+from corvane.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,6 +88,55 @@ def na_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.filled(raw).select("k", "business_name")
 
 
+@query
+def na_policies_of_a_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables written as tab-separated files and read as a run reads them: literal "null" stays in the targets."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    token = F.element_at(F.array(*[F.lit(t) for t in vocab.NA_TOKENS]), (F.pmod(F.col("p_partkey"), F.lit(len(vocab.NA_TOKENS))) + 1).cast("int"))
+    name = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(token)
+    paths = []
+    for n in (1, 2, 3):
+        rows = part.select(F.concat(F.lit(f"S{n}-"), F.col("p_partkey").cast("string")).alias("entity_id"), name.alias("business_name"), F.col("p_brand").alias("business_address"), F.lit("US").alias("country"))
+        paths.append(f"{stage.place(spark, 'source')}")
+        rows.write.csv(paths[-1], sep="\t", header=True, emptyValue="", quote="")
+    return pipeline.read_entities(spark, paths).select("entity_id", "business_name", "source")
+
+
+@query
+def truth_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The truth written as a file and read again."""
+    path = stage.place(spark, "truth")
+    views.truth(spark, sf_dir).write.csv(path, sep="\t", header=True, emptyValue="", quote="")
+    return readers.true_pairs(readers.load_ground_truth(spark, path))
+
+
+@query
+def id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the ids of a written entity table."""
+    path = stage.place(spark, "source")
+    views.entities(spark, sf_dir).select("entity_id", "business_name", "business_address", "country").write.csv(path, sep="\t", header=True, emptyValue="", quote="")
+    return readers.ids(spark, path).distinct()
+
+
+@query
+def submission_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of both submission files, headers included once."""
+    required = views.entities(spark, sf_dir).where("source = 1")
+    scored = stage.written(_scored(spark, sf_dir).select("source1_id", "candidate_id", "candidate_source", "blocking_rank", "probability"), "pairs")
+    made = decide.submission(decide.match_lists(decide.threshold(scored, 0.6), required), decide.candidate_lists(scored, required))
+    folder = stage.place(spark, "submission")
+    writers.submission(made, folder)
+    lines = [spark.read.text(f"{folder}/{name}").select(F.lit(name).alias("file"), F.col("value").alias("line")).distinct() for name in ("matching_results", "candidate_pairs")]
+    return lines[0].unionByName(lines[1])
+
+
+@query
+def semi_scan_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of one country that some true pair names."""
+    wanted = _truth(spark, sf_dir).select(F.col("candidate_id").alias("entity_id"))
+    return readers.only(views.entities(spark, sf_dir), wanted, "USA").select("entity_id", "business_name")
+
+
 @query
 def semi_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that some true pair names."""
@@ -169,6 +219,11 @@ def locality_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).select("entity_id", _joined(base.locality_tokens(F.col("norm_addr"))).alias("localities"))
 
 
+@query
+def locality_tokens_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows_c(spark, sf_dir).select("entity_id", _joined(enhanced.localities(F.col("norm_addr"))).alias("localities"))
+
+
 @query
 def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).select("entity_id", _joined(ngrams(F.col("norm_name"), 3)).alias("grams_3"), _joined(ngrams(F.col("norm_name"), 4)).alias("grams_4"))
@@ -195,7 +250,9 @@ def _keys_of(kind: str, variant: str = "base") -> Query:
 KEYS_BASE = ["NP4", "NP6", "NCOMP", "TOK", "TOK3", "NSORT", "ADDR", "UNIT", "PLOT", "POSTAL", "ADDR_LOC"]
 KEYS_ENHANCED = ["NPAIR", "ZIP_TOK", "NP4_ZIP"]
 QUERIES |= {f"keys_{k.lower()}": _keys_of(k) for k in KEYS_BASE}
+KEYS_SHARED = ["NP4", "NP6", "NCOMP", "TOK", "TOK3", "NSORT", "UNIT", "PLOT", "ADDR_LOC"]
 QUERIES |= {f"keys_{k.lower()}": _keys_of(k, "enhanced") for k in KEYS_ENHANCED}
+QUERIES |= {f"keys_enhanced_{k.lower()}": _keys_of(k, "enhanced") for k in KEYS_SHARED}
 
 
 @query
@@ -401,6 +458,12 @@ def metrics_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.summary(_counts(spark, sf_dir).join(land, "source1_id"), ["norm_country"]).select("norm_country", "macro_f05", "micro_f05", "total_evaluated_s1")
 
 
+@query
+def metrics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passing = decide.threshold(_scored(spark, sf_dir), 0.6)
+    return metrics.by_source(passing, _truth(spark, sf_dir), _required(spark, sf_dir)).select("candidate_source", *MACRO, *MICRO)
+
+
 def _labelled(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     return features.labelled(_scored(spark, sf_dir, rows), _truth(spark, sf_dir))
 
@@ -508,6 +571,70 @@ def validator_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
+@query
+def validator_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that whole files break, each over files of its own: header, emptiness, absence, candidates."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    required = customers.select(F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("source1_id"))
+    key = F.col("c_custkey").cast("string")
+    lines = {
+        "good": F.concat(F.lit("S1-"), key, F.lit("\tS2-"), key, F.when(F.col("c_custkey") % 5 == 0, ",S2-7").otherwise("")),
+        "given": F.concat(F.lit("S1-"), key, F.lit("\tS2-"), key),
+    }
+    tab, comma = "source1_entity_id\t{}", "source1_entity_id,matched_entity_ids"
+    files = {
+        "good": (tab.format("matched_entity_ids"), lines["good"]),
+        "given": (tab.format("candidate_entity_ids"), lines["given"]),
+        "commas": (comma, lines["good"]),
+        "header": (tab.format("ids"), lines["good"]),
+        "empty": (None, None),
+    }
+    paths = {"absent": stage.place(spark, "absent")}
+    for name, (head, body) in files.items():
+        paths[name] = stage.place(spark, name)
+        rows = spark.createDataFrame([], "value string") if body is None else spark.createDataFrame([(head,)], "value string").unionByName(customers.select(body.alias("value")))
+        rows.coalesce(1).write.text(paths[name])  # one file, its header first
+    known = required.select(F.concat(F.lit("S2-"), F.substring("source1_id", 4, 20)).alias("entity_id"))
+    cases = [("good", "given", known), ("good", None, None), ("commas", "header", known), ("empty", "absent", known)]
+    out = None
+    for n, (matching, candidates, ids) in enumerate(cases):
+        made = validate.validate(spark, paths[matching], required, None if candidates is None else paths[candidates], ids)
+        made = made.groupBy("rule", "severity").agg(F.count("*").alias("n")).select(F.lit(n).alias("case"), "rule", "severity", "n")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+# --- a second view: heads of prose documents -------------------------------
+
+
+def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.normalized(views.documents(spark, sf_dir))
+
+
+@query
+def prose_norm_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prose(spark, sf_dir).select("entity_id", ascii_fold(F.col("norm_name")).alias("norm_name"), ascii_fold(F.col("core_name")).alias("core_name"))
+
+
+@query
+def prose_norm_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prose(spark, sf_dir).select("entity_id", ascii_fold(F.col("norm_addr")).alias("norm_addr"))
+
+
+@query
+def prose_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of repeated heads: the cap of 20 rows drops the largest."""
+    return blocking.candidates(_prose(spark, sf_dir), blocking.COUNTED, max_block=20, k=10, column=blocking.key_array({"name_prefix_4", "name_prefix_6", "name_compressed", "name_tokens"})).select("source1_id", "candidate_id", "blocking_score", "blocking_rank")
+
+
+@query
+def is_indic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names beside the same names with a word of an Indic script after every third."""
+    scripts = F.array(*[F.lit(w) for w in ("टेक", "বাংলা", "ਪੰਜਾਬ", "ગુજ", "தமிழ்", "తెలుగు", "ಕನ್ನಡ", "മലയാളം")])
+    name = F.when(F.col("number") % 3 == 0, F.concat("business_name", F.lit(" "), F.element_at(scripts, (F.col("number") % 8 + 1).cast("int")))).otherwise(F.col("business_name"))
+    return views.entities(spark, sf_dir).select("entity_id", text_is_indic(name).alias("is_indic"))
+
+
 # --- models ----------------------------------------------------------------
 
 
@@ -541,6 +668,21 @@ def _model(kind: str) -> Query:
 QUERIES |= {"logreg_scores": _model(model.LOGISTIC), "forest_scores": _model(model.FOREST), "gbt_scores": _model(model.BOOSTED_COMBINED)}
 
 
+@query
+def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the models (boosted ones take minutes each) at their best thresholds on held-out entities."""
+    train, held = _split(spark, sf_dir)
+    return model.choose(train, held, features.COMBINED_FEATURES, [model.LOGISTIC, model.FOREST])[3]
+
+
+@query
+def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each group of features is worth to a forest."""
+    train, held = _split(spark, sf_dir)
+    groups = {"name": features.NAME_FEATURES, "address": features.ADDRESS_FEATURES, "base": features.BASE_FEATURES, "combined": features.COMBINED_FEATURES}
+    return model.ablation(train, held, groups, model.FOREST)
+
+
 @query
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, names = _labelled_matrix(spark, sf_dir), features.COMBINED_FEATURES

@@ -41,6 +41,13 @@ SELECT 'S3-' || CAST(k AS STRING), 3, k,
 FROM p
 """
 
+#: Prose as entities: accented names, the same name at other addresses, missing addresses, most of them without a match.
+DOCUMENT_SQL = """
+SELECT 'S' || CAST(doc_id % 3 + 1 AS STRING) || '-' || CAST(doc_id AS STRING) AS entity_id, CAST(doc_id % 3 + 1 AS INT) AS source, doc_id AS number,
+       trim(substr(text, 1, 40)) AS business_name, trim(substr(text, 41, 80)) AS business_address, lang AS country
+FROM documents
+"""
+
 TRUTH_SQL = """
 SELECT 'S1-' || CAST(p_partkey AS STRING) AS source1_entity_id,
        CASE WHEN p_partkey % 5 <> 4 THEN ' S2-' || CAST(p_partkey AS STRING) || ',' ELSE '' END || CASE WHEN p_partkey % 4 <> 3 THEN 'S3-' || CAST(p_partkey AS STRING) ELSE '' END AS matched_entity_ids
@@ -48,8 +55,8 @@ FROM part
 """
 
 
-def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("FROM part", "FROM {part}"), part=stage.spread(spark.read.parquet(f"{sf_dir}/part.parquet")))
+def _run(spark: SparkSession, sf_dir: str, sql: str, table: str = "part") -> DataFrame:
+    return spark.sql(sql.replace(f"FROM {table}", "FROM {rows}"), rows=stage.spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,3 +67,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source1_entity_id and its comma-joined matches, empty for singletons."""
     return _run(spark, sf_dir, TRUTH_SQL)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns as ``entities`` from the heads of prose documents."""
+    return _run(spark, sf_dir, DOCUMENT_SQL, "documents")

@@ -5,7 +5,8 @@ from compare import duck_rows, spark_rows
 
 from corvane.catalog import ORACLE_SQL, QUERIES
 
-SLOW = {"logreg_scores", "forest_scores", "gbt_scores", "feature_importance", "strategy_benchmark", "miss_categories"}
+#: Models with production settings take minutes; tests of the operators fit small ones.
+SLOW = {"logreg_scores", "forest_scores", "gbt_scores", "feature_importance", "model_selection", "feature_ablation"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
