@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from corvane.functions import vocab
-from corvane.plans.views import DOCUMENT_SQL, ENTITY_SQL, TRUTH_SQL
+from corvane.plans.views import DOCUMENT_SQL, ENTITY_SQL, LOST, TRUTH_SQL
 
 
 def _q(value: str) -> str:
@@ -546,6 +546,10 @@ ORACLE_SQL |= {
 }
 
 
+_LOST = lambda i: f"replace(({_list([x[i] for x in LOST])})[p_partkey % {len(LOST)} + 1], ':', translate(p_partkey::VARCHAR, '0123456789', 'aeioubdmnt'))"
+ORACLE_SQL["miss_reasons_by_case"] = f"SELECT 'S1-' || p_partkey AS source1_id, 'S2-' || p_partkey AS candidate_id, {_LOST(0)} AS category, {_LOST(1)} AS source1_name, {_LOST(3)} AS candidate_name, {_LOST(2)} AS source1_address, {_LOST(4)} AS candidate_address FROM part"
+
+
 _RATIOS = {"name_token_sort_ratio", "name_token_set_ratio", "address_token_set_ratio"}
 _ENHANCED = _FEATURES | {
     "name_first_token_match": _flag("a.cw[1] = b.cw[1]"),

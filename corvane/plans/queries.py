@@ -535,6 +535,16 @@ def miss_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnose.miss_reasons(_truth(spark, sf_dir), blocking.candidates(rows, max_block=3, k=2), rows, 3).groupBy("category").agg(F.count("*").alias("n"))
 
 
+@query
+def miss_reasons_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs lost for every reason that can occur, with their names and addresses."""
+    rows = stage.written(blocking.normalized(views.lost(spark, sf_dir)), "rows")
+    truth = rows.where("source = 1").select(F.col("entity_id").alias("source1_id"), F.concat(F.lit("S2-"), F.col("number").cast("string")).alias("candidate_id"))
+    found = diagnose.miss_reasons(truth, truth.limit(0), rows, 3)
+    sided = diagnose.sided(found, rows)
+    return sided.select("source1_id", "candidate_id", "category", F.col("a.business_name").alias("source1_name"), F.col("b.business_name").alias("candidate_name"), F.col("a.business_address").alias("source1_address"), F.col("b.business_address").alias("candidate_address"))
+
+
 @query
 def error_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _staged(spark, sf_dir)
