@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.operators import stage
+
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all machines share: the session's ``spark.checkpoint.dir``.
+    """The folder that all machines share: the session's ``spark.checkpoint.dir``."""
+    return stage.folder(spark)
 
-    A local one is set only where none is configured (tests on one machine).
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
-    return sc.getCheckpointDir()
+
+def place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted when the program ends."""
+    return stage.place(spark, name)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a written folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Bytes of texts that a Python worker gets at once.

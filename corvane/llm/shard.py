@@ -31,7 +31,6 @@ other than doc_id and text are carried along, whatever their names.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -41,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
-from corvane.llm.runtime import cut, packed, scratch
+from corvane.llm.runtime import cut, packed, place
 
 SHARDS = 16
 #: Part of a shard's ideal bytes by which a splitter may miss.
@@ -189,14 +188,14 @@ def rows(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) ->
     shared = docs.sparkSession.sparkContext.broadcast(plan(cut(keyed(docs)), shards, tolerance))  # as long as the buckets
 
     @F.arrow_udf("bucket long, shard int")
-    def place(h: pa.Array, doc_id: pa.Array, salt: pa.Array) -> pa.Array:
+    def placing(h: pa.Array, doc_id: pa.Array, salt: pa.Array) -> pa.Array:
         own = shared.value
         at = own.place(h.to_numpy(zero_copy_only=False), doc_id.fill_null(_LOW).to_numpy(zero_copy_only=False), salt.to_numpy(zero_copy_only=False))
         return pa.StructArray.from_arrays([pa.array(at), pa.array(own.shard[at].astype(np.int32))], names=["bucket", "shard"])
 
     whole = docs.select(F.struct("*").alias("row"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 40)).alias("salt"))
     keyed_rows = whole.withColumns({"doc_id": F.col("row.doc_id").cast("long"), "h": F.xxhash64(_text(F.col("row.text")))})
-    placed = keyed_rows.withColumn("place", place("h", "doc_id", "salt")).select("row", "doc_id", "h", "place.*")
+    placed = keyed_rows.withColumn("place", placing("h", "doc_id", "salt")).select("row", "doc_id", "h", "place.*")
     rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "doc_id"))
     return placed.select("shard", "bucket", rank.cast("long").alias("rank"), "row")
 
@@ -214,7 +213,7 @@ def write(docs: DataFrame, folder: str, shards: int = SHARDS, tolerance: float =
 
 def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row, from the written shards."""
-    text, found = F.col("row.text"), write(docs, f"{scratch(docs.sparkSession)}/shards-{uuid.uuid4().hex}", shards, tolerance)
+    text, found = F.col("row.text"), write(docs, place(docs.sparkSession, "shards"), shards, tolerance)
     return found.select(
         F.col("row.doc_id").cast("long").alias("doc_id"),
         _size(text).alias("size"),

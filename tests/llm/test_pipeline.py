@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import edge
 
 import corpus_pipeline
@@ -34,6 +36,28 @@ def test_stages_handle_odd_tables(spark, sf_dir):
         assert docs.count() <= table.count()
 
 
+def test_stages_on_odd_rows_give_defined_values(spark, sf_dir):
+    docs = edge.documents(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    single = stages["jaccard_join"](spark, docs, sf_dir)
+    assert single.columns == docs.columns
+    ids = sorted(r["doc_id"] for r in single.where("doc_id is not null").collect())
+    assert ids == [0, 1, 2, 3, 4, 8, 9, 10, 11] and single.where("doc_id is null").count() == 2
+    clean = stages["decontamination"](spark, docs, sf_dir)
+    assert edge.collected(clean) == edge.collected(docs)  # nothing of the benchmark is in these rows
+    encoded = edge.by_id(stages["sentencepiece"](spark, docs, sf_dir))
+    assert [encoded[k]["n_tokens"] for k in (0, 1)] == [0, 0]
+
+
+def test_run_leaves_only_its_last_table(spark, tmp_path, sf_dir):
+    from corvane.operators import stage
+
+    before = set(Path(stage.folder(spark).removeprefix("file:")).iterdir())
+    made = corpus_pipeline.run(spark, sf_dir)
+    names = {p.name.rsplit("-", 1)[0] for p in set(Path(stage.folder(spark).removeprefix("file:")).iterdir()) - before}
+    assert made.count() > 0 and names & {n for n, _ in corpus_pipeline.STAGES} == {"sentencepiece"}
+
+
 def test_registered():
     import __spark_entry__ as entry
 
