@@ -10,18 +10,25 @@ the last return the columns of ``documents``:
    that are mostly hit go;
 5. SentencePiece encoding and decoding: the digests of every text.
 
-The intermediate tables are written under the session's checkpoint folder.
+Each stage's table is written under the session's checkpoint folder and deleted
+once the next one is written; the last is deleted when the program ends.
+
+Cases, beside those of the operators: a null, empty or blank text is scored by
+the first two stages like any other, is no copy of anything, is never hit and
+has no tokens.  Very long texts are handled whole.  Of rows that share a doc_id
+one stays, the least by text; rows without a doc_id all stay in that stage.  An
+empty table gives an empty one.  Extra columns are carried along by all stages
+but the last, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import decontaminate, jaccard, pieces, quality, toxicity
-from corvane.llm.runtime import scratch
+from corvane.llm.runtime import drop, place
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +69,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = _table(spark, sf_dir, "documents"), f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = place(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            drop(spark, before)
+        before = path
     return docs
