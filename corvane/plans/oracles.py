@@ -546,6 +546,11 @@ ORACLE_SQL |= {
 }
 
 
+ORACLE_SQL["miss_categories"] = _statement(
+    ["truth", "shared"],
+    f"""SELECT category, count(*) AS n FROM (SELECT CASE WHEN k = 0 THEN 'key pruned' WHEN k > 0 THEN 'truncated by top-k' ELSE 'no key' END AS category FROM (SELECT * FROM truth ANTI JOIN {_NARROW} USING (source1_id, candidate_id))
+        LEFT JOIN (SELECT source1_id, candidate_id, count(*) FILTER (size <= 3) AS k FROM shared GROUP BY ALL) USING (source1_id, candidate_id)) GROUP BY category""",
+)
 _LOST = lambda i: f"replace(({_list([x[i] for x in LOST])})[p_partkey % {len(LOST)} + 1], ':', translate(p_partkey::VARCHAR, '0123456789', 'aeioubdmnt'))"
 ORACLE_SQL["miss_reasons_by_case"] = f"SELECT 'S1-' || p_partkey AS source1_id, 'S2-' || p_partkey AS candidate_id, {_LOST(0)} AS category, {_LOST(1)} AS source1_name, {_LOST(3)} AS candidate_name, {_LOST(2)} AS source1_address, {_LOST(4)} AS candidate_address FROM part"
 
