@@ -92,12 +92,13 @@ def _made(a: Side, b: Side, names: list[str], weights: Column | None = None) ->
 
 
 def lookup(rows: DataFrame, variant: str = "base", names: list[str] | None = None) -> DataFrame:
-    """(entity_id, e): the fields of each normalised row that the named features (all of them by default) use."""
+    """(entity_id, e, and source if given): the fields of each normalised row that the named features (all of them by default) use."""
     a, b = Side("a"), Side("b")
     _made(a, b, names or (ENHANCED_FEATURES if variant == "enhanced" else COMBINED_FEATURES))
     known = _fields(variant)
     fields = [known[k]().alias(k) for k in known if k in a.used | b.used]
-    return rows.select("entity_id", F.struct(*fields or [F.lit(True).alias("known")]).alias("e"))
+    known_source = ["source"] if "source" in rows.columns else []
+    return rows.select("entity_id", *known_source, F.struct(*fields or [F.lit(True).alias("known")]).alias("e"))
 
 
 def document_frequency(rows: DataFrame) -> DataFrame:
@@ -112,9 +113,13 @@ def token_idf(rows: DataFrame) -> DataFrame:
 
 
 def attach(pairs: DataFrame, fields: DataFrame) -> DataFrame:
-    """Adds the two sides a and b (null where an id is unknown)."""
-    left = fields.select(F.col("entity_id").alias("source1_id"), F.col("e").alias("a"))
-    right = fields.select(F.col("entity_id").alias("candidate_id"), F.col("e").alias("b"))
+    """Adds the two sides a and b (null where an id is unknown).
+
+    Where ``fields`` have a source column, each side makes the fields of its own sources alone.
+    """
+    own, others = (fields.where("source = 1"), fields.where("source <> 1")) if "source" in fields.columns else (fields, fields)
+    left = own.select(F.col("entity_id").alias("source1_id"), F.col("e").alias("a"))
+    right = others.select(F.col("entity_id").alias("candidate_id"), F.col("e").alias("b"))
     return pairs.join(left, "source1_id", "left").join(right, "candidate_id", "left")
 
 

@@ -60,7 +60,7 @@ def _scored(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) ->
     """Ranked candidates with the deterministic probability and both sides' fields."""
     rows = _staged(spark, sf_dir) if rows is None else rows
     pairs = blocking.candidates(rows)
-    fields = rows.select("entity_id", F.struct("business_name", "norm_name", "core_name", "norm_addr", "norm_country", base.building_no(F.col("norm_addr")).alias("building")).alias("e"))
+    fields = rows.select("entity_id", "source", F.struct("business_name", "norm_name", "core_name", "norm_addr", "norm_country", base.building_no(F.col("norm_addr")).alias("building")).alias("e"))
     out = features.attach(pairs, fields)
     a, b = F.col("a"), F.col("b")
     out = out.withColumns({"name_levenshtein": sim.levenshtein(a["norm_name"], b["norm_name"]), "address_levenshtein": sim.levenshtein(a["norm_addr"], b["norm_addr"])})
