@@ -20,7 +20,8 @@ combinations grow with the prefix and not with its square.
    that blobs stay long and their number follows the input and not its square.  The others can't link anything, yet they
    count in a prefix: a document with more than e of them is settled.
 3. The rest, equal sets as one class, are indexed by their prefixes' singles
-   and pairs; lists of one fall away.
+   and pairs; lists of one fall away.  A table of bits tells most equals before
+   signatures are made, an anti-join the others.
 4. Long lists are worked in blocks.  Every member has one home block, that of
    its longest list, in which all pairs are compared; then members outside a
    list's main component are compared with the home blocks of all its members.
@@ -70,6 +71,8 @@ ONE_LEVEL = 256
 LONG, BLOCK, BLOCK_TOKENS = 64, 1024, 4_000_000
 #: Pairs that are few enough to be sent to every task instead of moving the sets (16 bytes each).
 FEW_PAIRS = 15_000
+#: Bits that tell most sets that have a standing equal, a fixed 1 MB, and those of a page.
+STANDING, PAGE = 1 << 23, 1 << 13
 #: Pivots of a list in the first round, and how many times as many in each next one.
 PIVOTS, GROWTH = 2, 8
 
@@ -146,6 +149,11 @@ _BLOBS = "bucket long, chunk long, kind int, tokens binary, at binary"
 _HASHES = 1 << 63
 
 
+def _home(number: int, buckets: int) -> int:
+    """The range that carries a chunk's own rows: chunks are dealt over all ranges, whatever the number of ranges has as factors."""
+    return ((number >> 32) + (number & 0xFFFFFFFF)) % buckets
+
+
 def _limits(first: int, n: int, width: int) -> np.ndarray:
     return _U(first) + np.arange(n + 1, dtype=_U) * _U(width)
 
@@ -179,8 +187,8 @@ def tokens(docs: DataFrame, buckets: int, width: int | None = None) -> DataFrame
                 for b in np.flatnonzero(np.diff(which)):
                     rows.append((int(b), number, kind, _pack(values[which[b] : which[b + 1]]), b"" if places is None else places[which[b] : which[b + 1]].tobytes()))
             if hot.any():
-                rows.append((number % buckets, number, 3, _pack(every[hot]), at[hot].tobytes()))
-            rows.append((number % buckets, number, 1, np.concatenate(ids).tobytes(), n.astype(np.uint32).tobytes()))
+                rows.append((_home(number, buckets), number, 3, _pack(every[hot]), at[hot].tobytes()))
+            rows.append((_home(number, buckets), number, 1, np.concatenate(ids).tobytes(), n.astype(np.uint32).tobytes()))
             held, ids, sizes, total = [], [], [], 0
             number += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "kind", "tokens", "at"])
@@ -225,7 +233,7 @@ def _narrowed(fan: int, width: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket, group = (int(k.as_py()) for k in key)
         kinds, chunks, blobs, places = (table.column(n).to_pylist() for n in ("kind", "chunk", "tokens", "at"))
-        rows = [(bucket * fan + c % fan, c, k, t, a, b"") for c, k, t, a in zip(chunks, kinds, blobs, places, strict=True) if k in (1, 3)]
+        rows = [(bucket * fan + _home(c, fan), c, k, t, a, b"") for c, k, t, a in zip(chunks, kinds, blobs, places, strict=True) if k in (1, 3)]
         limits = _limits(bucket * fan * width, fan, width)
         own = [i for i, k in enumerate(kinds) if k == 0]
         units = sorted({chunks[i] for i in own})
@@ -389,18 +397,45 @@ def signatures(n: int, alone: int, row: np.ndarray, counts: np.ndarray) -> np.nd
     return np.unique(np.concatenate(out))
 
 
-def _index(sets: DataFrame) -> DataFrame:
-    """(signature, doc, n, same): every signature of every set that may link; ``same`` tells equal sets' mark, else 0."""
+def _standing(rows: DataFrame) -> np.ndarray:
+    """STANDING bits, packed: those of the rows that stand for equal sets.  A set of a mark whose bit is 0 is surely another's equal."""
+    own = rows.where("same <> 0 and doc_id = class_id").select(_bit("doc_id").alias("bit"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bits = np.zeros(PAGE, bool)
+        bits[table.column("bit").to_numpy() % PAGE] = True
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["page", "bits"])
+
+    out = np.zeros(STANDING // 8, np.uint8)
+    for page, bits in own.distinct().withColumn("page", F.floor(F.col("bit") / PAGE)).groupBy("page").applyInArrow(run, "page long, bits binary").collect():
+        out[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(bytes(bits), np.uint8)
+    return out
+
+
+def _bit(doc: str) -> Column:
+    return F.pmod(F.xxhash64(doc, "same"), F.lit(STANDING))
+
+
+def _index(sets: DataFrame, standing: np.ndarray) -> DataFrame:
+    """(signature, doc, n, same): every signature of every set that may link; ``same`` tells equal sets' mark, else 0.
+
+    Sets that surely have a standing equal are passed over; some others of them remain.
+    """
+    known = sets.sparkSession.sparkContext.broadcast(standing)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            same, bit = (tx.column(batch, c).to_numpy() for c in ("same", "bit"))
+            stands = (same == 0) | (known.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1 > 0)
+            batch = batch.filter(pa.array(stands))
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500).to_pylist()
                 found = [signatures(r["n"], r["alone"], np.frombuffer(r["tokens"], _U), np.frombuffer(r["counts"], np.uint8)) for r in part]
                 docs, n, same = (np.repeat(np.array([r[c] for r in part], np.int64), [len(x) for x in found]) for c in ("doc", "n", "same"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(docs), pa.array(n), pa.array(same)], names=["signature", "doc", "n", "same"])
 
-    return sets.select("doc", "n", "alone", "tokens", "counts", _same().alias("same")).mapInArrow(run, "signature long, doc long, n long, same long")
+    marked = sets.select("doc", "n", "alone", "tokens", "counts", _same().alias("same"))
+    return marked.withColumn("bit", _bit("doc")).mapInArrow(run, "signature long, doc long, n long, same long")
 
 
 def _same() -> Column:
@@ -570,7 +605,7 @@ def join(docs: DataFrame) -> DataFrame:
     # one row stands for each class: its equals' signatures go, their sets never move
     sets = every.where("tokens is not null").withColumnRenamed("doc_id", "doc")
     gone = rows.where("doc_id <> class_id").select(F.col("doc_id").alias("doc"), "same").distinct()
-    index = _index(sets).join(gone, ["doc", "same"], "left_anti").drop("same")
+    index = _index(sets, _standing(rows)).join(gone, ["doc", "same"], "left_anti").drop("same")
     twice = rows.groupBy("doc_id").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least <> most or least <> doc_id and most = doc_id")
     ties = rows.join(twice.select("doc_id", "least"), "doc_id").select("class_id", "least")
     found = _linked(index, sets, ties)

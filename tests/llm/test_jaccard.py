@@ -231,3 +231,22 @@ def test_blobs_grow_with_the_input_and_not_its_square(spark, monkeypatch, short_
     for level in (0, 1):
         assert made[1600][level] < 1.3 * growth**1.5 * made[100][level]
         assert made[1600][level] < made[1600][2] / 2
+
+
+def test_chunks_rows_are_dealt_over_all_ranges():
+    for buckets in (8, 64, 96, 100):
+        homes = {op._home(task << 32 | n, buckets) for task in range(buckets) for n in range(2)}
+        assert homes == set(range(buckets))
+
+
+def test_equal_sets_of_several_chunks_are_indexed_once(spark):
+    texts = [" ".join(f"w{k * k % 97}x{j}" for k in range(30)) for j in range(3)]
+    docs = spark.createDataFrame([(i, texts[i % 3]) for i in range(60)], "doc_id long, text string").repartition(6)
+    every = op.exchanged(docs, 1).groupBy("chunk").applyInArrow(op._sets, op._SETS).cache()
+    sets = every.where("tokens is not null").withColumnRenamed("doc_id", "doc")
+    least = every.groupBy("mark").agg(F.min("doc_id").alias("class_id"))
+    rows = every.join(least, "mark").select("doc_id", "class_id", op._same().alias("same"))
+    assert sets.count() > 3
+    made = op._index(sets, op._standing(rows))
+    assert {r["doc"] for r in made.select("doc").distinct().collect()} == {0, 1, 2}
+    assert {r["component_id"] for r in op.join(docs).collect()} == {0, 1, 2}
