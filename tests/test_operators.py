@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from corvane.operators import blocking, decide, diagnose, features, metrics, model, validate
+from corvane.plans import queries
 from corvane.sources import readers, writers
 
 ENTITY = "entity_id string, source int, business_name string, business_address string, country string"
@@ -175,3 +176,14 @@ def test_models_learn_choose_and_reload(spark, tmp_path):
     old, new = (sorted(r["match_probability"] for r in model.score(m, rows, t, 6).collect()) for m in (fitted, again))
     assert old == new
     assert model.importances(spark, fitted, names).count() == 2
+
+
+def test_the_split_for_models_moves_no_features(spark, sf_dir, capsys):
+    train, held = queries._split(spark, sf_dir)
+    for side in (train, held):
+        side.explain("simple")
+    plan = capsys.readouterr().out
+    assert "Scan parquet" in plan and "Exchange" not in plan and "Join" not in plan
+    sides = metrics.group_split(train.unionByName(held), 0.2).collect()
+    assert {r["source1_id"] for r in sides if r["held_out"]} == {r["source1_id"] for r in held.select("source1_id").distinct().collect()}
+    assert train.count() and {r["label"] for r in train.select("label").distinct().collect()} == {0, 1}
