@@ -16,8 +16,10 @@ neighbouring notices are told apart.  Lines of more than 2 * REACH words are
 only read in runs.  Each confirmed line is a licence; a confirmed run adds one
 if no line of the text and no earlier run has confirmed its family.
 
-Only what no template could confirm is passed over: ``gate`` has for each
-template one key word, and what lacks all of them lacks a key of every template.
+The classifier judges every paragraph, run and line.  What it takes for a
+licence and no template confirms is unconfirmed; of the unconfirmed runs of a
+family the first counts, if no line has the family and no run confirms it.
+What only a template fits is unconfirmed too, where it is a line.
 The scan itself is DataFrame expressions: no shuffle, no Python.
 
 Cases: a null or empty text has no paragraphs and no families.  Families of
@@ -347,7 +349,7 @@ def _grams(words: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_candidates (read by the classifier), n_licences, n_unconfirmed, families and the paragraphs read."""
+    """doc_id, n_paragraphs, n_candidates (what the classifier or a template takes for a licence), n_licences, n_unconfirmed, families and the paragraphs read."""
     own = model()
     weights = _literal({g: w.tolist() for g, w in zip(own.grams, own.weights, strict=True)}, "map<string,array<double>>")
     known = _literal(own.grams, "array<string>")
@@ -358,12 +360,8 @@ def scan(docs: DataFrame) -> DataFrame:
     by_family = _literal(each, f"map<string,array<{kind}>>")
     every = _literal([t for texts in each.values() for t in texts], f"array<{kind}>")
     vocabulary = _literal(sorted({g for texts in each.values() for t in texts for g in t["words"] + t["keys"]}), "array<string>")
-    gated = F.lit(f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, gate()))})(?![a-z0-9])")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    def able(x: Column) -> Column:
-        return F.rlike(F.lower(x), gated)
-
     def confirms(t: Column, hits: Column) -> Column:
         return (t["least"] <= F.size(hits)) & (F.size(F.array_intersect(t["keys"], hits)) == F.size(t["keys"])) & (F.size(F.array_intersect(t["words"], hits)) >= t["least"])
 
@@ -390,26 +388,29 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.struct(F.array_join(x["words"], " ").alias("paragraph"), family.alias("family"), (1 / total).alias("probability"), x["hits"].alias("hits"), x["line"].alias("line"))
 
     def settled(x: Column) -> Column:
-        sure = (x["probability"] >= LEAST_PROBABILITY) & (x["family"] != UNKNOWN) & F.exists(F.coalesce(F.try_element_at(by_family, x["family"]), F.array().cast(f"array<{kind}>")), lambda t: confirms(t, x["hits"]))
-        return F.struct(x["paragraph"].alias("paragraph"), x["family"].alias("family"), x["probability"].alias("probability"), sure.alias("confirmed"), x["line"].alias("line"))
+        told = (x["probability"] >= LEAST_PROBABILITY) & (x["family"] != UNKNOWN)
+        sure = told & F.exists(F.coalesce(F.try_element_at(by_family, x["family"]), F.array().cast(f"array<{kind}>")), lambda t: confirms(t, x["hits"]))
+        return F.struct(x["paragraph"].alias("paragraph"), x["family"].alias("family"), x["probability"].alias("probability"), sure.alias("confirmed"), x["line"].alias("line"), told.alias("told"), x["hits"].alias("hits"))
 
     blocks = F.filter(F.split(text, r"\n(?:[ \t\x0B\f\r]*\n)+"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blocks.alias("_blocks"), able(text).alias("_able"))
-    none = F.array().cast("array<string>")
-    df = df.withColumns({"n_paragraphs": F.size("_blocks").cast("long"), "_blocks": F.when(F.col("_able"), F.filter("_blocks", able)).otherwise(none)}).drop("_able")
-    lines = F.filter(F.flatten(F.transform("_blocks", lambda x: F.split(x, "\n"))), able)
-    df = df.withColumns({"_lines": F.filter(F.transform(lines, _tokens), lambda w: F.size(w) <= 2 * REACH), "_runs": F.flatten(F.transform(F.transform("_blocks", _tokens), runs))}).drop("_blocks")
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blocks.alias("_blocks")).withColumn("n_paragraphs", F.size("_blocks").cast("long"))
+    lines = F.transform(F.flatten(F.transform("_blocks", lambda x: F.split(x, "\n"))), _tokens)
+    df = df.withColumns({"_lines": F.filter(lines, lambda w: F.size(w).between(1, 2 * REACH)), "_runs": F.flatten(F.transform(F.transform("_blocks", _tokens), runs))}).drop("_blocks")
     df = df.withColumn("_read", F.concat(F.transform("_lines", lambda w: read(w, True)), F.transform("_runs", lambda w: read(w, False)))).drop("_lines", "_runs")
-    # no family can be confirmed where no template fits
-    df = df.withColumn("_read", F.filter("_read", lambda x: F.exists(every, lambda t: confirms(t, x["hits"]))))
     for step in (judged, named, settled):
         df = df.withColumn("_read", F.transform("_read", step))
-    df = df.withColumn("_own", F.transform(F.filter("_read", lambda x: x["line"] & x["confirmed"]), lambda x: x["family"]))
-    df = df.withColumn("_first", F.transform(F.filter("_read", lambda x: ~x["line"] & x["confirmed"]), lambda x: x["family"]))
-    df = df.withColumn("_runs", F.filter("_read", lambda x: ~x["line"] & x["confirmed"]))
+    # what the classifier takes for a licence, confirmed or not, and what a template fits though the classifier doesn't
+    df = df.withColumn("_read", F.filter("_read", lambda x: x["told"] | F.exists(every, lambda t: confirms(t, x["hits"]))))
+    for field, own, runs_of in (("confirmed", "_own", "_sure"), ("told", "_met", "_told")):
+        df = df.withColumn(own, F.transform(F.filter("_read", lambda x: x["line"] & x[field]), lambda x: x["family"]))  # noqa: B023
+        df = df.withColumn(runs_of, F.filter("_read", lambda x: ~x["line"] & x[field]))  # noqa: B023
     # of the runs of a family that no line confirms, the first stands for it
-    first = F.filter("_runs", lambda x, i: ~F.array_contains("_own", x["family"]) & (F.array_position("_first", x["family"]) == i + 1))
-    paragraphs = F.transform(F.concat(F.filter("_read", lambda x: x["line"]), first), lambda x: x.dropFields("line"))
+    df = df.withColumn("_first", F.transform("_sure", lambda x: x["family"]))
+    first = F.filter("_sure", lambda x, i: ~F.array_contains("_own", x["family"]) & (F.array_position("_first", x["family"]) == i + 1))
+    # and of those of a family that nothing confirms and no line has, the first is unconfirmed
+    df = df.withColumn("_second", F.transform("_told", lambda x: x["family"]))
+    second = F.filter("_told", lambda x, i: ~F.array_contains("_met", x["family"]) & ~F.array_contains("_first", x["family"]) & (F.array_position("_second", x["family"]) == i + 1))
+    paragraphs = F.transform(F.concat(F.filter("_read", lambda x: x["line"]), first, second), lambda x: x.dropFields("line", "told", "hits"))
     df = df.withColumn("paragraphs", paragraphs)
     sure = F.filter("paragraphs", lambda x: x["confirmed"])
     families = F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",")

@@ -391,6 +391,16 @@ def test_the_scan_has_no_exchange_and_no_python(spark, capsys):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
+def test_what_no_template_confirms_is_judged_too(spark):
+    texts = ["AGPL", "BSL 1.0", "the cat sat on the mat"]
+    rows, own, told = edge.by_id(licences.scan(edge.frame(spark, texts))), licences.model(), []
+    for k, text in enumerate(texts):
+        p = own.probabilities(licences.tokens(text))
+        told.append(own.classes[int(p.argmax())] != licences.UNKNOWN and p.max() >= licences.LEAST_PROBABILITY)
+        assert (rows[k]["n_licences"], rows[k]["n_unconfirmed"], rows[k]["families"]) == (0, int(told[-1]), "")
+    assert any(told) and not all(told)
+
+
 def test_licence_edges(spark):
     rows = licences.scan(edge.documents(spark)).collect()
     assert len(rows) == len(edge.rows()) and not any(r["families"] or r["n_candidates"] for r in rows)
