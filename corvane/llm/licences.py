@@ -16,7 +16,9 @@ neighbouring notices are told apart.  Lines of more than 2 * REACH words are
 only read in runs.  Each confirmed line is a licence; a confirmed run adds one
 if no line of the text and no earlier run has confirmed its family.
 
-The classifier judges every paragraph, run and line.  What it takes for a
+The classifier judges every paragraph, run and line: first by a bound on its
+margin (the largest weights of the grams beyond those of "unknown"), and what
+the bound can't tell from a licence by the sums of all classes.  What it takes for a
 licence and no template confirms is unconfirmed; of the unconfirmed runs of a
 family the first counts, if no line has the family and no run confirms it.
 What only a template fits is unconfirmed too, where it is a line.
@@ -33,6 +35,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -46,6 +49,8 @@ UNKNOWN = "unknown"
 REACH = 24
 #: Words from one short run to the next.
 STEP = 8
+#: Parts of the table of words, each looked through from its beginning.
+BUCKETS = 64
 
 #: Notices by family with their key grams in brackets (fixed values: the usual wording of public licences).
 NOTICES = {
@@ -339,8 +344,8 @@ def _literal(value: object, kind: str) -> Column:
 
 
 def _tokens(line: Column) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(F.lower(line), "[^a-z0-9.]+", " "), r"\.(?=[^a-z0-9]|$)", " ")
-    return F.filter(F.split(clean, " "), lambda w: w != "")
+    """As ``tokens``, in one pass: a dot belongs to a word if a letter or digit follows."""
+    return F.regexp_extract_all(F.lower(line), F.lit(r"(?:\.?[a-z0-9]++)++"), F.lit(0))
 
 
 def _grams(words: Column) -> Column:
@@ -348,39 +353,80 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+class Numbers:
+    """The model's grams by number: 0 is any other word, then the words that they consist of, then the pairs.
+
+    ``weights`` has a row for each number, and ``most`` the largest weight of a
+    family beyond that of UNKNOWN there: their sum bounds every family's margin.
+    """
+
+    def __init__(self, own: Model) -> None:
+        self.words = sorted({w for g in own.grams for w in g.split()})
+        number = {g: i for i, g in enumerate([*self.words, *(g for g in own.grams if " " in g)], 1)}
+        self.buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+        self.pairs: list[dict[str, int]] = [{} for _ in range(len(self.words) + 1)]
+        self.weights = np.zeros((len(number) + 1, len(own.classes)))
+        for w in self.words:
+            self.buckets[zlib.crc32(w.encode()) % BUCKETS][w] = number[w]
+        for g, row in zip(own.grams, own.weights, strict=True):
+            self.weights[number[g]] = row
+            if " " in g:
+                first, second = g.split(" ")
+                self.pairs[number[first]][str(number[second])] = number[g]
+        self.most = (self.weights[:, :-1] - self.weights[:, -1:]).max(1)
+        self.bias = float((own.bias[:-1] - own.bias[-1]).max())
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, n_candidates (what the classifier or a template takes for a licence), n_licences, n_unconfirmed, families and the paragraphs read."""
     own = model()
-    weights = _literal({g: w.tolist() for g, w in zip(own.grams, own.weights, strict=True)}, "map<string,array<double>>")
-    known = _literal(own.grams, "array<string>")
+    numbers = Numbers(own)
+    weights = _literal(numbers.weights.tolist(), "array<array<double>>")
+    most = _literal(numbers.most.tolist(), "array<double>")
+    buckets, pairs = (_literal(maps, "array<map<string,int>>") for maps in (numbers.buckets, numbers.pairs))
     bias = _literal(own.bias.tolist(), "array<double>")
     names = _literal(own.classes, "array<string>")
     kind = "struct<words:array<string>,keys:array<string>,least:int>"
     each = {f: [{"words": t.words, "keys": t.keys, "least": t.least} for t in texts] for f, texts in TEMPLATES.items()}
     by_family = _literal(each, f"map<string,array<{kind}>>")
     every = _literal([t for texts in each.values() for t in texts], f"array<{kind}>")
-    vocabulary = _literal(sorted({g for texts in each.values() for t in texts for g in t["words"] + t["keys"]}), "array<string>")
+    vocabulary = sorted({g for texts in each.values() for t in texts for g in t["words"] + t["keys"]})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def confirms(t: Column, hits: Column) -> Column:
         return (t["least"] <= F.size(hits)) & (F.size(F.array_intersect(t["keys"], hits)) == F.size(t["keys"])) & (F.size(F.array_intersect(t["words"], hits)) >= t["least"])
 
-    def runs(words: Column) -> Column:
-        def of(size: int, every: int) -> Column:
-            starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - every), F.lit(1)), F.lit(every))
-            return F.transform(starts, lambda i: F.slice(words, i, size))
+    def numbered(w: Column) -> Column:
+        return F.when(w.isin(numbers.words), F.try_element_at(F.get(buckets, (F.crc32(w) % BUCKETS).cast("int")), w)).otherwise(0)
 
-        return F.concat(of(2 * REACH, REACH), of(REACH, STEP))
+    def paired(of_words: Column) -> Column:
+        """The number of each word and the next one as a pair: none after the last."""
+        following = F.slice(of_words, 2, F.size(of_words))
+        return F.zip_with(of_words, following, lambda a, b: F.when((a > 0) & (b > 0), F.coalesce(F.try_element_at(F.get(pairs, a), b.cast("string")), F.lit(0))).otherwise(0))
+
+    def distinct(of_words: Column, of_pairs: Column) -> Column:
+        return F.array_remove(F.array_distinct(F.concat(of_words, of_pairs)), 0)
+
+    def near(found: Column) -> Column:
+        """Whether some family's margin over UNKNOWN may reach zero: without that no family has the least probability."""
+        return F.aggregate(found, F.lit(numbers.bias), lambda acc, g: acc + F.get(most, g)) > -1e-6
+
+    def lines(block: Column) -> Column:
+        own_words = F.transform(F.split(block, "\n"), _tokens)
+        return F.transform(own_words, lambda w: F.struct(w.alias("words"), F.transform(w, numbered).alias("numbers")))
+
+    def runs(x: Column) -> Column:
+        def of(size: int, every: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(x["words"]) - (size - every), F.lit(1)), F.lit(every))
+            return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), distinct(F.slice(x["numbers"], i, size), F.slice(x["pairs"], i, size - 1)).alias("found")))
 
-    def read(words: Column, of_line: bool) -> Column:
-        found = _grams(words)
-        return F.struct(words.alias("words"), found.alias("grams"), F.array_intersect(vocabulary, found).alias("hits"), F.lit(of_line).alias("line"))
+        met = F.filter(F.concat(of(2 * REACH, REACH), of(REACH, STEP)), lambda r: near(r["found"]))
+        return F.transform(met, lambda r: F.struct(F.slice(x["words"], r["at"], r["size"]).alias("words"), r["found"].alias("found"), F.lit(False).alias("line")))
 
     def judged(x: Column) -> Column:
-        """With family and probability, and whether a template of the family confirms it."""
-        rows = F.transform(F.array_intersect(x["grams"], known), lambda g: F.try_element_at(weights, g))
-        z = F.aggregate(rows, bias, lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
-        return F.struct(x["words"].alias("words"), x["hits"].alias("hits"), x["line"].alias("line"), z.alias("z"), F.array_max(z).alias("top"))
+        """With the classes' sums and the grams of templates."""
+        z = F.aggregate(x["found"], bias, lambda acc, g: F.zip_with(acc, F.get(weights, g), lambda a, b: a + b))
+        return F.struct(x["words"].alias("words"), F.filter(_grams(x["words"]), lambda g: g.isin(vocabulary)).alias("hits"), x["line"].alias("line"), z.alias("z"))
 
     def named(x: Column) -> Column:
         total = F.aggregate(x["z"], F.lit(0.0), lambda acc, v: acc + F.exp(v - x["top"]))
@@ -388,19 +434,25 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.struct(F.array_join(x["words"], " ").alias("paragraph"), family.alias("family"), (1 / total).alias("probability"), x["hits"].alias("hits"), x["line"].alias("line"))
 
     def settled(x: Column) -> Column:
+        """With whether the classifier takes it for a licence and a template of the family confirms it."""
         told = (x["probability"] >= LEAST_PROBABILITY) & (x["family"] != UNKNOWN)
         sure = told & F.exists(F.coalesce(F.try_element_at(by_family, x["family"]), F.array().cast(f"array<{kind}>")), lambda t: confirms(t, x["hits"]))
         return F.struct(x["paragraph"].alias("paragraph"), x["family"].alias("family"), x["probability"].alias("probability"), sure.alias("confirmed"), x["line"].alias("line"), told.alias("told"), x["hits"].alias("hits"))
 
     blocks = F.filter(F.split(text, r"\n(?:[ \t\x0B\f\r]*\n)+"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blocks.alias("_blocks")).withColumn("n_paragraphs", F.size("_blocks").cast("long"))
-    lines = F.transform(F.flatten(F.transform("_blocks", lambda x: F.split(x, "\n"))), _tokens)
-    df = df.withColumns({"_lines": F.filter(lines, lambda w: F.size(w).between(1, 2 * REACH)), "_runs": F.flatten(F.transform(F.transform("_blocks", _tokens), runs))}).drop("_blocks")
-    df = df.withColumn("_read", F.concat(F.transform("_lines", lambda w: read(w, True)), F.transform("_runs", lambda w: read(w, False)))).drop("_lines", "_runs")
-    for step in (judged, named, settled):
-        df = df.withColumn("_read", F.transform("_read", step))
-    # what the classifier takes for a licence, confirmed or not, and what a template fits though the classifier doesn't
-    df = df.withColumn("_read", F.filter("_read", lambda x: x["told"] | F.exists(every, lambda t: confirms(t, x["hits"]))))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blocks.alias("_blocks"))
+    df = df.select("doc_id", F.size("_blocks").cast("long").alias("n_paragraphs"), F.transform("_blocks", lines).alias("_blocks"))
+    of_lines = F.filter(F.flatten("_blocks"), lambda x: F.size(x["words"]).between(1, 2 * REACH))
+    of_lines = F.transform(of_lines, lambda x: F.struct(x["words"].alias("words"), distinct(x["numbers"], paired(x["numbers"])).alias("found"), F.lit(True).alias("line")))
+    # a line that has no gate word is confirmed by no template
+    of_lines = F.filter(of_lines, lambda x: near(x["found"]) | F.exists(x["words"], lambda w: w.isin(gate())))
+    whole = F.transform("_blocks", lambda b: F.struct(F.flatten(b["words"]).alias("words"), F.flatten(b["numbers"]).alias("numbers")))
+    whole = F.transform(whole, lambda x: F.struct(x["words"].alias("words"), x["numbers"].alias("numbers"), paired(x["numbers"]).alias("pairs")))
+    read = F.transform(F.concat(of_lines, F.flatten(F.transform(whole, runs))), judged)
+    read = F.transform(read, lambda x: x.withField("top", F.array_max(x["z"])))
+    df = df.select("doc_id", "n_paragraphs", F.transform(F.transform(read, named), settled).alias("_read"))
+    # what the classifier takes for a licence, confirmed or not, and the lines that a template fits though the classifier doesn't
+    df = df.withColumn("_read", F.filter("_read", lambda x: x["told"] | (x["line"] & F.exists(every, lambda t: confirms(t, x["hits"])))))
     for field, own, runs_of in (("confirmed", "_own", "_sure"), ("told", "_met", "_told")):
         df = df.withColumn(own, F.transform(F.filter("_read", lambda x: x["line"] & x[field]), lambda x: x["family"]))  # noqa: B023
         df = df.withColumn(runs_of, F.filter("_read", lambda x: ~x["line"] & x[field]))  # noqa: B023

@@ -8,6 +8,7 @@ import edge
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import language, licences, pseudolik, quality, toxicity
 from corvane.llm import text as tx
@@ -401,6 +402,22 @@ def test_what_no_template_confirms_is_judged_too(spark):
     assert any(told) and not all(told)
 
 
+def test_licence_bound_passes_over_no_licence(spark):
+    own, docs = licences.model(), edge.frame(spark, ["Mr. X.. said: v2.0 .net a.b..c ... Straße\tMIT_license." + "x." * 50_000 + "1" * 200_000, "No.", ".", ""])
+    assert [r["w"] for r in docs.select("doc_id", licences._tokens(F.col("text")).alias("w")).orderBy("doc_id").collect()] == [licences.tokens(r["text"]) for r in docs.orderBy("doc_id").collect()]
+    numbers, rng, told = licences.Numbers(own), np.random.default_rng(4), 0
+    for _ in range(3_000):  # grams of all kinds at random: whatever has the least probability reaches the bound
+        words = [numbers.words[i] for i in rng.integers(0, len(numbers.words), int(rng.integers(1, 2 * licences.REACH)))]
+        code = [numbers.buckets[zlib.crc32(w.encode()) % licences.BUCKETS][w] for w in words]
+        found = {*code, *(n for a, b in zip(code, code[1:], strict=False) if (n := numbers.pairs[a].get(str(b))))}
+        p = own.probabilities(words)
+        assert np.allclose(own._softmax((numbers.weights[sorted(found)].sum(0) + own.bias)[None])[0], p)
+        if own.classes[int(p.argmax())] != licences.UNKNOWN and p.max() >= licences.LEAST_PROBABILITY:
+            told += 1
+            assert numbers.bias + numbers.most[sorted(found)].sum() >= 0
+    assert 100 < told < 2_900
+
+
 def test_licence_edges(spark):
     rows = licences.scan(edge.documents(spark)).collect()
     assert len(rows) == len(edge.rows()) and not any(r["families"] or r["n_candidates"] for r in rows)
