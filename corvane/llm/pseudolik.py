@@ -48,6 +48,8 @@ BUCKETS = 1 << 14
 SIDE, HIDDEN = 3, 20
 #: Tokens of one step, rate of the steps, and tokens that one part should have.
 STEP_TOKENS, RATE, PART_TOKENS = 20_000, 0.3, 3_000_000
+#: Levels of the tree that learn by products of whole matrices: all tokens meet few nodes there.
+DENSE = 5
 #: Longest run of bytes in one token.
 LONGEST = 64
 #: Counts that a task holds before it sends them on, blocks of parameter rows, and messages that are merged at once.
@@ -162,7 +164,8 @@ class Codes:
 
     ``paths[k]`` has, by token number, twice the node at depth k plus the branch
     taken; ``leaf`` orders tokens by depth and so that equal nodes are neighbours
-    at every depth; ``lean`` is each node's log-odds of branch 0.
+    at every depth; ``lean`` is each node's log-odds of branch 0; the first
+    ``above`` nodes are those of the first DENSE levels.
     """
 
     def __init__(self, words: list[tuple[int, int]], total: int) -> None:
@@ -207,7 +210,7 @@ class Codes:
             codes.append(code)
         codes, weights = np.array(codes, np.int64), weight[order]
         self.paths = np.zeros((int(length.max(initial=0)), self.size), np.int32)
-        lean, self.nodes = [], 0
+        lean, self.nodes, self.above = [], 0, 0
         for k, row in enumerate(self.paths):
             first = int(np.searchsorted(length, k, "right"))
             prefix, bit = codes[first:] >> (length[first:] - k), codes[first:] >> (length[first:] - k - 1) & 1
@@ -217,6 +220,7 @@ class Codes:
             side = [np.bincount(node, weights[first:] * (bit == b), len(edge)) for b in (0, 1)]
             lean.append(np.log(side[0] / side[1]))
             self.nodes += len(edge)
+            self.above = self.nodes if k < DENSE else self.above
         self.lean = np.concatenate([*lean, np.zeros(0)]).astype(np.float32)
 
     def numbered(self, texts: pa.Array) -> Numbered:
@@ -298,9 +302,23 @@ class Network:
         number, at = number[order], place[order]
         seen, every = self.hidden(row)
         hidden, length = every[at], codes.length[number]
-        back = np.zeros_like(hidden)
-        nodes, outputs, leans, times = [], [], [], []
-        for k in range(int(length.max(initial=0))):
+        deep = int(length.max(initial=0))
+        # the first levels at once: an error for each token and node, zero off the token's path
+        weights = self.outputs[: codes.above]
+        z = hidden @ weights.T
+        z += self.lean[: codes.above, 0]
+        errors, met = np.zeros_like(z), np.zeros(codes.above, np.int64)
+        for k in range(min(DENSE, deep)):
+            first = int(np.searchsorted(length, k, "right"))
+            step = codes.paths[k][number[first:]]
+            node, sign = step >> 1, (1 - 2 * (step & 1)).astype(np.float32)
+            met += np.bincount(node, minlength=codes.above)
+            cell = np.arange(first, len(number)) * codes.above + node
+            errors.reshape(-1)[cell] = -sign / (1 + np.exp(np.clip(sign * z.reshape(-1)[cell], -20, 20)))
+        back = errors @ weights
+        node = np.flatnonzero(met)
+        nodes, outputs, leans, times = [node], [(errors.T @ hidden)[node]], [errors.sum(0, dtype=np.float64)[node]], [met[node]]
+        for k in range(DENSE, deep):
             first = int(np.searchsorted(length, k, "right"))
             step, mine = codes.paths[k][number[first:]], hidden[first:]
             node = step >> 1

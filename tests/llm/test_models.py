@@ -503,6 +503,28 @@ def test_learned_gradient_is_the_slope_of_the_loss():
         assert n.min() > 0
 
 
+def test_first_levels_learn_as_the_deeper_ones_do():
+    codes = small_codes()
+    network, number = small_network(codes), np.random.default_rng(6).choice(np.flatnonzero(codes.length), 60).astype(np.int32)
+    assert codes.above == len({int(s) >> 1 for row in codes.paths[: pseudolik.DENSE] for s in row[codes.length > 0]}) < codes.nodes
+    tokens = pseudolik.Numbered(number, number, np.array([0, 60]), number[:0], number[:0])
+    ((_, _, number, row, place),) = pseudolik.parts(tokens, 100)
+    hidden = network.hidden(row)[1][place].astype(float)
+    slopes, leans, met = np.zeros(network.outputs.shape), np.zeros(codes.nodes), np.zeros(codes.nodes, int)
+    for h, n in zip(hidden, number, strict=True):
+        for step in codes.paths[: codes.length[n], n]:
+            sign = 1 - 2 * (int(step) & 1)
+            error = -sign / (1 + np.exp(sign * (network.outputs[step >> 1] @ h + network.lean[step >> 1, 0])))
+            slopes[step >> 1] += error * h
+            leans[step >> 1] += error
+            met[step >> 1] += 1
+    found = network.slopes(codes, number, row, place)
+    for name, want in (("outputs", slopes), ("lean", leans[:, None])):
+        at, slope, n = found[name]
+        assert sorted(at) == np.flatnonzero(met).tolist() and np.array_equal(n, met[at])
+        assert np.allclose(slope, want[at], atol=1e-4)
+
+
 def test_long_texts_are_worked_in_pieces_that_see_each_other():
     codes = small_codes()
     network = small_network(codes)
