@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from corvane.operators import boosting, model
+from corvane.plans import queries
 
 NAMES = ["x", "y", "z"]
 
@@ -77,3 +78,16 @@ def test_points_keep_the_weight_of_all_values():
     shares = np.diff([0.0, *[weights[values <= e].sum() / weights.sum() for e in ends], 1.0])
     assert len(ends) == 31 and shares.max() < 1.2 / 32
     assert boosting.edges(np.array([1.0, 2.0, 4.0]), np.ones(3), 32) == [1.5, 3.0] and boosting.edges(np.ones(1), np.ones(1), 32) == []
+
+
+def test_gbt_scores_learns_its_300_trees_in_a_few_jobs_and_scores_every_pair(spark, sf_dir, monkeypatch):
+    made, whole = [], model.fit
+    monkeypatch.setattr(model, "fit", lambda *a, **k: made.append(whole(*a, **k)) or made[-1])
+    rows = []
+    assert _jobs(spark, lambda: rows.extend(queries.QUERIES["gbt_scores"](spark, sf_dir).collect())) < 150
+    last = made[0].stages[-1]
+    assert last.getNumTrees == 300 and last.treeWeights[:2] == [1.0, 0.06]
+    pairs = {(r["source1_id"], r["candidate_id"]) for r in queries._split(spark, sf_dir)[1].select("source1_id", "candidate_id").collect()}
+    assert pairs and pairs == {(r["source1_id"], r["candidate_id"]) for r in rows} and len(rows) == len(pairs)
+    right = sum(r["label"] == r["predicted_match"] for r in rows)
+    assert right > 0.9 * len(rows)
