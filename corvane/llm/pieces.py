@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -38,6 +39,8 @@ BLANK = "▁"
 
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]*")
 NORMAL, UNKNOWN, CONTROL, BYTE = "normal", "unknown", "control", "byte"
+#: Stands for a control id: no text has this byte, and bytes before and after it make no character together.
+ENDS = b"\xff"
 
 
 class Pieces:
@@ -68,7 +71,7 @@ class Pieces:
         for i, (p, _, k) in enumerate(self.rows):
             if k == BYTE:
                 self.bytes[int(p[3:5], 16)] = i
-            self.output.append(bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(BLANK, " ").encode())
+            self.output.append(bytes([int(p[3:5], 16)]) if k == BYTE else ENDS if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(BLANK, " ").encode())
         self.written = [str(i) for i in range(len(self.rows))]
         self._pairs: dict[tuple[str, str], bool] = {}
         self._segments: dict[str, tuple[int, ...]] = {}
@@ -177,14 +180,15 @@ class Pieces:
         if not self._ready:
             self._prepare()
         data = b"".join(map(self.output.__getitem__, ids))
-        if data[:1] == b" ":
-            first = next((i for i in ids if self.rows[i][2] != CONTROL), None)
-            if first is not None and self.rows[first][2] == NORMAL:
-                data = data[1:]
         try:
             data.decode()
         except UnicodeDecodeError:
-            data = _replaced(data)
+            runs = groupby(ids, lambda i: self.rows[i][2] == CONTROL)
+            data = b"".join(_replaced(b"".join(map(self.output.__getitem__, run))) for control, run in runs if not control)
+        if data[:1] == b" ":
+            first = next(i for i in ids if self.rows[i][2] != CONTROL)
+            if self.rows[first][2] == NORMAL:
+                data = data[1:]
         return data
 
 

@@ -33,6 +33,12 @@ def test_decoding_any_ids_equals_the_library(both, ids):
     assert own.decode(ids).decode() == other.decode(ids)
 
 
+@pytest.mark.parametrize("ids", [[197, 1, 131], [1, 197, 131], [2, 1], [1, 300, 1, 197], [197, 131, 1, 300]])
+def test_control_ids_end_a_run_of_bytes(both, ids):
+    own, other = both
+    assert own.decode(ids).decode() == other.decode(ids)
+
+
 def test_backtracking_without_cuts_gives_the_same(both):
     own, other = both
     text = "Some words  with   gaps " * 30
