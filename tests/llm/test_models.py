@@ -525,6 +525,15 @@ def test_first_levels_learn_as_the_deeper_ones_do():
         assert np.allclose(slope, want[at], atol=1e-4)
 
 
+@pytest.mark.parametrize("runs", [1, 3, 40, 400])
+def test_long_and_short_runs_have_the_sums_of_their_rows(runs):
+    rng = np.random.default_rng(runs)
+    rows, weights = rng.normal(size=(400, 20)).astype(np.float32), rng.normal(size=400).astype(np.float32)
+    edge = np.append(0, np.sort(rng.choice(np.arange(1, 400), runs - 1, replace=False)))
+    want = [sum(weights[i] * rows[i].astype(float) for i in range(a, b)) for a, b in zip(edge, [*edge[1:], 400], strict=True)]
+    assert np.allclose(pseudolik._run_sums(rows, weights, edge), want, atol=1e-4)
+
+
 def test_long_texts_are_worked_in_pieces_that_see_each_other():
     codes = small_codes()
     network = small_network(codes)
