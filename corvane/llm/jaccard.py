@@ -12,6 +12,9 @@ set, and within the other's prefix.  The number of pair classes follows the
 smaller set's size, so that few tokens of a prefix share a class and the
 combinations grow with the prefix and not with its square.
 
+0. ``_copies``: of rows with the same text (by SHA-256) all but the least doc_id
+   are left out of what follows and get its results; a table of bits, whose size
+   follows the rows, tells them, and those that it can't tell go along.
 1. ``tokens``: texts become hashed shingles, packed into blobs by hash range.
 2. An exchange by range counts each token's documents and sends back only the
    tokens that two documents share.  With more than ``ONE_LEVEL`` ranges it has
@@ -55,7 +58,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import text as tx
 from corvane.llm.components import components
-from corvane.llm.runtime import bounded, cut, packed
+from corvane.llm.runtime import bounded, cut, packed, swept
 
 WORDS = 4
 #: Similarity in hundredths.
@@ -73,6 +76,8 @@ LONG, BLOCK, BLOCK_TOKENS = 64, 1024, 4_000_000
 FEW_PAIRS = 15_000
 #: Bits that tell most sets that have a standing equal, a fixed 1 MB, and those of a page.
 STANDING, PAGE = 1 << 23, 1 << 13
+#: Bits for each row that tell most copies of a text, and the most there are (8 MB).
+COPY_BITS, MOST_BITS = 8, 1 << 26
 #: Pivots of a list in the first round, and how many times as many in each next one.
 PIVOTS, GROWTH = 2, 8
 
@@ -158,14 +163,17 @@ def _limits(first: int, n: int, width: int) -> np.ndarray:
     return _U(first) + np.arange(n + 1, dtype=_U) * _U(width)
 
 
-def tokens(docs: DataFrame, buckets: int, width: int | None = None) -> DataFrame:
+def tokens(docs: DataFrame, buckets: int, width: int | None = None, standing: np.ndarray | None = None) -> DataFrame:
     """Blobs of tokens by hash range, each with its document's place in the chunk.
 
+    With ``standing`` only the rows whose ``bit`` is null or in it are taken.
+
     Kinds: 0 tokens to count; 1 a chunk's doc_ids and set sizes; 2 tokens that
     CAP documents of the chunk have, once each; 3 their occurrences, which need
     no counting any more and so don't meet in the range of a hot token.
     """
     limits = _limits(0, buckets, width or _HASHES // buckets + 1)
+    known = None if standing is None else docs.sparkSession.sparkContext.broadcast(standing)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -194,6 +202,8 @@ def tokens(docs: DataFrame, buckets: int, width: int | None = None) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "kind", "tokens", "at"])
 
         for batch in batches:
+            if known is not None:
+                batch = batch.filter(pa.array(_stands(known.value, tx.column(batch, "bit"))))
             own = tx.column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for first, last, data, offsets in tx.slices(tx.column(batch, "text")):
                 for a in range(first, last, 30_000):
@@ -315,15 +325,15 @@ def _counted(table: pa.Table, place: type) -> pa.Table:
     return _table(rows, _SHARED)
 
 
-def exchanged(named: DataFrame, size: int) -> DataFrame:
-    """What ``_SHARED`` says of all chunks of texts of so many bytes."""
+def exchanged(named: DataFrame, size: int, standing: np.ndarray | None = None) -> DataFrame:
+    """What ``_SHARED`` says of all chunks of texts of so many bytes; of those that stand, if ``standing`` is given."""
     buckets = max(8, int(size / 4 // RANGE_TOKENS))
     if buckets <= ONE_LEVEL:
-        return tokens(named, buckets).groupBy("bucket").applyInArrow(_shared, _SHARED)
+        return tokens(named, buckets, standing=standing).groupBy("bucket").applyInArrow(_shared, _SHARED)
     fan = math.isqrt(buckets - 1) + 1
     width = _HASHES // fan**2 + 1
     groups = max(1, int(size / 4 // CHUNK_TOKENS // fan))
-    wide = tokens(named, fan, fan * width).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
+    wide = tokens(named, fan, fan * width, standing).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
     narrow = wide.groupBy("bucket", "part").applyInArrow(_narrowed(fan, width), _WIDE)
     back = narrow.groupBy("bucket").applyInArrow(_shared_wide, _BACK)
     return back.withColumn("range", F.floor(F.col("bucket") / fan)).groupBy("chunk", "range").applyInArrow(_parted, _SHARED)
@@ -399,14 +409,18 @@ def signatures(n: int, alone: int, row: np.ndarray, counts: np.ndarray) -> np.nd
 
 def _standing(rows: DataFrame) -> np.ndarray:
     """STANDING bits, packed: those of the rows that stand for equal sets.  A set of a mark whose bit is 0 is surely another's equal."""
-    own = rows.where("same <> 0 and doc_id = class_id").select(_bit("doc_id").alias("bit"))
+    return _bits(rows.where("same <> 0 and doc_id = class_id").select(_bit("doc_id").alias("bit")), STANDING)
+
+
+def _bits(own: DataFrame, width: int) -> np.ndarray:
+    """So many bits, packed: 1 for every ``bit`` of ``own``."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bits = np.zeros(PAGE, bool)
         bits[table.column("bit").to_numpy() % PAGE] = True
         return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["page", "bits"])
 
-    out = np.zeros(STANDING // 8, np.uint8)
+    out = np.zeros(width // 8, np.uint8)
     for page, bits in own.distinct().withColumn("page", F.floor(F.col("bit") / PAGE)).groupBy("page").applyInArrow(run, "page long, bits binary").collect():
         out[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(bytes(bits), np.uint8)
     return out
@@ -416,6 +430,52 @@ def _bit(doc: str) -> Column:
     return F.pmod(F.xxhash64(doc, "same"), F.lit(STANDING))
 
 
+def _stands(bits: np.ndarray, bit: pa.Array) -> np.ndarray:
+    at = bit.fill_null(0).to_numpy(zero_copy_only=False)
+    return bit.is_null().to_numpy(zero_copy_only=False) | (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0)
+
+
+#: What separates words; a text of nothing else links nothing and is no copy.
+_BLANK = " \t\n\x0b\x0c\r"
+
+
+def _digest() -> Column:
+    return F.when(F.btrim("text", F.lit(_BLANK)) != "", F.unhex(F.sha2("text", 256)))
+
+
+def _copies(named: DataFrame) -> tuple[int, DataFrame, np.ndarray | None, DataFrame | None]:
+    """Bytes of the texts that stand, ``named`` with each row's bit, the bits that stand, and (doc_id, least) of the rows that don't.
+
+    A row stands if it has the least doc_id of its text or shares its doc_id
+    with other rows, and perhaps if not.  Without copies the last two are None.
+    """
+    texts = cut(named.select("doc_id", _digest().alias("digest"), F.octet_length("text").alias("size")))
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    again = packed(texts.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    texts = texts.where("digest is not null")
+    own, shared = (texts, texts.limit(0)) if again.isEmpty() else (texts.join(again, "doc_id", how) for how in ("left_anti", "left_semi"))
+    # cut, so that the join with it deals both sides anew and a hot text can be split
+    first = cut(own.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"), F.min("size").alias("size")))
+    several = first.where("times > 1")
+    less = several.agg(F.sum((F.col("times") - 1) * F.col("size"))).first()[0]
+    if less is None:
+        return size, named, None, None
+    width = min(MOST_BITS, max(PAGE, 1 << (COPY_BITS * n - 1).bit_length()))
+    bit = lambda doc, digest: F.pmod(F.xxhash64(doc, digest), F.lit(width))
+    bits = _bits(first.select(bit("least", "digest").alias("bit")).union(shared.select(bit("doc_id", "digest"))), width)
+    known = named.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = ~_stands(known.value, tx.column(batch, "bit"))
+            yield batch.filter(pa.array(gone)).select(["doc_id", "least"])
+
+    lesser = own.join(several.select("digest", "least"), "digest").where("doc_id <> least")
+    gone = cut(lesser.select("doc_id", "least", bit("doc_id", "digest").alias("bit")).mapInArrow(run, "doc_id long, least long"))
+    digest = _digest()
+    return size - less, named.withColumn("bit", F.when(digest.isNotNull(), bit("doc_id", digest))), bits, gone
+
+
 def _index(sets: DataFrame, standing: np.ndarray) -> DataFrame:
     """(signature, doc, n, same): every signature of every set that may link; ``same`` tells equal sets' mark, else 0.
 
@@ -593,9 +653,9 @@ def _counts(docs: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with an equal set) and component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = docs.where("doc_id is not null")
-    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    every = cut(exchanged(named, size).groupBy("chunk").applyInArrow(_sets, _SETS))
+    size, named, standing, gone_copies = _copies(docs.where("doc_id is not null"))
+    every = cut(exchanged(named, size, standing).groupBy("chunk").applyInArrow(_sets, _SETS))
+    swept(docs.sparkSession)  # the blobs of both exchanges, which are twice the sets
     equal, other = every.where("mark is not null"), every.where("mark is null")
     # cut, so that the join with it deals both sides anew and a hot group can be split
     marked = cut(equal.groupBy("mark", "n").agg(F.min("doc_id").alias("class_id")))
@@ -610,6 +670,9 @@ def join(docs: DataFrame) -> DataFrame:
     ties = rows.join(twice.select("doc_id", "least"), "doc_id").select("class_id", "least")
     found = _linked(index, sets, ties)
     out = rows.join(found, rows["class_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("least", "class_id").alias("component_id"))
+    if gone_copies is not None:
+        first = out.withColumnRenamed("doc_id", "least")
+        out = out.unionByName(gone_copies.join(first, "least").select(*out.columns))
     return out.unionByName(_counts(docs.where("doc_id is null")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.operators import stage
@@ -39,6 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that nothing reads any more, which it does when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Narrow rows that one task may well take: small tables in fewer partitions need fewer files and no exchange.
 TASK_ROWS = 200_000
 

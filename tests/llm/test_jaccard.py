@@ -250,3 +250,32 @@ def test_equal_sets_of_several_chunks_are_indexed_once(spark):
     made = op._index(sets, op._standing(rows))
     assert {r["doc"] for r in made.select("doc").distinct().collect()} == {0, 1, 2}
     assert {r["component_id"] for r in op.join(docs).collect()} == {0, 1, 2}
+
+
+def test_copies_of_a_text_dont_enter_the_exchange(spark, monkeypatch):
+    taken, whole = [], op.exchanged
+
+    def exchanged(*args):
+        out = whole(*args)
+        taken.extend(int(i) for r in out.where("kind = 1").collect() for i in np.frombuffer(bytes(r["tokens"]), np.int64))
+        return out
+
+    monkeypatch.setattr(op, "exchanged", exchanged)
+    texts = near_copies(3, groups=2, copies=5)
+    own = len(texts)
+    texts = [t for _ in range(5) for t in texts] + ["", " \t\n", None, "\x0b", "one", "ONE", "one"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = result(op.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = brute(texts)
+    assert got == want
+    least = len({t for t in texts if (t or "").strip()}) + 4  # each text once, and the four without words
+    assert least <= len(taken) < least + 20 < 4 * own and len(set(taken)) == len(taken)
+    # of rows that share a doc_id none is passed over
+    taken.clear()
+    one = 5 * own + 4
+    both = [*rows, (0, "one"), (one + 1, texts[3])]
+    made = op.join(spark.createDataFrame(both, "doc_id long, text string")).collect()
+    assert len(made) == len(both) and sorted(taken).count(0) == 2 and taken.count(one + 1) == 2
+    of = {i: {r["component_id"] for r in made if r["doc_id"] == i} for i in range(len(texts))}
+    assert all(len(c) == 1 for c in of.values()) and of[0] == of[own] == of[one] == of[one + 2] and of[one + 1] == of[3]
+    assert sorted(r["n_shingles"] for r in made if r["doc_id"] == 0) == [1, want[0][0]]
