@@ -91,3 +91,13 @@ def test_gbt_scores_learns_its_300_trees_in_a_few_jobs_and_scores_every_pair(spa
     assert pairs and pairs == {(r["source1_id"], r["candidate_id"]) for r in rows} and len(rows) == len(pairs)
     right = sum(r["label"] == r["predicted_match"] for r in rows)
     assert right > 0.9 * len(rows)
+
+
+def test_model_selection_compares_every_kind(spark, sf_dir, monkeypatch):
+    whole, fit, seen = model.estimator, model.fit, []
+    monkeypatch.setattr(model, "estimator", lambda kind, small=False: whole(kind, True))  # few trees
+    monkeypatch.setattr(model, "fit", lambda rows, names, kind, small=False: seen.append((kind, small)) or fit(rows, names, kind, small))
+    made = queries.QUERIES["model_selection"](spark, sf_dir).collect()
+    assert [r["model"] for r in sorted(made, key=lambda r: -r["f05"])] == [r["model"] for r in made]
+    assert sorted(r["model"] for r in made) == sorted({model.LOGISTIC, model.FOREST, model.HISTOGRAM, model.BOOSTED})
+    assert len(seen) == 4 and not any(small for _, small in seen)
