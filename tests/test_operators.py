@@ -187,3 +187,13 @@ def test_the_split_for_models_moves_no_features(spark, sf_dir, capsys):
     sides = metrics.group_split(train.unionByName(held), 0.2).collect()
     assert {r["source1_id"] for r in sides if r["held_out"]} == {r["source1_id"] for r in held.select("source1_id").distinct().collect()}
     assert train.count() and {r["label"] for r in train.select("label").distinct().collect()} == {0, 1}
+
+
+def test_pairs_are_exchanged_once_by_query(spark):
+    rows = spark.createDataFrame([(f"S{s}-{i}", s, f"alpha{i % 3} beta", "", "us", f"alpha{i % 3} beta") for i in range(9) for s in (1, 2, 3)], "entity_id string, source int, norm_name string, norm_addr string, norm_country string, core_name string")
+    for score in (blocking.WEIGHTED, blocking.COUNTED):
+        made = blocking.candidates(rows, score, k=4)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        dealt = [x.split("hashpartitioning(")[1] for x in plan.splitlines() if "Exchange hashpartitioning(source1_id" in x]
+        assert len(dealt) == 1 and "candidate_id" not in dealt[0]
+        assert made.count() == 36 and {r["blocking_rank"] for r in made.collect()} == {1.0, 2.0, 3.0, 4.0}
